@@ -160,6 +160,14 @@ def evaluation_record(counts: DataFrame) -> DataFrame:
     )
 
 
+def no_id_record(labels: DataFrame) -> DataFrame:
+    """The record for labels that cannot be matched because they carry no id."""
+    error = [(None, 0, None, f"No {ID} column in the labels.")]
+    return labels.sparkSession.createDataFrame(
+        error, "macro_f1 double, n_evaluated bigint, report string, error string"
+    )
+
+
 def evaluate_tables(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """Evaluation record of a predictions table against a labels table."""
     return evaluation_record(confusion(eval_join(predictions, labels), weight=F.col("n")))

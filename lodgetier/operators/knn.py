@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgetier.constants import ID, NEIGHBOURS, TARGET, TIERS
-from lodgetier.runtime import hottest_keys, materialise, spread_join
+from lodgetier.runtime import HOT_KEYS, materialise, spread_join
 
 DEPTH = 40  # finest grid: 2**40 cells per axis
-CELL_POINTS = 256
-TYPICAL_POINTS = 10
+CELL_POINTS = 128
+TYPICAL_POINTS = 8
 DENSITY_QUANTILES = (0.5, 0.9, 0.1)
 SAMPLE_POINTS = 20_000
 STEP = 2  # levels per step of the descent: 4 x 4 children per cell
@@ -113,9 +113,9 @@ def _locations(queries: DataFrame, fold: str | None) -> DataFrame:
 def _survey(points: DataFrame, searches: DataFrame) -> tuple[Grid, list[int]]:
     """Extent of all points, and grid levels at which cells hold about TYPICAL_POINTS.
 
-    The levels, finest first, suit places of middling, high and low density; with even density
-    there is just one. They only decide speed and come from a small sample: each level down
-    divides a cell's points by about four, so levels are moved by log4 of the fraction drawn.
+    The levels, finest first, suit places of middling, high and low density, and one step coarser
+    than middling for what that leaves. They only decide speed and come from a small sample: each
+    level down divides a cell's points by about four.
     """
     both = points.select("px", "py").union(searches.select("_x", "_y"))
     low_x, high_x, low_y, high_y = both.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
@@ -128,22 +128,21 @@ def _survey(points: DataFrame, searches: DataFrame) -> tuple[Grid, list[int]]:
     sample = points if share == 1.0 else points.sample(share, seed=1)
     cells = sample.select(grid.index(F.col("px"), grid.x0).alias("cx"), grid.index(F.col("py"), grid.y0).alias("cy"))
     drawn = cells.limit(2 * SAMPLE_POINTS).toPandas()
-    # Per sampled point: the finest level at which its cell still holds a typical number.
+    # A cell of the sample stands for cells some levels deeper in the whole table.
+    deeper = math.ceil(math.log(1 / share, 4))
+    typical = TYPICAL_POINTS * share * 4**deeper
     finest = np.zeros(len(drawn), dtype=int)
     for level in range(DEPTH - 1):
         at = drawn // (1 << (DEPTH - level))
-        full = (at.groupby(["cx", "cy"]).cx.transform("size") >= TYPICAL_POINTS).to_numpy()
+        full = (at.groupby(["cx", "cy"]).cx.transform("size") >= typical).to_numpy()
         if not full.any():
             break
         finest[full] = level
-    levels: list[int] = []
+    levels: set[int] = set()
     if len(drawn):
-        deeper = round(math.log(max(1.0, 1 / share), 4))
-        for level in np.quantile(finest, DENSITY_QUANTILES, method="nearest"):
-            level = min(DEPTH - 2, int(level) + deeper)
-            if all(abs(level - other) > 1 for other in levels):
-                levels.append(level)
-    return grid, sorted(levels, reverse=True)
+        middle, *others = (int(x) + deeper for x in np.quantile(finest, DENSITY_QUANTILES, method="nearest"))
+        levels = {middle, middle - 1, *(x for x in others if abs(x - middle) > 1)}
+    return grid, sorted((min(DEPTH - 2, x) for x in levels if x > 0), reverse=True)
 
 
 def _cells(df: DataFrame, grid: Grid, level: int, x: str, y: str) -> DataFrame:
@@ -156,77 +155,81 @@ def _cells(df: DataFrame, grid: Grid, level: int, x: str, y: str) -> DataFrame:
     )
 
 
-def _distance() -> Column:
-    return F.sqrt(F.pow(F.col("_x") - F.col("px"), 2) + F.pow(F.col("_y") - F.col("py"), 2))
+def _distance(x: Column, y: Column) -> Column:
+    return F.sqrt(F.pow(F.col("_x") - x, 2) + F.pow(F.col("_y") - y, 2))
 
 
-def _nearest(candidates: DataFrame, k: int) -> DataFrame:
-    """One row per search: how many neighbours, how far the last one is, and the vote."""
-    search = ["_x", "_y", "_f"]
-    order = Window.partitionBy(*search).orderBy("d", "pid")
-    ranked = candidates.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
-    zero = F.col("d") == 0
-    totals = ranked.groupBy(*search).agg(
-        F.min("d").alias("nearest"),
-        F.max("d").alias("farthest"),
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.when((F.col("tier") == t) & zero, 1.0).otherwise(0.0)).alias(f"at{t}") for t in TIERS],
-        *[F.sum(F.when((F.col("tier") == t) & ~zero, 1 / F.col("d")).otherwise(0.0)).alias(f"by{t}") for t in TIERS],
-    )
-    votes = F.array(*[F.when(F.col("nearest") == 0, F.col(f"at{t}")).otherwise(F.col(f"by{t}")) for t in TIERS])
-    return totals.withColumn("_votes", votes).select(
-        *search,
-        "nearest",
-        "farthest",
-        "n",
-        (F.array_position("_votes", F.array_max("_votes")) - 1).cast("int").alias("geo_tier"),
+def _add_vote(located: DataFrame) -> DataFrame:
+    """Replace `near`, the neighbours in order as (d, pid, tier), by what follows from them."""
+    votes = [
+        F.aggregate(
+            F.filter("near", _has_tier(t)),
+            F.lit(0.0),
+            lambda total, n: total
+            + F.when(n["d"] == 0, 1.0).when(F.col("nearest") > 0, 1 / n["d"]).otherwise(0.0),
+        )
+        for t in TIERS
+    ]
+    return (
+        located.withColumns(
+            {
+                "n": F.size("near"),
+                "nearest": F.get("near", F.lit(0))["d"],
+                "farthest": F.try_element_at("near", F.lit(-1))["d"],
+            }
+        )
+        .where("n > 0")
+        .withColumn("_votes", F.array(*votes))
+        .withColumn("geo_tier", (F.array_position("_votes", F.array_max("_votes")) - 1).cast("int"))
+        .drop("near", "_votes")
     )
 
 
+def _has_tier(tier: int):
+    return lambda n: n["tier"] == tier
+
+
 def _search_blocks(
     points: DataFrame, searches: DataFrame, grid: Grid, level: int, k: int
 ) -> tuple[DataFrame, DataFrame]:
     """Settle searches inside their 3 x 3 block; returns (settled with geo_tier, the rest)."""
     width = grid.width(level)
     celled = _cells(points, grid, level, "px", "py")
-    crowded = celled.groupBy("cx", "cy").count().where(F.col("count") > CELL_POINTS)
-    hottest = hottest_keys(celled, ["cx", "cy"], CELL_POINTS)
-    open_points = celled.join(F.broadcast(hottest), ["cx", "cy"], "left_anti").join(
-        crowded, ["cx", "cy"], "left_anti"
-    )
-    # A crowded cell is represented by one marker that sorts before every real neighbour.
-    marker = crowded.select(
-        "cx",
-        "cy",
-        F.lit(None).cast("double").alias("px"),
-        F.lit(None).cast("double").alias("py"),
-        F.lit(-9).alias("pf"),
-        F.lit(None).cast(points.schema["pid"].dataType).alias("pid"),
-        F.lit(-1).alias("tier"),
-    )
+    crowded = materialise(celled.groupBy("cx", "cy").count().where(F.col("count") > CELL_POINTS), "crowded")
+    entry = F.struct("px", "py", "pf", "pid", "tier")
+    if crowded.isEmpty():
+        members = celled.select("cx", "cy", entry.alias("point"), F.lit(False).alias("crowded"))
+    else:
+        # The largest cells go first, by broadcast, so that they never reach a shuffle.
+        largest = F.broadcast(crowded.orderBy(F.desc("count")).limit(HOT_KEYS))
+        sparse = celled.join(largest, ["cx", "cy"], "left_anti").join(crowded, ["cx", "cy"], "left_anti")
+        members = sparse.select("cx", "cy", entry.alias("point"), F.lit(False).alias("crowded"))
+        members = members.unionByName(
+            crowded.select("cx", "cy", F.lit(True).alias("crowded")), allowMissingColumns=True
+        )
+    # Points are handed to the nine cells around them, so that a search needs only its own cell.
+    # A cell then holds 9 * CELL_POINTS points at most.
     around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    block = (
-        _cells(searches, grid, level, "_x", "_y")
-        .select("*", F.inline(F.array(*around)))
-        .withColumns({"cx": F.col("cx") + F.col("i"), "cy": F.col("cy") + F.col("j")})
-        .select("_x", "_y", "_f", "cx", "cy")
+    blocks = (
+        members.select("*", F.inline(F.array(*around)))
+        .groupBy((F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
+        .agg(F.collect_list("point").alias("points"), F.max("crowded").alias("crowded"))
+        .where(~F.col("crowded"))
+        .drop("crowded")
     )
-    candidates = (
-        spread_join(block, open_points.unionByName(marker), ["cx", "cy"], "inner")
-        .where(F.col("pf") != F.col("_f"))
-        .withColumn("d", F.coalesce(_distance(), F.lit(-1.0)))
+    located = spread_join(_cells(searches, grid, level, "_x", "_y"), blocks, ["cx", "cy"], "inner")
+    others = F.filter("points", lambda p: p["pf"] != F.col("_f"))
+    measured = F.transform(
+        others, lambda p: F.struct(_distance(p["px"], p["py"]).alias("d"), p["pid"].alias("pid"), p["tier"].alias("tier"))
+    )
+    voted = _add_vote(
+        located.select("_x", "_y", "_f", "cx", "cy", F.slice(F.sort_array(measured), 1, k).alias("near"))
     )
-    result = materialise(_nearest(candidates, k), "nearest")
-    own = _cells(result, grid, level, "_x", "_y")
     inside_x = F.col("_x") - F.lit(grid.x0) - F.col("cx") * width
     inside_y = F.col("_y") - F.lit(grid.y0) - F.col("cy") * width
     edge = width + F.least(inside_x, width - inside_x, inside_y, width - inside_y)
-    proven = (
-        (F.col("nearest") >= 0)
-        & (F.col("n") == k)
-        & (F.col("farthest") < edge * (1 - SLACK) - grid.size * 1e-12)
-    )
-    settled = own.where(proven).select("_x", "_y", "_f", "geo_tier")
+    proven = (F.col("n") == k) & (F.col("farthest") < edge * (1 - SLACK) - grid.size * 1e-12)
+    settled = materialise(voted.where(proven).select("_x", "_y", "_f", "geo_tier"), "settled")
     left = searches.join(settled, ["_x", "_y", "_f"], "left_anti")
     return settled, materialise(left, "left")
 
@@ -275,8 +278,13 @@ def _descend(points: DataFrame, searches: DataFrame, grid: Grid, k: int) -> Data
             "inner",
         )
         candidates = pairs if candidates is None else candidates.unionByName(pairs)
-    candidates = candidates.where(F.col("pf") != F.col("_f")).withColumn("d", _distance())
-    return materialise(_nearest(candidates, k).select(*search, "geo_tier"), "descended")
+    candidates = candidates.where(F.col("pf") != F.col("_f")).withColumn(
+        "d", _distance(F.col("px"), F.col("py"))
+    )
+    order = Window.partitionBy(*search).orderBy("d", "pid", "tier")
+    ranked = candidates.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    near = ranked.groupBy(*search).agg(F.sort_array(F.collect_list(F.struct("d", "pid", "tier"))).alias("near"))
+    return materialise(_add_vote(near).select(*search, "geo_tier"), "descended")
 
 
 def _cell_counts(points: DataFrame, grid: Grid, level: int) -> DataFrame:

@@ -22,7 +22,7 @@ from lodgetier.constants import (
 from lodgetier.functions.answers import non_english
 from lodgetier.functions.vote import argmax
 from lodgetier.operators.ensemble import join_scores, vote_or_first
-from lodgetier.operators.evaluate import evaluate_tables, tier_distribution
+from lodgetier.operators.evaluate import evaluate_tables, no_id_record, tier_distribution
 from lodgetier.operators.missing import apply_inferences, apply_translations, infer_from_text, is_missing
 from lodgetier.operators.schema import clean_listings, plain_name, repair_names, require_id
 from lodgetier.plans.train import TierModel, with_row_text
@@ -163,6 +163,8 @@ def run_batch(
     predictions = materialise(predictions_table(score_batch(ready, tabular, text, external)), "predictions")
     evaluation = None
     if labels is not None:
-        evaluation = evaluate_tables(predictions, predictions_table(labels))
+        evaluation = (
+            evaluate_tables(predictions, predictions_table(labels)) if ID in labels.columns else no_id_record(labels)
+        )
     report = run_report(raw, clean_listings(raw, mapping), mapping).union(prediction_report(predictions))
     return BatchResult(predictions, evaluation, report)

@@ -10,11 +10,12 @@ from operator import or_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key is treated as hot from this many rows on. Only the largest HOT_KEYS keys are listed,
-# so the list can be broadcast whatever the table size; any key beyond the list holds less
-# than 1/HOT_KEYS of the rows.
+# A key is treated as hot from about this many rows on, judged from a sample. Only the largest
+# HOT_KEYS keys are listed, so the list fits the driver and can be broadcast whatever the table
+# size; any key beyond the list holds less than about 1/HOT_KEYS of the rows.
 HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000
+HOT_SAMPLE = 0.01
 
 # A table counted to have at most this many rows may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -66,16 +67,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hottest_keys(df: DataFrame, keys: list[str], at_least: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than `at_least` rows, the largest HOT_KEYS of them at most."""
-    return (
-        df.groupBy(*keys)
+def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys that hold very many rows, found in a sample; None if there are none.
+
+    The list is fetched once, so that every use of it sees the same keys. Which keys are on it
+    only matters for speed.
+    """
+    sample = rows.select(*keys).sample(HOT_SAMPLE, seed=7)
+    found = (
+        sample.groupBy(*keys)
         .count()
-        .where(F.col("count") > at_least)
+        .where(F.col("count") > hot_rows * HOT_SAMPLE)
         .orderBy(F.desc("count"))
         .limit(HOT_KEYS)
         .select(*keys)
     )
+    listed = found.collect()
+    return rows.sparkSession.createDataFrame(listed, found.schema) if listed else None
 
 
 def spread_join(
@@ -83,21 +91,23 @@ def spread_join(
 ) -> DataFrame:
     """Join many rows to a table with few rows per key, without one task per hot key.
 
-    Rows of hot keys meet a broadcast of just those keys' table rows and are never shuffled.
-    All other rows take the usual shuffled join. `table` must hold a bounded number of rows
-    per key; `how` is "inner" or "left".
+    Without hot keys this is an ordinary join. Otherwise rows of hot keys meet a broadcast of just
+    those keys' table rows and are never shuffled. `table` must hold a bounded number of rows per
+    key; `how` is "inner" or "left".
     """
+    hot = hot_keys(rows, keys, hot_rows)
+    if hot is None:
+        return rows.join(table, keys, how)
+    hot = F.broadcast(hot)
     keyed = rows.dropna(subset=keys)
-    hot = hottest_keys(keyed, keys, hot_rows)
-    hot_table = table.join(F.broadcast(hot), keys, "left_semi")
-    usual = keyed.join(F.broadcast(hot), keys, "left_anti").join(table, keys, how)
-    heavy = keyed.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_table), keys, how)
+    usual = keyed.join(hot, keys, "left_anti").join(table, keys, how)
+    hot_table = F.broadcast(table.join(hot, keys, "left_semi"))
+    heavy = keyed.join(hot, keys, "left_semi").join(hot_table, keys, how)
     joined = usual.unionByName(heavy)
     if how == "left":
         # A row without a key matches nothing, so it needs no shuffle either.
-        joined = joined.unionByName(
-            rows.where(reduce(or_, (F.col(key).isNull() for key in keys))), allowMissingColumns=True
-        )
+        keyless = rows.where(reduce(or_, (F.col(key).isNull() for key in keys)))
+        joined = joined.unionByName(keyless, allowMissingColumns=True)
     return joined
 
 
