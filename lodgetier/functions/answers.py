@@ -44,8 +44,13 @@ def parsed_flags(answer: Column) -> dict[str, Column]:
     A flag is 1 for true, non-zero numbers and non-empty texts, lists and objects.
     """
     body = F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
-    document = F.try_parse_json(body)
-    return {name: _truth(F.try_variant_get(document, f"$.{name}", "variant")) for name in FLAGS}
+    # The parser stops after one value, so text behind it goes unnoticed. In a list such text breaks
+    # the list unless it starts with "]", in an object unless it starts with "}": both must hold.
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"answer": '), body, F.lit("}")))
+    alone = held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    document = F.when(alone, listed)
+    return {name: _truth(F.try_variant_get(document, f"$[0].{name}", "variant")) for name in FLAGS}
 
 
 def _truth(value: Column) -> Column:

@@ -80,7 +80,7 @@ def _assign(df: DataFrame, by: str | None, key: str, seed: int, bounds: dict[str
     rows = df.select(
         "*",
         group.alias("_group"),
-        row_hash(F.col(key), seed).alias("_hash"),
+        F.coalesce(row_hash(F.col(key), seed), F.lit(0)).alias("_hash"),
         F.shiftrightunsigned(F.xxhash64(*columns), 4).alias("_row"),
     )
     return _settle(rows, columns, ["_hash", "_row"], bounds).select(*columns, "part")
@@ -109,7 +109,7 @@ def _settle(
     if not inner:
         return rows.withColumn("part", part)
     settled = rows.where(~torn).withColumn("part", part)
-    rest = rows.where(torn).withColumn("_group", F.concat("_group", F.lit(":"), F.col(order).cast("string")))
+    rest = rows.where(torn).withColumn("_group", F.concat(F.coalesce("_group", F.lit("None")), F.lit(":"), F.col(order).cast("string")))
     finer = _settle(rest, columns, orders[1:], inner) if orders[1:] else _share_copies(rest, columns, inner)
     return settled.unionByName(finer)
 
