@@ -157,7 +157,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name == "listings":
         key = (spark.sparkContext.applicationId, folder.rstrip("/"))
         if key not in _written:
-            _written[key] = materialise(_view(spark, folder, name), "listings")
+            # The small given files would end up in one file, which one task would have to read.
+            spread = _view(spark, folder, name).repartition(spark.sparkContext.defaultParallelism, "property_id")
+            _written[key] = materialise(spread, "listings")
         return _written[key]
     return _view(spark, folder, name)
 

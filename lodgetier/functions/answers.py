@@ -18,7 +18,7 @@ def non_english(text: Column, share: float = NON_ASCII_SHARE) -> Column:
 
 def text_flag(text: Column, words: tuple[str, ...]) -> Column:
     """1 where one of the words occurs as a whole word, else 0."""
-    pattern = "(^|[^a-z])(" + "|".join(re.escape(w) for w in words) + ")([^a-z]|$)"
+    pattern = "(?<![a-z])(?:" + "|".join(re.escape(w) for w in words) + ")(?![a-z])"
     return F.coalesce(F.lower(text).rlike(pattern).cast("int"), F.lit(0))
 
 
@@ -38,8 +38,8 @@ def first_mentioned(text: Column, column: str) -> Column:
     return F.array_min(F.filter(mentions, lambda m: m["at"].isNotNull()))["value"]
 
 
-def parsed_flags(answer: Column) -> dict[str, Column]:
-    """The six flags from the JSON object inside an answer; all 0 where there is none.
+def parsed_flags(answer: Column) -> Column:
+    """The six flags, as a struct, from the JSON object inside an answer; all 0 where there is none.
 
     A flag is 1 for true, non-zero numbers and non-empty texts, lists and objects.
     """
@@ -48,9 +48,11 @@ def parsed_flags(answer: Column) -> dict[str, Column]:
     # the list unless it starts with "]", in an object unless it starts with "}": both must hold.
     listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
     held = F.try_parse_json(F.concat(F.lit('{"answer": '), body, F.lit("}")))
-    alone = held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    document = F.when(alone, listed)
-    return {name: _truth(F.try_variant_get(document, f"$[0].{name}", "variant")) for name in FLAGS}
+    alone = held.isNotNull() & listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    fields = ", ".join(f"{name} VARIANT" for name in FLAGS)
+    flags = F.from_json(F.when(alone, body), f"STRUCT<{fields}>")
+    judged = F.transform(F.array(flags), lambda f: F.struct(*[_truth(f[name]).alias(name) for name in FLAGS]))
+    return F.get(judged, F.lit(0))
 
 
 def _truth(value: Column) -> Column:

@@ -11,15 +11,14 @@ from lodgetier.constants import BLANKS, NUMBER_PATTERN, SEED
 
 
 def number(value: Column) -> Column:
-    """Double from a text or number; anything that is not a plain finite number is null."""
+    """Double from a text or number; anything that is not a plain finite number is null.
+
+    The type test is decided while planning, so numeric columns skip the text handling.
+    """
     text = value.cast("string")
     parsed = F.when(text.rlike(NUMBER_PATTERN), F.btrim(text, F.lit(BLANKS)).try_cast("double"))
-    return F.when(F.abs(parsed) < float("inf"), parsed)
-
-
-def finite(value: Column) -> Column:
-    """A numeric column with NaN and infinities as null; cheaper than `number` for typed columns."""
-    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value.cast("double"))
+    read = F.when(F.typeof(value) == "string", parsed).otherwise(value.try_cast("double"))
+    return F.when(F.abs(read) < float("inf"), read)
 
 
 def safe_int(value: Column) -> Column:

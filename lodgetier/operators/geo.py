@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,6 +23,7 @@ from lodgetier.constants import (
 )
 
 Centre = tuple[float, float]
+PARALLEL_FITS = 4
 
 
 def degrees_between(lat: Column, lon: Column, centre: Centre) -> Column:
@@ -102,7 +104,9 @@ def fit_centres(
     vectors = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(points)
     vectors = vectors.select("features").persist()
     try:
-        fits = (KMeans(k=k, seed=seed + i, initSteps=2).fit(vectors) for i in range(restarts))
+        # Restarts are independent; a few at a time keep the cluster busy between short jobs.
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i).fit(vectors), range(restarts)))
         best = min(fits, key=lambda m: m.summary.trainingCost)
         return sorted((float(lat), float(lon)) for lat, lon in best.clusterCenters())
     finally:
@@ -111,8 +115,9 @@ def fit_centres(
 
 def label_centres(df: DataFrame, centres: Sequence[Centre]) -> AreaModel:
     """Label each centre by the mean tier of the rows nearest to it."""
-    assigned = df.withColumn("cluster", nearest_centre(F.col("latitude"), F.col("longitude"), centres))
-    rows = cluster_summary(assigned.dropna(subset=["cluster"]), len(centres)).orderBy("cluster").collect()
+    placed = df.dropna(subset=["latitude", "longitude"])
+    assigned = placed.withColumn("cluster", nearest_centre(F.col("latitude"), F.col("longitude"), centres))
+    rows = cluster_summary(assigned, len(centres)).orderBy("cluster").collect()
     return AreaModel(tuple(centres), tuple(r.geo_label for r in rows))
 
 

@@ -6,10 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodgetier.constants import ALIASES, CANONICAL, CATEGORY_DEFAULTS, ID, NUMERIC_DEFAULTS, TARGET, TEXT
-from lodgetier.functions.scalars import finite, identifier, number
+from lodgetier.functions.scalars import identifier, number
 
 
 def plain_name(name: str) -> str:
@@ -66,15 +65,8 @@ def add_default_columns(df: DataFrame) -> DataFrame:
 
 def coerce_numeric(df: DataFrame) -> DataFrame:
     """Numeric columns as doubles; missing or unreadable values become the default."""
-    typed = {f.name: f.dataType for f in df.schema.fields}
     return df.withColumns(
-        {
-            c: F.coalesce(
-                (finite if isinstance(typed[c], T.NumericType) else number)(F.col(c)), F.lit(default)
-            )
-            for c, default in NUMERIC_DEFAULTS.items()
-            if c in typed
-        }
+        {c: F.coalesce(number(F.col(c)), F.lit(default)) for c, default in NUMERIC_DEFAULTS.items() if c in df.columns}
     )
 
 

@@ -329,6 +329,8 @@ def oracle_sql() -> dict[str, str]:
         "records_json": "SELECT * FROM listings",
         "split_inputs": """SELECT 'data' AS role, count(*) AS n, count(description) AS described, CAST(NULL AS BIGINT) AS tier_sum FROM listings
             UNION ALL SELECT 'labels', count(*), NULL, CAST(sum(price_tier) AS BIGINT) FROM predictions""",
+        "model_roundtrip": "SELECT count(*) AS n, count(*) AS same FROM listings",
+        "stream_score": "SELECT count(*) AS n, count(*) AS same FROM raw",
         # schema
         "repair_schema": "SELECT id AS property_id, name AS description, borough AS neighbourhood_group, area AS neighbourhood, type AS room_type, min_nights AS minimum_nights, reviews AS number_of_reviews, lat AS latitude, lng AS longitude, extra_col FROM raw",
         "map_unknown_columns": "SELECT id AS property_id, name AS description, area AS neighbourhood, extra_col, type AS room_type FROM raw",
@@ -404,6 +406,12 @@ def oracle_sql() -> dict[str, str]:
         "one_hot": f"SELECT n.property_id, {hot_columns('neighbourhood_group', boroughs, 5)}, {hot_columns('room_type', rooms, 3)} FROM newcomers n",
         "ordinal_code": """WITH codes AS (SELECT neighbourhood, row_number() OVER (ORDER BY neighbourhood) - 1 AS code FROM (SELECT DISTINCT neighbourhood FROM listings))
             SELECT n.property_id, n.neighbourhood, CAST(coalesce(code, -1) AS BIGINT) AS code FROM newcomers n LEFT JOIN codes USING (neighbourhood)""",
+        "assemble_features": f"""WITH codes AS (SELECT neighbourhood, row_number() OVER (ORDER BY neighbourhood) - 1 AS code FROM (SELECT DISTINCT neighbourhood FROM listings)),
+            f AS (SELECT property_id, {_flags('description')} FROM listings),
+            widths AS (SELECT count(DISTINCT coalesce(neighbourhood_group, 'Manhattan')) + count(DISTINCT coalesce(room_type, 'Entire home/apt')) AS w FROM listings)
+            SELECT property_id, CAST(w + 6 + 1 + 6 AS INT) AS width, round(minimum_nights + number_of_reviews + calculated_host_listings_count + availability_365
+              + latitude + longitude + code + 2 + has_luxury + has_view + has_outdoor + is_shared + needs_work + has_amenities, 6) AS total
+            FROM listings JOIN codes USING (neighbourhood) JOIN f USING (property_id), widths""",
         "class_weights": "WITH c AS (SELECT price_tier, count(*) AS n FROM listings GROUP BY price_tier) SELECT price_tier, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM c",
         "class_weights_quality": "WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality) SELECT quality, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM c",
         "sample_weights": "WITH c AS (SELECT price_tier, count(*) AS n FROM listings GROUP BY price_tier) SELECT property_id, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM listings JOIN c USING (price_tier)",

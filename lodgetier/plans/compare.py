@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -26,19 +28,18 @@ def model_f1(model: TierModel, labelled: DataFrame) -> float:
     return macro_f1(scored_counts(model, labelled)).first().macro_f1
 
 
-def leaderboard(train: DataFrame, validation: DataFrame, names: Sequence[str] = FEATURE_SETS, trees: int = 100) -> DataFrame:
-    """(approach, macro_f1) per feature set, best first."""
+def leaderboard(
+    train: DataFrame, validation: DataFrame, names: Sequence[str] = FEATURE_SETS, trees: int = 100, parallelism: int = 4
+) -> DataFrame:
+    """(approach, macro_f1) per feature set, best first; a few are fitted at a time."""
     train, validation = with_flags(train), with_flags(validation)
+    with ThreadPoolExecutor(parallelism) as pool:
+        models = list(pool.map(lambda name: fit_feature_set(train, name, trees), names))
     parts = [
-        macro_f1(scored_counts(fit_feature_set(train, name, trees), validation)).select(
-            F.lit(name).alias("approach"), "macro_f1"
-        )
-        for name in names
+        macro_f1(scored_counts(model, validation)).select(F.lit(name).alias("approach"), "macro_f1")
+        for name, model in zip(names, models)
     ]
-    board = parts[0]
-    for part in parts[1:]:
-        board = board.union(part)
-    return board.orderBy(F.desc("macro_f1"))
+    return reduce(DataFrame.union, parts).orderBy(F.desc("macro_f1"))
 
 
 def geo_sweep(
@@ -47,16 +48,22 @@ def geo_sweep(
     clusters: Sequence[int] = SWEEP_CLUSTERS,
     trees: int = 50,
     restarts: int = CLUSTER_RESTARTS,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Macro F1 for every cluster count, with and without hotspot distances and balancing.
 
-    The areas of a cluster count are fitted once and shared by its four configurations.
+    The areas of a cluster count are fitted once and shared by its four configurations. A few
+    configurations run at a time; each is a distributed fit of its own.
     """
     areas = {k: fit_areas(train, k, restarts) for k in clusters}
-    results = []
-    for k, hotspots, balanced in product(clusters, (False, True), (False, True)):
+
+    def measured(configuration: tuple[int, bool, bool]) -> tuple[float, int, bool, bool]:
+        k, hotspots, balanced = configuration
         model = fit_tabular_model(train, k, hotspots, balanced, trees=trees, areas=areas[k])
-        results.append((model_f1(model, validation), k, hotspots, balanced))
+        return (model_f1(model, validation), *configuration)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        results = list(pool.map(measured, product(clusters, (False, True), (False, True))))
     return train.sparkSession.createDataFrame(results, SWEEP_COLUMNS)
 
 

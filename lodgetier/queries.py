@@ -110,13 +110,22 @@ def split_inputs(spark, sf):
     )
 
 
+def _agreement(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(n, same): rows found, and how many of them have the expected tier."""
+    both = found.join(expected.withColumnRenamed(TARGET, "expected"), ID)
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(TARGET).eqNullSafe(F.col("expected"))).alias("same")
+    )
+
+
 @query
 def model_roundtrip(spark, sf):
     listings = _clean(spark, sf)
     path = scratch_path(spark, "model")
     model = train.fit_tabular_model(listings, trees=5, restarts=2)
     model.save(spark, path)
-    return train.TierModel.load(spark, path).predict(listings).select(ID, TARGET)
+    loaded = train.TierModel.load(spark, path)
+    return _agreement(loaded.predict(listings).select(ID, TARGET), model.predict(listings).select(ID, TARGET))
 
 
 @query
@@ -127,7 +136,9 @@ def stream_score(spark, sf):
     model = train.fit_tabular_model(_clean(spark, sf), trees=5, restarts=2)
     stream = streaming.listing_stream(spark, folder, raw.columns)
     streaming.score_stream(stream, model, output, checkpoint, until_done=True).awaitTermination()
-    return spark.read.schema(f"{ID} long, {TARGET} int").parquet(output)
+    streamed = spark.read.schema(f"{ID} long, {TARGET} int").parquet(output)
+    at_rest = batch.score_batch(schema.clean_listings(files.read_listings(spark, folder)), model)
+    return _agreement(streamed, at_rest)
 
 
 # Schema repair and cleaning
@@ -319,8 +330,8 @@ def text_flags_documents(spark, sf):
 
 @query
 def parse_flag_json(spark, sf):
-    return table(spark, sf, "responses").select(
-        ID, *[flag.alias(name) for name, flag in answers.parsed_flags(F.col("response")).items()]
+    return table(spark, sf, "responses").select(ID, answers.parsed_flags(F.col("response")).alias("flags")).select(
+        ID, "flags.*"
     )
 
 
@@ -558,12 +569,19 @@ def text_classifier(spark, sf):
     return model.predict(documents).select("doc_id", "quality", F.col(TARGET).alias("predicted"))
 
 
-@query
-def fused_text_classifier(spark, sf):
-    fit, validation = _split(spark, sf)
-    areas = geo.fit_areas(fit, restarts=2)
-    model = train.fit_row_text_model(fit, "full", areas)
-    return _report(model, train.with_row_text(validation, "full", areas))
+def _row_text_classifier(dialect: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        fit, validation = _split(spark, sf)
+        areas = geo.fit_areas(fit, restarts=2) if dialect in ("full", "serving") else None
+        model = train.fit_row_text_model(fit, dialect, areas)
+        return _report(model, train.with_row_text(validation, dialect, areas))
+
+    return run
+
+
+_queries["fused_text_classifier"] = _row_text_classifier("full")
+_queries["fused_text_classifier_plain"] = _row_text_classifier("plain")
+_queries["fused_text_classifier_qualitative"] = _row_text_classifier("worded")
 
 
 @query
