@@ -27,8 +27,7 @@ from lodgetier.runtime import HOT_KEYS, materialise, spread_join
 
 DEPTH = 40  # finest grid: 2**40 cells per axis
 CELL_POINTS = 128
-TYPICAL_POINTS = 8
-DENSITY_QUANTILES = (0.5, 0.9, 0.1)
+TYPICAL_POINTS = 9
 SAMPLE_POINTS = 20_000
 STEP = 2  # levels per step of the descent: 4 x 4 children per cell
 SLACK = 1e-9  # keeps rounding in cell edges on the safe side
@@ -111,11 +110,10 @@ def _locations(queries: DataFrame, fold: str | None) -> DataFrame:
 
 
 def _survey(points: DataFrame, searches: DataFrame) -> tuple[Grid, list[int]]:
-    """Extent of all points, and grid levels at which cells hold about TYPICAL_POINTS.
+    """A grid over all points, and the levels at which its cells hold about TYPICAL_POINTS.
 
     The levels, finest first, suit places of middling, high and low density, and one step coarser
-    than middling for what that leaves. They only decide speed and come from a small sample: each
-    level down divides a cell's points by about four.
+    than middling for what that leaves. They only decide speed and come from a small sample.
     """
     both = points.select("px", "py").union(searches.select("_x", "_y"))
     low_x, high_x, low_y, high_y = both.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
@@ -123,26 +121,29 @@ def _survey(points: DataFrame, searches: DataFrame) -> tuple[Grid, list[int]]:
         return Grid(0.0, 0.0, 1.0), []
     size = max(high_x - low_x, high_y - low_y, 1e-9) * (1 + 1e-6)
     grid = Grid(low_x, low_y, size)
-    n = points.count()
-    share = min(1.0, SAMPLE_POINTS / max(n, 1))
+    share = min(1.0, SAMPLE_POINTS / max(points.count(), 1))
     sample = points if share == 1.0 else points.sample(share, seed=1)
     cells = sample.select(grid.index(F.col("px"), grid.x0).alias("cx"), grid.index(F.col("py"), grid.y0).alias("cy"))
     drawn = cells.limit(2 * SAMPLE_POINTS).toPandas()
-    # A cell of the sample stands for cells some levels deeper in the whole table.
-    deeper = math.ceil(math.log(1 / share, 4))
-    typical = TYPICAL_POINTS * share * 4**deeper
-    finest = np.zeros(len(drawn), dtype=int)
-    for level in range(DEPTH - 1):
-        at = drawn // (1 << (DEPTH - level))
-        full = (at.groupby(["cx", "cy"]).cx.transform("size") >= typical).to_numpy()
-        if not full.any():
+    if drawn.empty:
+        return grid, []
+    # Around each sampled point: the smallest cell with enough points to judge the density by, and
+    # the width that would hold a typical number at that density.
+    level, own = np.zeros(len(drawn), dtype=int), np.full(len(drawn), len(drawn))
+    for finer in range(1, DEPTH - 2):
+        at = drawn // (1 << (DEPTH - finer))
+        size_of = at.groupby(["cx", "cy"]).cx.transform("size").to_numpy()
+        enough = size_of >= TYPICAL_POINTS
+        if not enough.any():
             break
-        finest[full] = level
-    levels: set[int] = set()
-    if len(drawn):
-        middle, *others = (int(x) + deeper for x in np.quantile(finest, DENSITY_QUANTILES, method="nearest"))
-        levels = {middle, middle - 1, *(x for x in others if abs(x - middle) > 1)}
-    return grid, sorted((min(DEPTH - 2, x) for x in levels if x > 0), reverse=True)
+        level[enough], own[enough] = finer, size_of[enough]
+    ideal = size / np.exp2(level) * np.sqrt(TYPICAL_POINTS * share / own)
+    middling, dense, thin = (max(w, size / 2.0 ** (DEPTH - 3)) for w in np.quantile(ideal, (0.5, 0.1, 0.9)))
+    main = max(1, math.ceil(math.log2(size / middling)))
+    grid = Grid(low_x, low_y, max(size, middling * 2.0**main))
+    others = {round(math.log2(grid.size / w)) for w in (dense, thin)}
+    levels = {main, main - 1, *(x for x in others if abs(x - main) > 1)}
+    return grid, sorted((x for x in levels if 0 < x <= DEPTH - 2), reverse=True)
 
 
 def _cells(df: DataFrame, grid: Grid, level: int, x: str, y: str) -> DataFrame:
