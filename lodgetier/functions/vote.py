@@ -37,7 +37,10 @@ def soft_vote(first: Column, second: Column, weight: Column | float) -> Column:
 
 
 def scores_to_vector(scores: Column) -> Column:
-    """List of {label, score} to a vector; the number after the last underscore is the index."""
+    """List of {label, score} to a vector; the number after the last underscore is the index.
+
+    Tiers that are not listed get 0; no list gives no vector.
+    """
 
     def entry(tier: int) -> Column:
         of_tier = F.filter(
@@ -45,4 +48,4 @@ def scores_to_vector(scores: Column) -> Column:
         )
         return F.coalesce(F.try_element_at(of_tier, F.lit(-1))["score"].cast("double"), F.lit(0.0))
 
-    return F.array(*[entry(tier) for tier in TIERS])
+    return F.when(scores.isNotNull(), F.array(*[entry(tier) for tier in TIERS]))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgetier.constants import ID, TARGET, TIERS, VOTE_WEIGHT, VOTE_WEIGHTS
-from lodgetier.functions.vote import argmax, soft_vote
+from lodgetier.functions.vote import argmax, scores_to_vector, soft_vote
 from lodgetier.operators.evaluate import confusion, macro_f1
 from lodgetier.runtime import spread_join
 
@@ -19,6 +20,26 @@ def one_vector_per_id(scores: DataFrame, vector: str) -> DataFrame:
     return scores.groupBy(ID).agg(*means).select(ID, F.array(*[f"m{t}" for t in TIERS]).alias(vector))
 
 
+def outside_scores(df: DataFrame, text: str, scorer: Callable[[pd.Series], Sequence]) -> DataFrame:
+    """(id, second) from a scorer that takes a batch of texts.
+
+    For every text the scorer gives a list of {label, score}. A batch it fails on has no scores,
+    so that a later vote uses the first scorer there.
+    """
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                scores = list(scorer(batch[text]))
+            except Exception:  # whatever goes wrong outside must not stop the job
+                scores = [None] * len(batch)
+            yield pd.DataFrame({ID: batch[ID], "scores": pd.Series(scores, index=batch.index, dtype=object)})
+
+    schema = f"{ID} {df.schema[ID].dataType.simpleString()}, scores array<struct<label:string,score:double>>"
+    listed = df.select(ID, text).mapInPandas(score, schema)
+    return listed.select(ID, scores_to_vector(F.col("scores")).alias("second"))
+
+
 def join_scores(first: DataFrame, second: DataFrame, left: str = "first", right: str = "second") -> DataFrame:
     """First scorer's rows with the second scorer's vector, null where it has none."""
     return spread_join(first, one_vector_per_id(second.select(ID, right), right), [ID])

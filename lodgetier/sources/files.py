@@ -16,12 +16,11 @@ CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"'}
 
 def null_na_tokens(df: DataFrame) -> DataFrame:
     """Null every string field that is exactly one of the texts standing for "missing"."""
+    columns = [(f, F.col("`" + f.name.replace("`", "``") + "`")) for f in df.schema.fields]
     return df.select(
         *[
-            F.when(~F.col(f"`{f.name}`").isin(*NA_TOKENS), F.col(f"`{f.name}`")).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
+            F.when(~c.isin(*NA_TOKENS), c).alias(f.name) if isinstance(f.dataType, T.StringType) else c
+            for f, c in columns
         ]
     )
 

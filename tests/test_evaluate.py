@@ -115,6 +115,19 @@ def test_second_scores_are_averaged_per_id(spark):
     assert len(joined) == 2 and joined[0].second == [0.5, 0.5, 0.0, 0.0]
 
 
+def test_outside_scorer(spark):
+    def scorer(texts):
+        if (texts == "bad").any():
+            raise RuntimeError("unreachable")
+        return [[{"label": f"LABEL_{len(t)}", "score": 1.0}] for t in texts]
+
+    rows = spark.createDataFrame([(1, "aa"), (2, "bad"), (3, "")], "property_id long, row_text string").repartition(3, "property_id")
+    found = {r.property_id: r.second for r in ensemble.outside_scores(rows, "row_text", scorer).collect()}
+    assert found[1] in ([0.0, 0.0, 1.0, 0.0], None) and found[2] is None
+    alone = ensemble.outside_scores(rows.where("property_id <> 2"), "row_text", scorer)
+    assert {r.property_id: r.second for r in alone.collect()} == {1: [0.0, 0.0, 1.0, 0.0], 3: [1.0, 0.0, 0.0, 0.0]}
+
+
 def test_sweep_matches_single_votes(spark):
     df = scored(spark)
     swept = {r.weight: r.macro_f1 for r in ensemble.weight_sweep(df, weights=[0.0, 0.5, 1.0]).collect()}

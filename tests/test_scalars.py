@@ -226,7 +226,7 @@ def test_vectors(spark):
 
 
 def test_scores_to_vector(spark):
-    rows = [([("LABEL_2", 0.7), ("x_y_0", 0.3)],), ([],), ([("LABEL", 0.4), ("L_9", 0.6)],)]
+    rows = [([("LABEL_2", 0.7), ("x_y_0", 0.3)],), ([],), ([("LABEL", 0.4), ("L_9", 0.6)],), (None,)]
     df = spark.createDataFrame(rows, "s array<struct<label:string,score:double>>")
     found = [r[0] for r in df.select(scores_to_vector(F.col("s"))).collect()]
-    assert found == [[0.3, 0.0, 0.7, 0.0], [0.0] * 4, [0.0] * 4]
+    assert found == [[0.3, 0.0, 0.7, 0.0], [0.0] * 4, [0.0] * 4, None]

@@ -94,6 +94,12 @@ def test_na_tokens_are_exact(spark):
     assert [r.v for r in files.null_na_tokens(df).collect()] == [None, " NA ", "-", None, None, "x"]
 
 
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([("NA", "x", "nan")], "`a.b` string, id string, `c``d` string")
+    assert files.null_na_tokens(df).first().asDict() == {"a.b": None, "id": "x", "c`d": None}
+    assert schema.repair_names(df).columns == ["property_id", "a.b", "c`d"]
+
+
 def test_quoted_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,name\n1,"two\nlines, and ""quotes"""\n2,\n')
     rows = files.read_listings(spark, str(tmp_path)).orderBy("id").collect()
