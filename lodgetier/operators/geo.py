@@ -99,14 +99,17 @@ class AreaModel:
 def fit_centres(
     df: DataFrame, k: int = DEFAULT_CLUSTERS, restarts: int = CLUSTER_RESTARTS, seed: int = SEED
 ) -> list[Centre]:
-    """k-means on the coordinates, the best of several starts."""
-    points = df.select("latitude", "longitude").dropna()
-    vectors = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(points)
-    vectors = vectors.select("features").persist()
+    """k-means on the coordinates, the best of several starts.
+
+    Rows at one place become one weighted point, so the many passes run over places, not rows.
+    """
+    places = df.select("latitude", "longitude").dropna().groupBy("latitude", "longitude").count()
+    vectors = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(places)
+    vectors = vectors.select("features", F.col("count").cast("double").alias("weight")).persist()
     try:
         # Restarts are independent; a few at a time keep the cluster busy between short jobs.
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i).fit(vectors), range(restarts)))
+            fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, weightCol="weight").fit(vectors), range(restarts)))
         best = min(fits, key=lambda m: m.summary.trainingCost)
         return sorted((float(lat), float(lon)) for lat, lon in best.clusterCenters())
     finally:

@@ -9,7 +9,7 @@ are counted and shared out by number.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Sequence
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 
 from lodgetier.constants import FOLDS, ID, SEED, SHOTS_PER_TIER, TARGET, VALIDATION_SHARE
 from lodgetier.functions.scalars import row_hash
+from lodgetier.runtime import materialise
 
 PREFIX_BITS = 16
 COPIES_PER_CHUNK = 100_000
 MAX_CLASSES = 10_000
 
+Counts = dict[str | None, int]  # per class, as text
+Bounds = dict[str | None, list[int]]
 
-def class_counts(df: DataFrame, column: str) -> dict[str | None, int]:
+
+def class_counts(df: DataFrame, column: str) -> Counts:
     """Rows per class, keyed by the class as text. For columns with few values only."""
     rows = df.groupBy(F.col(column).cast("string").alias("c")).count().limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
@@ -35,14 +39,16 @@ def stratified_split(
     df: DataFrame, share: float = VALIDATION_SHARE, by: str = TARGET, key: str = ID, seed: int = SEED
 ) -> DataFrame:
     """Add is_validation: ceil(share * n) rows, each class in proportion by largest remainder."""
-    counts = class_counts(df, by)
-    total = sum(counts.values())
-    quotas = proportional_quotas(counts, ceil(round(share * total, 6)))
-    split = _assign(df, by, key, seed, {c: [q] for c, q in quotas.items()})
+
+    def bounds(counts: Counts) -> Bounds:
+        quotas = proportional_quotas(counts, ceil(round(share * sum(counts.values()), 6)))
+        return {c: [quota] for c, quota in quotas.items()}
+
+    split = _assign(df, by, key, seed, bounds)
     return split.withColumn("is_validation", F.col("part") == 0).drop("part")
 
 
-def proportional_quotas(counts: Mapping[str | None, int], wanted: int) -> dict[str | None, int]:
+def proportional_quotas(counts: Counts, wanted: int) -> Counts:
     """Whole numbers that add up to `wanted` and differ by less than one from exact proportion."""
     total = sum(counts.values())
     exact = {c: wanted * n / total for c, n in counts.items()} if total else {}
@@ -57,23 +63,25 @@ def per_class_sample(
     df: DataFrame, k: int = SHOTS_PER_TIER, by: str = TARGET, key: str = ID, seed: int = SEED
 ) -> DataFrame:
     """k rows of every class, or all of them where a class has fewer."""
-    counts = class_counts(df, by)
-    return _assign(df, by, key, seed, {c: [k] for c in counts}).where("part = 0").drop("part")
+    return _assign(df, by, key, seed, lambda counts: {c: [k] for c in counts}).where("part = 0").drop("part")
 
 
 def kfold(df: DataFrame, k: int = FOLDS, key: str = ID, seed: int = SEED) -> DataFrame:
     """Add fold 0..k-1; sizes differ by one row at most."""
-    size, larger = divmod(df.count(), k)
-    bounds = [size * (i + 1) + min(i + 1, larger) for i in range(k - 1)]
-    return _assign(df, None, key, seed, {"": bounds}).withColumnRenamed("part", "fold")
+
+    def bounds(counts: Counts) -> Bounds:
+        size, larger = divmod(sum(counts.values()), k)
+        return {"": [size * (i + 1) + min(i + 1, larger) for i in range(k - 1)]}
+
+    return _assign(df, None, key, seed, bounds).withColumnRenamed("part", "fold")
 
 
 def subset_n(df: DataFrame, n: int, key: str = ID, seed: int = SEED) -> DataFrame:
     """n rows, uniformly."""
-    return _assign(df, None, key, seed, {"": [n]}).where("part = 0").drop("part")
+    return _assign(df, None, key, seed, lambda counts: {"": [n]}).where("part = 0").drop("part")
 
 
-def _assign(df: DataFrame, by: str | None, key: str, seed: int, bounds: dict[str | None, list[int]]) -> DataFrame:
+def _assign(df: DataFrame, by: str | None, key: str, seed: int, bounds_of: Callable[[Counts], Bounds]) -> DataFrame:
     """Add part: how many of its class's bounds (cumulative row counts) a row lies behind."""
     columns = df.columns
     group = F.col(by).cast("string") if by else F.lit("")
@@ -83,16 +91,30 @@ def _assign(df: DataFrame, by: str | None, key: str, seed: int, bounds: dict[str
         F.coalesce(row_hash(F.col(key), seed), F.lit(0)).alias("_hash"),
         F.shiftrightunsigned(F.xxhash64(*columns), 4).alias("_row"),
     )
-    return _settle(rows, columns, ["_hash", "_row"], bounds).select(*columns, "part")
+    # One pass gives both the class sizes and where in each class a bound roughly lies.
+    by_prefix = materialise(_count_prefixes(rows, "_hash"), "prefixes")
+    sizes = by_prefix.groupBy("_group").agg(F.sum("count").alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"{by} has more than {MAX_CLASSES} values, so it is no class column")
+    bounds = bounds_of({r["_group"]: r["n"] for r in sizes})
+    return _settle(rows, columns, ["_hash", "_row"], bounds, by_prefix).select(*columns, "part")
+
+
+def _prefix(order: str) -> Column:
+    return F.shiftright(F.col(order), 60 - PREFIX_BITS)
+
+
+def _count_prefixes(rows: DataFrame, order: str) -> DataFrame:
+    return rows.groupBy("_group", _prefix(order).alias("_at")).count()
 
 
 def _settle(
-    rows: DataFrame, columns: list[str], orders: list[str], bounds: dict[str | None, list[int]]
+    rows: DataFrame, columns: list[str], orders: list[str], bounds: Bounds, by_prefix: DataFrame | None = None
 ) -> DataFrame:
     order = orders[0]
-    cuts = _cuts(rows, order, bounds)
+    cuts = _cuts(rows, order, bounds, by_prefix)
     part, torn = F.lit(0), F.lit(False)
-    inner: dict[str | None, list[int]] = {}
+    inner: Bounds = {}
     for group, wanted in bounds.items():
         here = F.col("_group").eqNullSafe(F.lit(group))
         behind = F.lit(0)
@@ -115,15 +137,15 @@ def _settle(
 
 
 def _cuts(
-    rows: DataFrame, order: str, bounds: dict[str | None, list[int]]
+    rows: DataFrame, order: str, bounds: Bounds, by_prefix: DataFrame | None
 ) -> dict[tuple[str | None, int], tuple[int, int, int]]:
     """For every bound, the order value it falls on, rows before that value, and rows on it."""
     spark = rows.sparkSession
     wanted = [(g, b, b) for g, bs in bounds.items() for b in bs if b > 0]
     if not wanted:
         return {}
-    prefix = F.shiftright(F.col(order), 60 - PREFIX_BITS)
-    coarse = _positions(rows.groupBy("_group", prefix.alias("_at")).count(), wanted)
+    prefix = _prefix(order)
+    coarse = _positions(by_prefix or _count_prefixes(rows, order), wanted)
     wanted = [(r["_group"], r["bound"], r["left"], r["_at"]) for r in coarse]
     if not wanted:
         return {}
@@ -168,7 +190,7 @@ def _positions(counts: DataFrame, wanted: Sequence[tuple]) -> list:
     )
 
 
-def _share_copies(rows: DataFrame, columns: list[str], bounds: dict[str | None, list[int]]) -> DataFrame:
+def _share_copies(rows: DataFrame, columns: list[str], bounds: Bounds) -> DataFrame:
     """Share out rows that are equal in every column, by counting them.
 
     Copies are counted with partial aggregation and written out again in chunks that are spread
