@@ -138,7 +138,7 @@ def _report_text(lines: Column) -> Column:
     blank = F.lit("")
 
     def row(r: Column) -> Column:
-        full = F.format_string("%12s  %9.2f %9.2f %9.2f %9d", r["name"], r["precision"], r["recall"], r["f1"], r["support"])
+        full = F.format_string("%12s  %9.2f %9.2f %9.2f %9d", r["name"], *[r[measure] for measure in MEASURES])
         short = F.format_string("%12s  %9s %9s %9.2f %9d", r["name"], blank, blank, r["f1"], r["support"])
         text = F.when(r["name"] == "accuracy", short).otherwise(full)
         return F.when(r["position"] == 4, F.concat(F.lit("\n"), text)).otherwise(text)

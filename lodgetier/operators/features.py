@@ -147,7 +147,9 @@ def fit_tabular(
     return PipelineModel(stages)
 
 
-def fit_text(df: DataFrame, column: str, output: str = "text_vector", dimensions: int = TEXT_DIMENSIONS) -> PipelineModel:
+def fit_text(
+    df: DataFrame, column: str, output: str = "text_vector", dimensions: int = TEXT_DIMENSIONS
+) -> PipelineModel:
     """Hashed word counts weighted by inverse document frequency; only the weights are fitted."""
     tokenizer = RegexTokenizer(
         inputCol=column, outputCol="_words", pattern=r"[\p{L}\p{N}]+", gaps=False, minTokenLength=1

@@ -109,7 +109,8 @@ def fit_centres(
     try:
         # Restarts are independent; a few at a time keep the cluster busy between short jobs.
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, weightCol="weight").fit(vectors), range(restarts)))
+            starts = [KMeans(k=k, seed=seed + i, weightCol="weight") for i in range(restarts)]
+            fits = list(pool.map(lambda start: start.fit(vectors), starts))
         best = min(fits, key=lambda m: m.summary.trainingCost)
         return sorted((float(lat), float(lon)) for lat, lon in best.clusterCenters())
     finally:
@@ -124,5 +125,7 @@ def label_centres(df: DataFrame, centres: Sequence[Centre]) -> AreaModel:
     return AreaModel(tuple(centres), tuple(r.geo_label for r in rows))
 
 
-def fit_areas(df: DataFrame, k: int = DEFAULT_CLUSTERS, restarts: int = CLUSTER_RESTARTS, seed: int = SEED) -> AreaModel:
+def fit_areas(
+    df: DataFrame, k: int = DEFAULT_CLUSTERS, restarts: int = CLUSTER_RESTARTS, seed: int = SEED
+) -> AreaModel:
     return label_centres(df, fit_centres(df, k, restarts, seed))

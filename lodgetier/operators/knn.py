@@ -68,7 +68,9 @@ def knn_tier(
             break
     if not searches.isEmpty():
         found = found.unionByName(_descend(points, searches, grid, k))
-    located = queries.withColumns({"_x": _coordinate("latitude"), "_y": _coordinate("longitude"), "_f": _fold(fold, -2)})
+    located = queries.withColumns(
+        {"_x": _coordinate("latitude"), "_y": _coordinate("longitude"), "_f": _fold(fold, -2)}
+    )
     return spread_join(located, found, ["_x", "_y", "_f"]).select(*queries.columns, "geo_tier")
 
 
@@ -221,7 +223,8 @@ def _search_blocks(
     located = spread_join(_cells(searches, grid, level, "_x", "_y"), blocks, ["cx", "cy"], "inner")
     others = F.filter("points", lambda p: p["pf"] != F.col("_f"))
     measured = F.transform(
-        others, lambda p: F.struct(_distance(p["px"], p["py"]).alias("d"), p["pid"].alias("pid"), p["tier"].alias("tier"))
+        others,
+        lambda p: F.struct(_distance(p["px"], p["py"]).alias("d"), p["pid"].alias("pid"), p["tier"].alias("tier")),
     )
     voted = _add_vote(
         located.select("_x", "_y", "_f", "cx", "cy", F.slice(F.sort_array(measured), 1, k).alias("near"))

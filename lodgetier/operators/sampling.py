@@ -131,7 +131,8 @@ def _settle(
     if not inner:
         return rows.withColumn("part", part)
     settled = rows.where(~torn).withColumn("part", part)
-    rest = rows.where(torn).withColumn("_group", F.concat(F.coalesce("_group", F.lit("None")), F.lit(":"), F.col(order).cast("string")))
+    torn_group = F.concat(F.coalesce("_group", F.lit("None")), F.lit(":"), F.col(order).cast("string"))
+    rest = rows.where(torn).withColumn("_group", torn_group)
     finer = _settle(rest, columns, orders[1:], inner) if orders[1:] else _share_copies(rest, columns, inner)
     return settled.unionByName(finer)
 

@@ -412,6 +412,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT property_id, CAST(w + 6 + 1 + 6 AS INT) AS width, round(minimum_nights + number_of_reviews + calculated_host_listings_count + availability_365
               + latitude + longitude + code + 2 + has_luxury + has_view + has_outdoor + is_shared + needs_work + has_amenities, 6) AS total
             FROM listings JOIN codes USING (neighbourhood) JOIN f USING (property_id), widths""",
+        "text_vectors": "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS BIGINT) AS words, CAST(4096 AS INT) AS width FROM documents",
+        "predict_proba_sums": "SELECT property_id, CAST(4 AS INT) AS tiers, 1e0 AS total, true AS none_negative FROM newcomers",
         "class_weights": "WITH c AS (SELECT price_tier, count(*) AS n FROM listings GROUP BY price_tier) SELECT price_tier, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM c",
         "class_weights_quality": "WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality) SELECT quality, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM c",
         "sample_weights": "WITH c AS (SELECT price_tier, count(*) AS n FROM listings GROUP BY price_tier) SELECT property_id, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM listings JOIN c USING (price_tier)",

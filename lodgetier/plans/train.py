@@ -27,6 +27,7 @@ from lodgetier.constants import (
     SEED,
     TARGET,
     TEXT,
+    TIERS,
 )
 from lodgetier.functions.answers import text_flags
 from lodgetier.functions.phrases import location_prefix, row_text
@@ -96,7 +97,7 @@ def classifier(kind: str, weighted: bool, features: str = "features", trees: int
         one = GBTClassifier(
             maxIter=trees, maxDepth=DEPTH, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED
         )
-        return OneVsRest(classifier=one, **common)
+        return OneVsRest(classifier=one, parallelism=len(TIERS), **common)
     if kind == "linear":
         return LogisticRegression(family="multinomial", maxIter=50, regParam=0.01, **common)
     raise ValueError(f"unknown kind {kind!r}")
@@ -147,7 +148,14 @@ def fit_tabular_model(
     return TierModel(fit_classifier(rows, encoders, kind, balanced, trees=trees), areas, hotspots)
 
 
-def fit_text_model(train: DataFrame, column: str = TEXT, kind: str = "linear", balanced: bool = True, label: str = TARGET, trees: int = TREES) -> TierModel:
+def fit_text_model(
+    train: DataFrame,
+    column: str = TEXT,
+    kind: str = "linear",
+    balanced: bool = True,
+    label: str = TARGET,
+    trees: int = TREES,
+) -> TierModel:
     """Classifier on one text column."""
     encoders = fit_text(train, column)
     return TierModel(fit_classifier(train, encoders, kind, balanced, "text_vector", trees, label))

@@ -496,8 +496,10 @@ def assemble_features(spark, sf):
 def text_vectors(spark, sf):
     documents = table(spark, sf, "documents")
     vectorised = features.fit_text(documents, "text").transform(documents)
-    array = vector_to_array("text_vector")
-    return vectorised.select("doc_id", F.size(F.filter(array, lambda x: x > 0)).alias("terms"))
+    counted = F.aggregate(vector_to_array("_counts"), F.lit(0.0), lambda a, x: a + x)
+    return vectorised.select(
+        "doc_id", counted.cast("bigint").alias("words"), F.size(vector_to_array("text_vector")).alias("width")
+    )
 
 
 @query
@@ -553,6 +555,20 @@ def predict_proba(spark, sf):
     return scored.select(ID, *[F.get("scores", F.lit(t)).alias(f"p{t}") for t in range(4)])
 
 
+@query
+def predict_proba_sums(spark, sf):
+    rows = schema.clean_listings(table(spark, sf, "newcomers"))
+    model = train.fit_tabular_model(_clean(spark, sf), trees=FEW_TREES, restarts=2)
+    scored = model.probabilities(rows)
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    return scored.select(
+        ID,
+        F.size("scores").alias("tiers"),
+        F.round(total, 6).alias("total"),
+        (F.array_min("scores") >= 0).alias("none_negative"),
+    )
+
+
 @query
 def linear_probe(spark, sf):
     embeddings = table(spark, sf, "embeddings")
@@ -740,7 +756,13 @@ def sweep_top5(spark, sf):
 @query
 def holdout_eval(spark, sf):
     fit, validation = _split(spark, sf)
-    return compare.holdout_eval(train.fit_tabular_model(fit, trees=FEW_TREES, restarts=2), validation)
+    saved, held_out = scratch_path(spark, "model"), scratch_path(spark, "held-out")
+    train.fit_tabular_model(fit, trees=FEW_TREES, restarts=2).save(spark, saved)
+    files.write_csv(validation.withColumnRenamed("minimum_nights", "min_nights_required"), held_out)
+    rows = schema.clean_listings(files.read_listings(spark, held_out))
+    return compare.holdout_eval(
+        train.TierModel.load(spark, saved), rows.withColumn(TARGET, safe_int(F.col(TARGET)).cast("int"))
+    )
 
 
 @query
