@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,9 +114,7 @@ def run_report(raw: DataFrame, cleaned: DataFrame, mapping: Mapping[str, str | N
         ("schema", "defaults_applied", ", ".join(defaulted)),
     ]
     gaps = {c: F.count_if(is_missing(c)) for c in INFERABLE}
-    any_gap = F.lit(False)
-    for c in INFERABLE:
-        any_gap = any_gap | is_missing(c)
+    any_gap = reduce(or_, (is_missing(c) for c in INFERABLE))
     counts = cleaned.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(non_english(F.col(TEXT))).alias("non_english"),

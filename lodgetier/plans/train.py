@@ -40,6 +40,8 @@ from lodgetier.runtime import materialise
 
 TREES = 100
 DEPTH = 6
+BINS = 128  # split candidates per feature; coordinates need more than the usual 32
+WIDE_BINS = 32  # for thousands of text features
 
 
 @dataclass(frozen=True)
@@ -87,15 +89,28 @@ def probability_vector(classifier: object) -> Column:
     return vector_to_array(F.col("probability"))
 
 
-def classifier(kind: str, weighted: bool, features: str = "features", trees: int = TREES):
+def classifier(kind: str, weighted: bool, features: str = "features", trees: int = TREES, bins: int = BINS):
     """forest, boosted (one boosted model per tier) or linear."""
     weight = {"weightCol": "_weight"} if weighted else {}
     common = {"labelCol": TARGET, "featuresCol": features} | weight
     if kind == "forest":
-        return RandomForestClassifier(numTrees=trees, maxDepth=DEPTH, subsamplingRate=0.8, seed=SEED, **common)
+        return RandomForestClassifier(
+            numTrees=trees,
+            maxDepth=DEPTH,
+            maxBins=bins,
+            subsamplingRate=0.8,
+            seed=SEED,
+            **common,
+        )
     if kind == "boosted":
         one = GBTClassifier(
-            maxIter=trees, maxDepth=DEPTH, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED
+            maxIter=trees,
+            maxDepth=DEPTH,
+            maxBins=bins,
+            stepSize=0.05,
+            subsamplingRate=0.8,
+            featureSubsetStrategy="0.8",
+            seed=SEED,
         )
         return OneVsRest(classifier=one, parallelism=len(TIERS), **common)
     if kind == "linear":
@@ -111,6 +126,7 @@ def fit_classifier(
     features: str = "features",
     trees: int = TREES,
     label: str = TARGET,
+    bins: int = BINS,
 ) -> PipelineModel:
     """Fit on encoded rows. The encoded rows are written once and reread by every pass."""
     labelled = df.where(F.col(label).isNotNull())
@@ -118,7 +134,7 @@ def fit_classifier(
     weight = sample_weight(labelled, label) if balanced else F.lit(1.0)
     rows = encoded.select(features, F.col(label).cast("double").alias(TARGET), weight.alias("_weight"))
     rows = materialise(rows, "training")
-    model = classifier(kind, balanced, features, trees).fit(rows)
+    model = classifier(kind, balanced, features, trees, bins).fit(rows)
     return PipelineModel([*(encoders.stages if encoders else []), model])
 
 
@@ -158,7 +174,7 @@ def fit_text_model(
 ) -> TierModel:
     """Classifier on one text column."""
     encoders = fit_text(train, column)
-    return TierModel(fit_classifier(train, encoders, kind, balanced, "text_vector", trees, label))
+    return TierModel(fit_classifier(train, encoders, kind, balanced, "text_vector", trees, label, WIDE_BINS))
 
 
 def with_row_text(df: DataFrame, dialect: str, areas: AreaModel | None = None) -> DataFrame:
@@ -212,7 +228,8 @@ def fit_feature_set(train: DataFrame, name: str, trees: int = TREES) -> TierMode
         raise ValueError(f"unknown feature set {name!r}")
     tabular = fit_tabular(rows, BASE_NUMERIC, ONE_HOT, ordinal, extra)
     encoders = PipelineModel([*stages, *tabular.stages])
-    return TierModel(fit_classifier(train, encoders, "forest", balanced=False, trees=trees))
+    bins = WIDE_BINS if stages else BINS
+    return TierModel(fit_classifier(train, encoders, "forest", balanced=False, trees=trees, bins=bins))
 
 
 def split_frames(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -86,3 +86,11 @@ def test_coinciding_rows_are_reduced_before_the_search(spark):
     places = knn._places(train, None, 15, "property_id")
     assert [r.pid for r in places.orderBy("pid").collect()] == list(range(15))
     assert found(knn.knn_tier(train, train.limit(3))) == [0, 0, 0]
+
+
+def test_crowded_places_are_limited_before_the_shuffle(spark, sf, monkeypatch):
+    from lodgetier.fixtures import table
+
+    monkeypatch.setattr(knn, "materialise", lambda df, name: df)
+    plan = knn._places(table(spark, sf, "located"), None, 15, "property_id")._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("WindowGroupLimit") == 2 and "Partial" in plan.toString()
