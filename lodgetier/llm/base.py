@@ -34,7 +34,7 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """`mapInArrow` with this package at hand in the tasks."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

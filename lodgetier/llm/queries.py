@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgetier.llm import bpe, sharding, simhash
+from lodgetier.llm import bpe, sharding, simhash, suffix
 from lodgetier.llm.base import table
 
 
@@ -18,6 +18,10 @@ def op7_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_table(table(spark, folder, "documents"))
 
 
+def op8_bucket_pointer_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.repeats_table(table(spark, folder, "documents"))
+
+
 def op9_pair_index_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.bpe_table(table(spark, folder, "documents"))
 
