@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgetier.llm import bpe, sharding, simhash, suffix
+from lodgetier.llm import bpe, outliers, sharding, simhash, suffix
 from lodgetier.llm.base import table
 
 
@@ -26,6 +26,10 @@ def op9_pair_index_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.bpe_table(table(spark, folder, "documents"))
 
 
+def op10_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.quality_table(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
