@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgetier.llm import bpe, outliers, sharding, simhash, suffix
+from lodgetier.llm import bpe, mixing, outliers, sharding, simhash, suffix
 from lodgetier.llm.base import table
 
 
+def op1_multinomial_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_table(table(spark, folder, "documents"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicate_table(table(spark, folder, "documents"))
 
