@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgetier.llm import bpe, mixing, outliers, sharding, simhash, suffix, toxicity
+from lodgetier.llm import bpe, mixing, outliers, packing, sharding, simhash, suffix, toxicity
 from lodgetier.llm.base import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicate_table(table(spark, folder, "documents"))
 
 
+def op3_simple8b_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.ids_table(table(spark, folder, "documents"))
+
+
 def op4_kneser_ney_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_table(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
