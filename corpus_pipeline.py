@@ -6,24 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgetier.llm import bpe, simhash
+from lodgetier.llm import bpe, cotrain, mixing, simhash, suffix
+from lodgetier.llm.base import table
 from lodgetier.runtime import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return cotrain.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
     return simhash.keep_one_of_each(docs)
 
 
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes or more that occur elsewhere are cut out of their documents."""
+    return suffix.without_repeats(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document, a row for each time it takes them."""
+    return mixing.mixed_documents(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that came so far, with the digests of the encoding."""
     return bpe.bpe_table(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
     ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeats),
+    ("mixing", mixture),
     ("bpe", tokens),
 ]
 

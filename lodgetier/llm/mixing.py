@@ -210,6 +210,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     )
     met = docs.join(lists, same).drop("_id", "_source", "_mark")
 
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, texts = [], []
@@ -218,7 +220,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
                     at.append(i)
                     texts.append(_take(text, some))
             taken = batch.take(pa.array(at, pa.int64()))
-            columns = {n: taken.column(n) for n in docs.columns} | {"text": pa.array(texts, pa.string())}
+            columns = {n: taken.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(taken.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

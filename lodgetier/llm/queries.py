@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgetier.llm import bpe, mixing, outliers, packing, sharding, simhash, suffix, toxicity, vptree
+from lodgetier.llm import bpe, cotrain, mixing, outliers, packing, sharding, simhash, suffix, toxicity, vptree
 from lodgetier.llm.base import table
 
 
@@ -30,6 +30,10 @@ def op5_vantage_point_trees(spark: SparkSession, folder: str) -> DataFrame:
     return vptree.neighbour_table(table(spark, folder, "embeddings"))
 
 
+def op6_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return cotrain.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_table(table(spark, folder, "documents"))
 
