@@ -119,7 +119,7 @@ def cotrain(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], roun
     for _ in range(rounds):
         handed = []
         for view in (0, 1):
-            at = np.flatnonzero(left)
+            at = np.flatnonzero(left)  # an empty pool hands over nothing
             p = 1 / (1 + np.exp(-models[view].logit(pool[view][at])))
             most = max(1, int(HANDED * len(pool[0])))
             good, bad = at[np.argsort(-p, kind="stable")[:most]], at[np.argsort(p, kind="stable")[:most]]
@@ -154,7 +154,8 @@ class Quality:
 def _sample(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
     chosen = rows.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(most).select("content", "meta", "quality")
     table = chosen.toArrow()
-    views = [np.array(table.column(c).to_pylist(), dtype=np.float64).reshape(table.num_rows, -1) for c in ("content", "meta")]
+    widths = {"content": len(CONTENT), "meta": SOURCE_PLACES + LANG_PLACES + 2}
+    views = [np.array(table.column(c).to_pylist(), dtype=np.float64).reshape(table.num_rows, n) for c, n in widths.items()]
     return views, table.column("quality").to_numpy(zero_copy_only=False).astype(np.float64)
 
 
@@ -174,7 +175,7 @@ def fit(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Quality |
     if any(len(set(y[side].tolist())) < 2 for side in (kept, ~kept)):
         return None
     pool, _ = _sample(marked.where("quality is null"), MOST_POOL)
-    return Quality(views, y, kept, [p.reshape(len(p), x.shape[1]) for p, x in zip(pool, views)], rounds)
+    return Quality(views, y, kept, pool, rounds)
 
 
 def _score(model: Quality | None, content: pa.Array, meta: pa.Array) -> np.ndarray:

@@ -199,7 +199,7 @@ def nearest(
     blocks = materialise(_blocks(asked, query_rows, asked_n).withColumnsRenamed({"block": "_q", "ids": "q_ids", "data": "q_data"}), "blocks")
     count, asked_count = max(1, -(-n // shard_rows)), max(1, -(-asked_n // query_rows))
     everywhere = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    meeting = shards.join(everywhere, ["dim", "shard"]).repartition(min(20_000, count * asked_count), "shard", "_q")
+    meeting = shards.join(everywhere.hint("merge"), ["dim", "shard"]).repartition(min(20_000, count * asked_count), "shard", "_q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
