@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +12,12 @@ from pyspark.sql import types as T
 
 from lodgetier.constants import ID, NA_TOKENS, TARGET
 from lodgetier.functions.scalars import identifier
+from lodgetier.operators.schema import plain_name, repair_names
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"'}
+CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": True}
+
+#: Column for lines whose fields don't match their header.
+RAGGED = "_ragged_line"
 
 
 def null_na_tokens(df: DataFrame) -> DataFrame:
@@ -25,13 +31,94 @@ def null_na_tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def read_listings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def file_headers(spark: SparkSession, *paths: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of some paths (file, folder or pattern) by the column names of their first line.
+
+    Only first lines are read, through the file system of the path; names come back as written.
+    """
+    jvm = spark._jvm
+    settings = spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(settings)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    todo = []
+    for place in map(jvm.org.apache.hadoop.fs.Path, paths):
+        system = place.getFileSystem(settings)
+        todo += [(system, status) for status in system.globStatus(place) or ()]
+    while todo:
+        system, status = todo.pop()
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            todo += [(system, inner) for inner in system.listStatus(status.getPath())]
+            continue
+        stream = system.open(status.getPath())
+        codec = codecs.getCodec(status.getPath())
+        stream = codec.createInputStream(stream) if codec else stream
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        try:
+            first = lines.readLine()
+        finally:
+            lines.close()
+        if first:
+            header = next(csv.reader([first.removeprefix("\ufeff")]))
+            groups.setdefault(tuple(header), []).append(status.getPath().toString())
+    return groups
+
+
+def text_schema(names: Sequence[str]) -> T.StructType:
+    """Positions instead of names, since names may differ in case only, and a place for what doesn't fit."""
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    return T.StructType([*fields, T.StructField(RAGGED, T.StringType())])
+
+
+def under_names(df: DataFrame, names: Sequence[str], ragged: str) -> DataFrame:
+    """Columns read by position under their names; names equal but for case and blanks are one column.
+
+    Of several values for one column the first present wins. Rows with more or fewer fields than the
+    header are refused ("fail"), left out ("drop") or kept with their line in `RAGGED` ("keep").
+    """
+    if ragged not in ("fail", "drop", "keep"):
+        raise ValueError(f"unknown treatment {ragged!r}")
+    places: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        same = next((n for n in places if plain_name(n) == plain_name(name)), name)
+        places.setdefault(same, []).append(i)
+    clean = null_na_tokens(df)
+    columns = [F.coalesce(*[F.col(f"c{i}") for i in at]).alias(name) for name, at in places.items()]
+    if ragged == "keep":
+        return clean.select(*columns, RAGGED)
+    if ragged == "drop":
+        return clean.where(F.col(RAGGED).isNull()).select(*columns)
+    message = F.concat(F.lit("row with another number of fields than the header: "), F.col(RAGGED))
+    first = F.when(F.col(RAGGED).isNotNull(), F.raise_error(message).cast("string")).otherwise(columns[0])
+    return clean.select(first.alias(next(iter(places))), *columns[1:])
+
+
+def read_listings(
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = True, ragged: str = "fail"
+) -> DataFrame:
     """Every CSV column as text, with missing-value texts nulled; no inference pass.
 
+    Each file is read by its own header, so files may differ in order and number of columns. Files with one
+    header are read together under the names as written; with several headers, names are normalised and
+    aliases resolved before the files are put together, and absent columns are null. A row with more or
+    fewer fields than its header is refused, left out or kept by `ragged`.
+
     Quoted line breaks need `multi_line`, which reads one file per task. Tables without line
     breaks inside fields should be read with multi_line=False, so that large files are split.
     """
-    return null_na_tokens(spark.read.options(**CSV_OPTIONS | {"multiLine": multi_line}).csv(path))
+    options = CSV_OPTIONS | {"multiLine": multi_line, "columnNameOfCorruptRecord": RAGGED}
+    groups = file_headers(spark, *([path] if isinstance(path, str) else path))
+    if not groups:
+        raise ValueError(f"no CSV file with a header under {path}")
+    tables = []
+    for names, found in sorted(groups.items()):
+        rows = spark.read.schema(text_schema(names)).options(**options).csv(sorted(found))
+        tables.append(under_names(rows, names, ragged))
+    if len(tables) == 1:
+        return tables[0]
+    return reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), map(repair_names, tables))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -1,39 +1,50 @@
-"""Scoring of listing files as they arrive; the same transforms as in batch, without state."""
+"""Scoring of listing files as they arrive: the batch preparation and scoring, file by file."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lodgetier.operators.schema import clean_listings
-from lodgetier.plans.batch import score_batch
+from lodgetier.plans.batch import prepare, score_batch
 from lodgetier.plans.train import TierModel
-from lodgetier.sources.files import CSV_OPTIONS, null_na_tokens
+from lodgetier.sources.files import predictions_table, read_listings
 
 
-def listing_stream(spark: SparkSession, folder: str, columns: list[str], files_per_batch: int = 1000) -> DataFrame:
-    """Every CSV column as text, from files put into a folder; the columns are those of the header."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    stream = spark.readStream.schema(schema).options(**CSV_OPTIONS).option("maxFilesPerTrigger", files_per_batch)
-    return null_na_tokens(stream.csv(folder))
+def listing_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Paths of CSV files put into a folder; their content is not read here."""
+    fields = "path string, modificationTime timestamp, length bigint, content binary"
+    stream = spark.readStream.schema(fields).format("binaryFile").option("maxFilesPerTrigger", files_per_batch)
+    return stream.load(folder).select("path")
 
 
 def score_stream(
-    stream: DataFrame,
+    arriving: DataFrame,
     tabular: TierModel,
     output: str,
     checkpoint: str,
     text: TierModel | None = None,
+    external: DataFrame | None = None,
+    multi_line: bool = True,
+    ragged: str = "fail",
     until_done: bool = False,
+    **preparation,
 ) -> StreamingQuery:
-    """Write (id, price_tier) for every arriving row, exactly once, as parquet files.
+    """Write (id, price_tier) for every row of arriving files, exactly once, as parquet under `output`.
 
-    The file sink's log and the checkpoint make a restarted query go on where it stopped.
-    With until_done, the query stops after the files present at the start.
+    Each file is read by its own header and prepared as in batch; `preparation` takes the same mapping and
+    static tables of translations and inferences. A batch goes to a folder of its own, which a repeated
+    attempt replaces, and the checkpoint makes a restarted query go on where it stopped. With until_done,
+    the query stops after the files present at the start.
     """
-    scored = score_batch(clean_listings(stream), tabular, text)
-    writer = scored.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+
+    def score(batch: DataFrame, number: int) -> None:
+        paths = [r.path for r in batch.collect()]  # at most files_per_batch
+        if paths:
+            rows = prepare(read_listings(batch.sparkSession, paths, multi_line, ragged), **preparation)
+            scored = predictions_table(score_batch(rows, tabular, text, external))
+            scored.write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    writer = arriving.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
     if until_done:
         writer = writer.trigger(availableNow=True)
-    return writer.start(output)
+    return writer.start()

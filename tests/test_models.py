@@ -104,10 +104,10 @@ def test_stream_equals_batch(spark, listings, model, tmp_path):
     raw = raw_listings(spark, "/root/testdata/sf0.001").repartition(3)
     files.write_csv(raw, folder)
     for _ in range(2):  # the second run finds nothing new
-        stream = streaming.listing_stream(spark, folder, raw.columns, files_per_batch=1)
+        stream = streaming.listing_files(spark, folder, files_per_batch=1)
         streaming.score_stream(stream, model, out, log, until_done=True).awaitTermination()
-    found = sorted(spark.read.parquet(out).collect())
-    expected = batch.score_batch(schema.clean_listings(files.read_listings(spark, folder)), model)
+    found = sorted(spark.read.parquet(out).select("property_id", "price_tier").collect())
+    expected = batch.score_batch(batch.prepare(files.read_listings(spark, folder)), model)
     assert found == sorted(expected.collect()) and len(found) == listings.count()
 
 
@@ -130,3 +130,19 @@ def test_unknown_names(listings):
     for call in (lambda: train.classifier("x", True), lambda: train.fit_feature_set(listings, "x")):
         with pytest.raises(ValueError):
             call()
+
+
+def test_saving_twice_loads_the_second(spark, listings, tmp_path):
+    first = train.fit_tabular_model(listings, clusters=3, trees=3, restarts=1)
+    second = train.fit_tabular_model(listings, clusters=5, hotspots=False, trees=4, restarts=1)
+    for model in (first, second):
+        model.save(spark, str(tmp_path / "m"))
+    loaded = train.TierModel.load(spark, str(tmp_path / "m"))
+    assert loaded.areas == second.areas and loaded.hotspots is False
+    assert loaded.pipeline.stages[-1].getNumTrees == 4
+
+
+def test_listings_without_coordinates_are_in_the_city_centre(spark, model):
+    centre = spark.createDataFrame([(1, 40.7128, -74.006), (2, None, None)], "id int, latitude double, longitude double")
+    labels = {r.geo_label for r in model.areas.transform(centre).collect()}
+    assert labels == {model.areas.transform(centre.select("id")).first().geo_label}

@@ -106,6 +106,32 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert [r.name for r in rows] == ['two\nlines, and "quotes"', None]
 
 
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name,lat,lng\n1,one,40.1,-73.1\n")
+    (tmp_path / "b.csv").write_text("lat,lng,id,name\n40.2,-73.2,2,two\n")
+    (tmp_path / "c.csv").write_text("Property ID,lng\n3,NA\n")
+    rows = {r.property_id: r for r in schema.repair_names(files.read_listings(spark, str(tmp_path))).collect()}
+    assert (rows["1"].description, rows["1"].latitude) == ("one", "40.1")
+    assert (rows["2"].description, rows["2"].latitude, rows["2"].longitude) == ("two", "40.2", "-73.2")
+    assert rows["3"].description is None and rows["3"].longitude is None
+
+
+def test_names_that_differ_in_case_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffid,Name,name,lat\n1,one,,40.1\n2,,two,40.2\n')
+    rows = files.read_listings(spark, str(tmp_path))
+    assert [r.description for r in schema.repair_names(rows).orderBy("property_id").collect()] == ["one", "two"]
+
+
+@pytest.mark.parametrize("line", ["2,two,three", "2"])
+def test_rows_that_do_not_fit_their_header(spark, tmp_path, line):
+    (tmp_path / "a.csv").write_text(f"id,name\n1,one\n{line}\n")
+    with pytest.raises(Exception, match="another number of fields"):
+        files.read_listings(spark, str(tmp_path)).collect()
+    assert [r.id for r in files.read_listings(spark, str(tmp_path), ragged="drop").collect()] == ["1"]
+    kept = files.read_listings(spark, str(tmp_path), ragged="keep")
+    assert sorted(str(r[files.RAGGED]) for r in kept.collect()) == [line, "None"]
+
+
 def test_records_keep_nulls_and_types(spark, tmp_path):
     df = spark.createDataFrame([(1, None, 0.5), (2, "ü\n", None)], "property_id long, description string, x double")
     files.write_records(df, str(tmp_path / "r"))
