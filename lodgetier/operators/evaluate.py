@@ -15,8 +15,10 @@ def eval_join(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """Predictions with labels of the same id: (id, price_tier, true_tier, n).
 
     An inner join in which repeated ids multiply, as n; both sides are counted per id and tier
-    first, so that an id with very many copies costs a handful of rows.
+    first, so that an id with very many copies costs a handful of rows. Rows without a tier on
+    either side can't be judged and take no part; `dropped_rows` counts them.
     """
+    predictions, labels = predictions.where(F.col(TARGET).isNotNull()), labels.where(F.col(TARGET).isNotNull())
     predicted = predictions.groupBy(ID, TARGET).agg(F.count(F.lit(1)).alias("n_predicted"))
     actual = labels.groupBy(ID, F.col(TARGET).alias("true_tier")).agg(F.count(F.lit(1)).alias("n_actual"))
     return predicted.join(actual, ID).select(
@@ -24,10 +26,17 @@ def eval_join(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def dropped_rows(predictions: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: predictions and labels that have no tier."""
+    count = F.count_if(F.col(TARGET).isNull())
+    return predictions.agg(count.alias("no_prediction")).join(labels.agg(count.alias("no_label")))
+
+
 def confusion(
     df: DataFrame, *by: str, weight: Column | None = None, truth: str = "true_tier", predicted: str = TARGET
 ) -> DataFrame:
-    """Rows per (true, predicted), within groups `by` if given."""
+    """Rows per (true, predicted), within groups `by` if given; rows lacking either are left out."""
+    df = df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
     return df.groupBy(*by, F.col(truth).cast("int").alias("t"), F.col(predicted).cast("int").alias("p")).agg(
         F.sum(F.lit(1) if weight is None else weight).cast("bigint").alias("n")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgetier.constants import EXAMPLE_FIELDS, ID, SEED, SHOTS_PER_TIER, TARGET, TIER_NAMES
+from lodgetier.constants import EXAMPLE_FIELDS, ID, SEED, SHOTS_PER_TIER, TARGET, TIER_NAMES, TIERS
 from lodgetier.functions.scalars import row_hash
 from lodgetier.operators.sampling import per_class_sample
 
@@ -27,8 +27,8 @@ def _fields() -> list[Column]:
 
 
 def few_shot_block(labelled: DataFrame, k: int = SHOTS_PER_TIER, seed: int = SEED) -> DataFrame:
-    """One row, column `block`: k example lines per tier in shuffled order."""
-    sample = per_class_sample(labelled, k, seed=seed)
+    """One row, column `block`: k example lines of each of the four tiers in shuffled order."""
+    sample = per_class_sample(labelled.where(F.col(TARGET).isin(*TIERS)), k, seed=seed)
     line = F.concat(F.lit("  "), F.concat_ws(" | ", *_fields()), F.lit(" → "), _written(TARGET))
     # k lines per tier, so the list stays short whatever was sampled from.
     shuffled = sample.select(row_hash(F.col(ID), seed + 1).alias("place"), F.col(ID).alias("id"), line.alias("line"))

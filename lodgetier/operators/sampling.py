@@ -62,7 +62,8 @@ def proportional_quotas(counts: Counts, wanted: int) -> Counts:
 def per_class_sample(
     df: DataFrame, k: int = SHOTS_PER_TIER, by: str = TARGET, key: str = ID, seed: int = SEED
 ) -> DataFrame:
-    """k rows of every class, or all of them where a class has fewer."""
+    """k rows of every class, or all of them where a class has fewer; null is no class."""
+    df = df.where(F.col(by).isNotNull())
     return _assign(df, by, key, seed, lambda counts: {c: [k] for c in counts}).where("part = 0").drop("part")
 
 

@@ -174,7 +174,7 @@ def test_areas(spark, tmp_path):
     areas.save(spark, str(tmp_path / "areas"))
     assert geo.AreaModel.load(spark, str(tmp_path / "areas")) == areas
     found = areas.transform(spark.createDataFrame([(9.0, 9.0), (None, 1.0)], "latitude double, longitude double"))
-    assert [r.geo_label for r in found.collect()] == ["standard area", None]
+    assert [r.geo_label for r in found.collect()] == ["standard area", "luxury district"]
 
 
 def test_empty_cluster_is_listed(spark):
@@ -219,3 +219,23 @@ def test_too_many_categories(spark, monkeypatch):
 
 def test_tiers():
     assert TIERS == (0, 1, 2, 3)
+
+
+def test_rows_without_a_tier_are_not_judged(spark):
+    predicted = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, None)], "property_id long, price_tier int")
+    truth = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 2)], "property_id long, price_tier int")
+    record = evaluate.evaluate_tables(predicted, truth).first()
+    assert (record.macro_f1, record.n_evaluated) == (1.0, 2)
+    assert evaluate.dropped_rows(predicted, truth).first() == (1, 1)
+
+
+def test_examples_come_from_the_four_tiers(spark):
+    from lodgetier.operators import prompts, sampling
+
+    rows = [(i, None if i % 2 else i // 2 % 4) for i in range(80)] + [(99, 7)]
+    df = spark.createDataFrame(rows, "property_id long, price_tier int")
+    assert {r.price_tier for r in sampling.per_class_sample(df, 2).collect()} == {0, 1, 2, 3, 7}
+    blank = {c: None for _, c in prompts.EXAMPLE_FIELDS}
+    wide = df.selectExpr("*", *[f"cast(null as string) AS {c}" for c in blank if c not in df.columns])
+    block = prompts.few_shot_block(wide, 3).first().block
+    assert len(block.split("\n")) == 12 and "nan\n" not in block.split("→")[-1]
