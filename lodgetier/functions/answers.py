@@ -17,8 +17,8 @@ def non_english(text: Column, share: float = NON_ASCII_SHARE) -> Column:
 
 
 def text_flag(text: Column, words: tuple[str, ...]) -> Column:
-    """1 where one of the words occurs as a whole word, else 0."""
-    pattern = "(?<![a-z])(?:" + "|".join(re.escape(w) for w in words) + ")(?![a-z])"
+    """1 where one of the words occurs, alone or in the plural, else 0."""
+    pattern = "(?<![a-z])(?:" + "|".join(re.escape(w) for w in words) + ")s?(?![a-z])"
     return F.coalesce(F.lower(text).rlike(pattern).cast("int"), F.lit(0))
 
 
@@ -29,12 +29,12 @@ def text_flags(text: Column) -> dict[str, Column]:
 def first_mentioned(text: Column, column: str) -> Column:
     """The valid value of `column` that the text mentions first; null if it mentions none."""
     lowered = F.lower(text)
-    mentions = F.array(
-        *[
-            F.struct(F.nullif(F.locate(value.lower(), lowered), F.lit(0)).alias("at"), F.lit(value).alias("value"))
-            for value in VOCABULARY[column]
-        ]
-    )
+
+    def place(value: str) -> Column:
+        """Where the value first stands as words of its own."""
+        return F.nullif(F.regexp_instr(lowered, F.lit(f"(?<![a-z0-9]){re.escape(value.lower())}(?![a-z0-9])")), F.lit(0))
+
+    mentions = F.array(*[F.struct(place(v).alias("at"), F.lit(v).alias("value")) for v in VOCABULARY[column]])
     return F.array_min(F.filter(mentions, lambda m: m["at"].isNotNull()))["value"]
 
 

@@ -169,15 +169,15 @@ def test_non_english(spark):
 
 def test_flags_need_whole_words(spark):
     flags = text_flags(F.col("v"))
-    texts = ["Great reviews", "River VIEW!", "poolside", "a pool", None]
-    assert values(spark, texts, lambda _: flags["has_view"]) == [0, 1, 0, 0, 0]
-    assert values(spark, texts, lambda _: flags["has_amenities"]) == [0, 0, 0, 1, 0]
+    texts = ["Great reviews", "River VIEW!", "poolside", "a pool", None, "great views, two pools"]
+    assert values(spark, texts, lambda _: flags["has_view"]) == [0, 1, 0, 0, 0, 1]
+    assert values(spark, texts, lambda _: flags["has_amenities"]) == [0, 0, 0, 1, 0, 1]
 
 
 def test_first_mentioned(spark):
-    texts = ["From Queens to Manhattan", "STATEN ISLAND ferry", "nowhere", None]
+    texts = ["From Queens to Manhattan", "STATEN ISLAND ferry", "nowhere", None, "near Queensboro bridge, Brooklyn"]
     found = values(spark, texts, lambda c: first_mentioned(c, "neighbourhood_group"))
-    assert found == ["Queens", "Staten Island", None, None]
+    assert found == ["Queens", "Staten Island", None, None, "Brooklyn"]
 
 
 def test_parsed_flags(spark):
