@@ -89,6 +89,9 @@ HOTSPOTS = {
 }
 HOTSPOT_COLUMNS = tuple(f"dist_{name}" for name in HOTSPOTS)
 
+# Fixed value: where listings without coordinates are taken to be.
+CITY_CENTRE = (40.7128, -74.006)
+
 # Mean tier from (inclusive), to (exclusive), area label.
 AREA_LABELS = (
     (0.0, 0.75, "budget area"),

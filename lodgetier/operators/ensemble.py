@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lodgetier.constants import ID, TARGET, TIERS, VOTE_WEIGHT, VOTE_WEIGHTS
 from lodgetier.functions.vote import argmax, scores_to_vector, soft_vote
 from lodgetier.operators.evaluate import confusion, macro_f1
-from lodgetier.runtime import spread_join
 
 
 def one_vector_per_id(scores: DataFrame, vector: str) -> DataFrame:
@@ -42,7 +41,7 @@ def outside_scores(df: DataFrame, text: str, scorer: Callable[[pd.Series], Seque
 
 def join_scores(first: DataFrame, second: DataFrame, left: str = "first", right: str = "second") -> DataFrame:
     """First scorer's rows with the second scorer's vector, null where it has none."""
-    return spread_join(first, one_vector_per_id(second.select(ID, right), right), [ID])
+    return first.join(one_vector_per_id(second.select(ID, right), right), ID, "left")
 
 
 def vote_or_first(first: Column, second: Column, weight: float = VOTE_WEIGHT) -> Column:

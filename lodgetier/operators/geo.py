@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from lodgetier.constants import (
     AREA_LABEL_OTHERWISE,
     AREA_LABELS,
+    CITY_CENTRE,
     CLUSTER_RESTARTS,
     DEFAULT_CLUSTERS,
     HOTSPOTS,
@@ -23,7 +25,11 @@ from lodgetier.constants import (
 )
 
 Centre = tuple[float, float]
-PARALLEL_FITS = 4
+PARALLEL_FITS = 10
+
+#: Passes a start may take; it stops as soon as no centre moves any more.
+MOST_ITERATIONS = 300
+SETTLED = 1e-8
 
 
 def degrees_between(lat: Column, lon: Column, centre: Centre) -> Column:
@@ -79,8 +85,12 @@ class AreaModel:
         return nearest_centre(lat, lon, self.centres)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add geo_label."""
-        found = self.cluster(F.col("latitude"), F.col("longitude"))
+        """Add geo_label; a listing without coordinates is taken to be in the city centre."""
+        lat, lon = (
+            F.coalesce(F.col(c).cast("double"), F.lit(centre)) if c in df.columns else F.lit(centre)
+            for c, centre in zip(("latitude", "longitude"), CITY_CENTRE)
+        )
+        found = self.cluster(lat, lon)
         labels = F.array(*[F.lit(label) for label in self.labels])
         return df.withColumn("geo_label", F.get(labels, found))
 
@@ -109,8 +119,9 @@ def fit_centres(
     try:
         # Restarts are independent; a few at a time keep the cluster busy between short jobs.
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            starts = [KMeans(k=k, seed=seed + i, weightCol="weight") for i in range(restarts)]
-            fits = list(pool.map(lambda start: start.fit(vectors), starts))
+            starts = [KMeans(k=k, seed=seed + i, weightCol="weight", maxIter=MOST_ITERATIONS, tol=SETTLED) for i in range(restarts)]
+            fit = inheritable_thread_target(df.sparkSession)(lambda start: start.fit(vectors))
+            fits = list(pool.map(fit, starts))
         best = min(fits, key=lambda m: m.summary.trainingCost)
         return sorted((float(lat), float(lon)) for lat, lon in best.clusterCenters())
     finally:

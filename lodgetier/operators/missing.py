@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lodgetier.constants import ID, INFERABLE, MISSING_TEXTS, TEXT, VOCABULARY
 from lodgetier.functions.answers import first_mentioned, non_english
-from lodgetier.runtime import spread_join
 
 
 def needs_translation(df: DataFrame) -> DataFrame:
@@ -17,17 +16,14 @@ def needs_translation(df: DataFrame) -> DataFrame:
 def apply_translations(df: DataFrame, translations: DataFrame) -> DataFrame:
     """Replace descriptions by `translated` of the same id; rows in need only.
 
-    Rows whose description is not flagged never enter the join, so they are not shuffled.
-    Several translations of one id are reduced to the alphabetically last before the join.
+    One scan and one lazy join: rows whose description isn't flagged have no key and match nothing.
+    Several translations of one id are reduced to the alphabetically last before the join. Adaptive
+    execution splits what one key, or none, leaves to a task.
     """
     flagged = F.col(TEXT).isNotNull() & non_english(F.col(TEXT))
-    table = translations.groupBy(ID).agg(F.max("translated").alias("translated"))
-    translated = (
-        spread_join(df.where(flagged), table, [ID])
-        .withColumn(TEXT, F.coalesce("translated", TEXT))
-        .select(*df.columns)
-    )
-    return df.where(~flagged).unionByName(translated)
+    table = translations.groupBy(F.col(ID).alias("_wanted")).agg(F.max("translated").alias("_translated"))
+    keyed = df.withColumn("_wanted", F.when(flagged, F.col(ID)))
+    return keyed.join(table, "_wanted", "left").withColumn(TEXT, F.coalesce("_translated", TEXT)).select(*df.columns)
 
 
 def is_missing(column: str) -> Column:
@@ -65,7 +61,7 @@ def apply_inferences(df: DataFrame, inferences: DataFrame) -> DataFrame:
         .agg(*[F.max(F.when(F.col("col_name") == c, F.col("col_value"))).alias(f"new_{c}") for c in columns])
     )
     return (
-        spread_join(df, wide, [ID])
+        df.join(wide, ID, "left")
         .withColumns({c: F.coalesce(f"new_{c}", c) for c in columns})
         .select(*df.columns)
     )

@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ def leaderboard(
     """(approach, macro_f1) per feature set, best first; a few are fitted at a time."""
     train, validation = with_flags(train), with_flags(validation)
     with ThreadPoolExecutor(parallelism) as pool:
-        models = list(pool.map(lambda name: fit_feature_set(train, name, trees), names))
+        fit = inheritable_thread_target(train.sparkSession)(lambda name: fit_feature_set(train, name, trees))
+        models = list(pool.map(fit, names))
     parts = [
         macro_f1(scored_counts(model, validation)).select(F.lit(name).alias("approach"), "macro_f1")
         for name, model in zip(names, models)
@@ -63,7 +65,8 @@ def geo_sweep(
         return (model_f1(model, validation), *configuration)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(measured, product(clusters, (False, True), (False, True))))
+        inherited = inheritable_thread_target(train.sparkSession)(measured)
+        results = list(pool.map(inherited, product(clusters, (False, True), (False, True))))
     return train.sparkSession.createDataFrame(results, SWEEP_COLUMNS)
 
 
@@ -72,6 +75,16 @@ def top_configurations(sweep: DataFrame, n: int = 5) -> DataFrame:
     return sweep.orderBy(F.desc("macro_f1"), F.desc("clusters"), F.desc("hotspots"), F.desc("balanced")).limit(n)
 
 
+def best_configuration(
+    train: DataFrame, validation: DataFrame, clusters: Sequence[int] = SWEEP_CLUSTERS, **settings
+) -> tuple[DataFrame, TierModel]:
+    """The sweep, and its best configuration fitted once more."""
+    trees, restarts = settings.get("trees", 50), settings.get("restarts", CLUSTER_RESTARTS)
+    sweep = geo_sweep(train, validation, clusters, trees, restarts)
+    best = top_configurations(sweep, 1).first()
+    return sweep, fit_tabular_model(train, best.clusters, best.hotspots, best.balanced, trees=trees, restarts=restarts)
+
+
 def holdout_eval(model: TierModel, holdout: DataFrame) -> DataFrame:
     """Report of a fitted model on labelled rows it has not seen."""
     return class_report(scored_counts(model, holdout))

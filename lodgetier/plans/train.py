@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -69,17 +71,22 @@ class TierModel:
         return scored.select(*kept, argmax(F.col("_scores")).alias(TARGET))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        settings = [(self.hotspots, self.areas is not None)]
-        spark.createDataFrame(settings, "hotspots boolean, areas boolean").write.parquet(f"{path}/settings")
+        """Write to a fresh folder below `path`, then point to it; until then the model saved before is valid."""
+        version = uuid.uuid4().hex
+        self.pipeline.write().save(f"{path}/{version}/pipeline")
         if self.areas:
-            self.areas.save(spark, f"{path}/areas")
+            self.areas.save(spark, f"{path}/{version}/areas")
+        settings = [(time.time_ns(), version, self.hotspots, self.areas is not None)]
+        columns = "saved bigint, version string, hotspots boolean, areas boolean"
+        spark.createDataFrame(settings, columns).coalesce(1).write.mode("append").parquet(f"{path}/settings")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TierModel:
-        settings = spark.read.parquet(f"{path}/settings").first()
-        areas = AreaModel.load(spark, f"{path}/areas") if settings.areas else None
-        return TierModel(PipelineModel.load(f"{path}/pipeline"), areas, settings.hotspots)
+        """The model saved last."""
+        settings = spark.read.parquet(f"{path}/settings").orderBy(F.desc("saved")).first()
+        place = f"{path}/{settings.version}"
+        areas = AreaModel.load(spark, f"{place}/areas") if settings.areas else None
+        return TierModel(PipelineModel.load(f"{place}/pipeline"), areas, settings.hotspots)
 
 
 def probability_vector(classifier: object) -> Column:
@@ -99,6 +106,7 @@ def classifier(kind: str, weighted: bool, features: str = "features", trees: int
             maxDepth=DEPTH,
             maxBins=bins,
             subsamplingRate=0.8,
+            featureSubsetStrategy="0.8",
             seed=SEED,
             **common,
         )
