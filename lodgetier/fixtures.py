@@ -31,7 +31,7 @@ WITH host AS (
 SELECT property_id,
   CASE property_id % 8 WHEN 0 THEN 'Luxury penthouse with marble bath and skyline view'
     WHEN 1 THEN 'Cozy studio near the park' WHEN 2 THEN 'Shared room in a Queens hostel'
-    WHEN 3 THEN 'Renovated loft, rooftop terrace and gym' WHEN 4 THEN 'Private room in Brooklyn, basic'
+    WHEN 3 THEN 'Renovated lofts near Queensboro bridge, Brooklyn: terraces, two pools, great views' WHEN 4 THEN 'Private room in Brooklyn, basic'
     WHEN 5 THEN '' WHEN 7 THEN 'Уютная студия в центре' END AS description,
   CASE WHEN property_id % 29 = 0 THEN NULL ELSE CASE rk WHEN 0 THEN 'Manhattan' WHEN 1 THEN 'Brooklyn'
     WHEN 2 THEN 'Queens' WHEN 3 THEN 'Bronx' ELSE 'Staten Island' END END AS neighbourhood_group,
@@ -86,12 +86,21 @@ FROM {listings}
 """
 RAW_NAMES = ("id", "Name ", "Borough", "area", "type", "Min Nights", "reviews", "lat", "lng", "extra_col")
 
-# Some predictions wrong, some listings without one, some ids twice, some ids without a listing.
+# Some predictions wrong, some listings without one, some ids twice, some without a listing or a tier.
 PREDICTIONS = """
 SELECT property_id, CASE WHEN property_id % 3 = 0 THEN (price_tier + 1) % 4 ELSE price_tier END AS price_tier
 FROM {listings} WHERE neighbourhood_group IS NOT NULL
 UNION ALL SELECT property_id, 2 FROM {listings} WHERE room_type IS NULL
 UNION ALL SELECT -1 - property_id, 0 FROM {listings} WHERE neighbourhood = 'Unknown'
+UNION ALL SELECT property_id, CAST(NULL AS INT) FROM {listings} WHERE property_id % 13 = 0
+"""
+
+# Listings of which some have no tier.
+PARTLY = """
+SELECT property_id, description, neighbourhood_group, neighbourhood, room_type, latitude, longitude, minimum_nights,
+  number_of_reviews, calculated_host_listings_count, availability_365,
+  CASE WHEN property_id % 5 > 0 THEN price_tier END AS price_tier
+FROM {listings}
 """
 
 _SCORES = """
@@ -140,6 +149,7 @@ VIEWS = {
     "located": LOCATED,
     "raw": RAW,
     "predictions": PREDICTIONS,
+    "partly": PARTLY,
     "first_scores": FIRST_SCORES,
     "second_scores": SECOND_SCORES,
     "responses": RESPONSES,

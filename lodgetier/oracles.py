@@ -5,6 +5,7 @@ They run over the whole tables. Only plain SQL is used, written apart from the S
 
 from __future__ import annotations
 
+from lodgetier.constants import TIER_NAMES
 from lodgetier.fixtures import with_views
 
 _NA = (
@@ -180,7 +181,8 @@ quotas AS (
 _EVAL = """
 counts AS (
   SELECT l.price_tier AS t, p.price_tier AS p, count(*) AS n
-  FROM {p} p JOIN {l} l ON p.property_id = l.property_id GROUP BY ALL)"""
+  FROM {p} p JOIN {l} l ON p.property_id = l.property_id
+  WHERE p.price_tier IS NOT NULL AND l.price_tier IS NOT NULL GROUP BY ALL)"""
 _SCORES = """
 classes AS (SELECT t AS tier FROM counts UNION SELECT p FROM counts),
 scores AS (
@@ -254,7 +256,7 @@ _EXAMPLE = (
     "|| ' | Reviews: ' || number_of_reviews || ' | Availability: ' || availability_365"
 )
 _BLOCK = f"""
-picked AS (SELECT *, row_number() OVER (PARTITION BY price_tier ORDER BY {_hash(42)}, property_id) AS rn FROM listings),
+picked AS (SELECT *, row_number() OVER (PARTITION BY price_tier ORDER BY {_hash(42)}, property_id) AS rn FROM partly WHERE price_tier IS NOT NULL),
 example_block AS (
   SELECT string_agg('  ' || {_EXAMPLE} || ' → ' || price_tier, chr(10) ORDER BY {_hash(43)}, property_id) AS block
   FROM picked WHERE rn <= 3)"""
@@ -264,7 +266,7 @@ _GAP = "({c} IS NULL OR {c} IN ('', 'Unknown', 'nan'))"
 
 
 def _flag(text: str, words: str) -> str:
-    return f"CAST(coalesce(regexp_matches(lower({text}), '(^|[^a-z])({words})([^a-z]|$)'), false) AS INT)"
+    return f"CAST(coalesce(regexp_matches(lower({text}), '(^|[^a-z])({words})s?([^a-z]|$)'), false) AS INT)"
 
 
 def _flags(text: str) -> str:
@@ -282,7 +284,12 @@ def _flags(text: str) -> str:
 
 
 def _mention(text: str, *values: str) -> str:
-    found = ", ".join(f"{{'at': instr(lower({text}), '{v.lower()}'), 'value': '{v}'}}" for v in values)
+    def place(value: str) -> str:
+        pattern = f"(^|[^a-z0-9]){value.lower()}([^a-z0-9]|$)"
+        before = f"regexp_extract(lower({text}), '(?s)^(.*?){pattern}', 1)"
+        return f"CASE WHEN regexp_matches(lower({text}), '{pattern}') THEN length({before}) + 1 ELSE 0 END"
+
+    found = ", ".join(f"{{'at': {place(v)}, 'value': '{v}'}}" for v in values)
     return f"list_sort(list_filter([{found}], lambda m: m.at > 0))[1].value"
 
 
@@ -300,6 +307,24 @@ _JSON_FLAGS = ", ".join(
 )
 
 
+_TELLING = (
+    "train_tabular train_boosted holdout_eval best_configuration fused_text_classifier fused_text_classifier_plain "
+    "fused_text_classifier_qualitative area_text_classifier vectors_tabular flags_tabular"
+).split()
+
+
+def _held_out(telling: bool = True) -> str:
+    """The lines of a report on the validation rows, as far as they are determined."""
+    names = " ".join(f"WHEN {tier} THEN '{name}'" for tier, name in enumerate(TIER_NAMES))
+    more = ", true AS valid" + ", true AS beats_largest" * telling
+    averages = " ".join(
+        f"UNION ALL SELECT {i}, '{name}', CAST(sum(quota) AS BIGINT){more} FROM quotas"
+        for i, name in enumerate(("accuracy", "macro avg", "weighted avg"), 4)
+    )
+    return f"""WITH {_QUOTAS} SELECT CAST(price_tier AS INT) AS position, CASE price_tier {names} END AS name,
+      quota AS support{more} FROM quotas {averages}"""
+
+
 def oracle_sql() -> dict[str, str]:
     n = _PLAIN_INTS
     hot = {
@@ -331,6 +356,18 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'labels', count(*), NULL, CAST(sum(price_tier) AS BIGINT) FROM predictions""",
         "model_roundtrip": "SELECT count(*) AS n, count(*) AS same FROM listings",
         "stream_score": "SELECT count(*) AS n, count(*) AS same FROM raw",
+        "read_mixed_headers": f"""SELECT CAST(id AS VARCHAR) AS property_id, {', '.join(_na(c) + ' AS ' + n_ for c, n_ in (('name', 'description'), ('borough', 'neighbourhood_group'), ('area', 'neighbourhood'), ('type', 'room_type'), ('min_nights', 'minimum_nights'), ('reviews', 'number_of_reviews'), ('lat', 'latitude'), ('lng', 'longitude')))} FROM raw""",
+        **{name: _held_out() for name in _TELLING},
+        **{name: _held_out(False) for name in ("vectors_only",)},
+        "geo_kmeans": "SELECT CAST(15 AS BIGINT) AS clusters, count(*) AS n, true AS settled FROM listings",
+        "predict_tabular": "SELECT property_id, true AS valid FROM newcomers",
+        "predict_proba": "SELECT property_id, CAST(4 AS INT) AS tiers, true AS valid FROM newcomers",
+        "score_batch": "SELECT property_id, true AS valid FROM newcomers",
+        "linear_probe": "SELECT vec_id, label, true AS valid FROM embeddings",
+        "text_classifier": "SELECT doc_id, true AS valid FROM documents",
+        "leaderboard": "SELECT unnest(['tabular', 'vectors', 'vectors+tabular', 'tabular+flags']) AS approach, true AS valid",
+        "geo_sweep": "SELECT CAST(c AS INT) AS clusters, h AS hotspots, b AS balanced, true AS valid FROM (SELECT unnest([5, 10, 15, 20, 30]) AS c), (SELECT unnest([false, true]) AS h), (SELECT unnest([false, true]) AS b)",
+        "fitted_ensemble": f"WITH {_QUOTAS} SELECT CAST(9 AS BIGINT) AS weights, CAST(9 AS BIGINT) AS scored, CAST(sum(quota) AS BIGINT) AS same, CAST(sum(quota) AS BIGINT) AS n FROM quotas",
         # schema
         "repair_schema": "SELECT id AS property_id, name AS description, borough AS neighbourhood_group, area AS neighbourhood, type AS room_type, min_nights AS minimum_nights, reviews AS number_of_reviews, lat AS latitude, lng AS longitude, extra_col FROM raw",
         "map_unknown_columns": "SELECT id AS property_id, name AS description, area AS neighbourhood, extra_col, type AS room_type FROM raw",
@@ -399,7 +436,7 @@ def oracle_sql() -> dict[str, str]:
         # sampling
         "stratified_split": f"""WITH {_QUOTAS}, r AS (SELECT property_id, price_tier, row_number() OVER (PARTITION BY price_tier ORDER BY {_hash(42)}, property_id) AS rn FROM listings)
             SELECT property_id, price_tier, rn <= quota AS is_validation FROM r JOIN quotas USING (price_tier)""",
-        "per_class_sample": f"SELECT property_id, price_tier FROM (SELECT *, row_number() OVER (PARTITION BY price_tier ORDER BY {_hash(42)}, property_id) AS rn FROM listings) WHERE rn <= 3",
+        "per_class_sample": f"SELECT property_id, price_tier FROM (SELECT *, row_number() OVER (PARTITION BY price_tier ORDER BY {_hash(42)}, property_id) AS rn FROM partly WHERE price_tier IS NOT NULL) WHERE rn <= 3",
         "kfold": f"WITH {_FOLDS} SELECT property_id, fold FROM folds",
         "subset_n": f"SELECT property_id FROM listings ORDER BY {_hash(42)}, property_id LIMIT 50",
         # features
@@ -430,13 +467,13 @@ def oracle_sql() -> dict[str, str]:
         "weight_sweep": f"WITH {_voted('(1e-1), (2e-1), (3e-1), (4e-1), (5e-1), (6e-1), (7e-1), (8e-1), (9e-1)')} SELECT weight, round(macro_f1, 6) AS macro_f1 FROM f1s",
         "ensemble_compare": f"WITH {_voted('(1e0), (0e0), (5e-1)')} SELECT CASE weight WHEN 1 THEN 'first' WHEN 0 THEN 'second' ELSE 'ensemble' END AS scorer, round(macro_f1, 6) AS macro_f1 FROM f1s",
         # evaluation
-        "eval_join": "SELECT p.property_id, p.price_tier, l.price_tier AS true_tier, count(*) AS n FROM predictions p JOIN listings l ON p.property_id = l.property_id GROUP BY ALL",
+        "eval_join": "SELECT p.property_id, p.price_tier, l.price_tier AS true_tier, count(*) AS n FROM predictions p JOIN partly l ON p.property_id = l.property_id WHERE p.price_tier IS NOT NULL AND l.price_tier IS NOT NULL GROUP BY ALL",
         "eval_empty": "SELECT CAST(NULL AS DOUBLE) AS macro_f1, 0::BIGINT AS n_evaluated, CAST(NULL AS VARCHAR) AS report, 'No matching property_id between predictions and labels.' AS error",
-        "class_report": f"WITH {_evaluated('predictions', 'listings')}, {_REPORT} SELECT CAST(position AS INT) AS position, name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM report",
-        "macro_f1": f"WITH {_evaluated('predictions', 'listings')} SELECT round(avg(f1), 6) AS macro_f1 FROM measured",
-        "evaluation_record": f"WITH {_evaluated('predictions', 'listings')}, {_REPORT}, {_RECORD} SELECT * FROM record",
+        "class_report": f"WITH {_evaluated('predictions', 'partly')}, {_REPORT} SELECT CAST(position AS INT) AS position, name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM report",
+        "macro_f1": f"WITH {_evaluated('predictions', 'partly')} SELECT round(avg(f1), 6) AS macro_f1 FROM measured",
+        "evaluation_record": f"WITH {_evaluated('predictions', 'partly')}, {_REPORT}, {_RECORD} SELECT * FROM record",
         "evaluate_tables": f"""WITH answers AS (SELECT property_id, coalesce(CAST(nullif(regexp_extract(trim(response), '[0-3]'), '') AS INT), 1) AS price_tier FROM responses),
-            {_evaluated('answers', 'listings')}, {_REPORT}, {_RECORD} SELECT * FROM record""",
+            {_evaluated('answers', 'partly')}, {_REPORT}, {_RECORD} SELECT * FROM record""",
         "tier_distribution": """WITH names(price_tier, tier_name) AS (VALUES (0, 'Budget'), (1, 'Standard'), (2, 'Premium'), (3, 'Ultra-Luxury'))
             SELECT price_tier, tier_name, (SELECT count(*) FROM predictions p WHERE p.price_tier = names.price_tier) AS n FROM names""",
         "sweep_top5": f"""WITH {_voted('(1e-1), (2e-1), (3e-1), (4e-1), (5e-1), (6e-1), (7e-1), (8e-1), (9e-1)')}

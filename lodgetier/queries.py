@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,6 @@ from lodgetier.streaming import score as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Model queries fit fewer trees than the default; the rows are always all of them.
-FEW_TREES = 20
 CENTRES = (*HOTSPOTS.values(), (41.9, -70.0))
 
 _queries: dict[str, Query] = {}
@@ -122,22 +121,48 @@ def _agreement(found: DataFrame, expected: DataFrame) -> DataFrame:
 def model_roundtrip(spark, sf):
     listings = _clean(spark, sf)
     path = scratch_path(spark, "model")
-    model = train.fit_tabular_model(listings, trees=5, restarts=2)
+    model = train.fit_tabular_model(listings)
     model.save(spark, path)
     loaded = train.TierModel.load(spark, path)
     return _agreement(loaded.predict(listings).select(ID, TARGET), model.predict(listings).select(ID, TARGET))
 
 
+@query
+def read_mixed_headers(spark, sf):
+    """Files with columns in other orders, under other names and twice but for case, as one table."""
+    folder = scratch_path(spark, "mixed-csv")
+    raw = raw_listings(spark, sf).repartition(1)
+    third = F.pmod(F.col("id"), F.lit(3))
+    files.write_csv(raw.where(third == 0), f"{folder}/a")
+    turned = raw.select(*reversed(raw.columns)).withColumnsRenamed({"lat": "Latitude", "Min Nights": "min_nights_required"})
+    files.write_csv(turned.where(F.pmod(F.col("id"), F.lit(3)) == 1), f"{folder}/b")
+    both = raw.where(third == 2).toDF(*[f"c{i}" for i in range(len(raw.columns))])
+    first, second = (F.when(F.pmod(F.col("c0"), F.lit(2)) == k, F.col("c1")) for k in (0, 1))
+    written = both.select("c0", first.alias("x"), second.alias("y"), *both.columns[2:])
+    _write_with_header(written, ["id", "NAME", "name", *raw.columns[2:]], f"{folder}/c")
+    return schema.repair_names(files.read_listings(spark, folder)).select(
+        ID, TEXT, "neighbourhood_group", "neighbourhood", "room_type", "minimum_nights", "number_of_reviews", "latitude", "longitude"
+    )
+
+
+def _write_with_header(df: DataFrame, names: list[str], path: str) -> None:
+    """CSV under names that a table can't have, since they differ in case only."""
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
+    lines = df.select(F.array(F.concat_ws(",", *quoted)).alias("line"))
+    text = lines.agg(F.concat_ws("\n", F.lit(",".join(names)), F.flatten(F.collect_list("line"))).alias("value"))
+    text.write.text(path)
+
+
 @query
 def stream_score(spark, sf):
     folder, output, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
-    raw = raw_listings(spark, sf)
-    files.write_csv(raw, folder)
-    model = train.fit_tabular_model(_clean(spark, sf), trees=5, restarts=2)
-    stream = streaming.listing_stream(spark, folder, raw.columns)
-    streaming.score_stream(stream, model, output, checkpoint, until_done=True).awaitTermination()
-    streamed = spark.read.schema(f"{ID} long, {TARGET} int").parquet(output)
-    at_rest = batch.score_batch(schema.clean_listings(files.read_listings(spark, folder)), model)
+    files.write_csv(raw_listings(spark, sf), folder)
+    model = train.fit_tabular_model(_clean(spark, sf))
+    tables = {"translations": table(spark, sf, "translations"), "inferences": table(spark, sf, "inferences")}
+    arriving = streaming.listing_files(spark, folder)
+    streaming.score_stream(arriving, model, output, checkpoint, until_done=True, **tables).awaitTermination()
+    streamed = spark.read.parquet(output).select(ID, TARGET)
+    at_rest = batch.run_batch(files.read_listings(spark, folder), model, **tables).predictions
     return _agreement(streamed, at_rest)
 
 
@@ -346,12 +371,12 @@ def parse_tier(spark, sf):
 
 @query
 def few_shot_block(spark, sf):
-    return prompts.few_shot_block(_listings(spark, sf))
+    return prompts.few_shot_block(table(spark, sf, "partly"))
 
 
 @query
 def render_prompts(spark, sf):
-    block = prompts.few_shot_block(_listings(spark, sf))
+    block = prompts.few_shot_block(table(spark, sf, "partly"))
     return prompts.render_prompts(table(spark, sf, "newcomers"), block).select(ID, "prompt")
 
 
@@ -366,10 +391,16 @@ def hotspot_distances(spark, sf):
 
 @query
 def geo_kmeans(spark, sf):
+    """Areas that came to rest: every centre is the mean of the rows nearest to it."""
     listings = _listings(spark, sf)
     centres = geo.fit_centres(listings)
     assigned = listings.withColumn("cluster", geo.nearest_centre(F.col("latitude"), F.col("longitude"), centres))
-    return geo.cluster_summary(assigned, len(centres))
+    found = geo.cluster_summary(assigned, len(centres))
+    own = F.get(F.array(*[F.array(*map(F.lit, c)) for c in centres]), F.col("cluster"))
+    away = F.greatest(F.abs(F.col("mean_lat") - own[0]), F.abs(F.col("mean_lon") - own[1]))
+    return found.agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n"), (F.max(away) < 1e-6).alias("settled")
+    )
 
 
 def _assigned(spark: SparkSession, sf: str) -> DataFrame:
@@ -442,7 +473,7 @@ def stratified_split(spark, sf):
 
 @query
 def per_class_sample(spark, sf):
-    return sampling.per_class_sample(_listings(spark, sf).select(ID, TARGET))
+    return sampling.per_class_sample(table(spark, sf, "partly").select(ID, TARGET))
 
 
 @query
@@ -525,40 +556,61 @@ def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return train.split_frames(_clean(spark, sf))
 
 
-def _report(model: train.TierModel, validation: DataFrame) -> DataFrame:
-    return compare.holdout_eval(model, validation)
+def _checked(report: DataFrame, telling: bool = True) -> DataFrame:
+    """What is determined of a report: its lines and supports, scores in range, and with `telling` features a
+    macro F1 above that of always calling the largest tier."""
+    lines = report.withColumn("valid", F.least("precision", "recall", "f1") >= 0).withColumn(
+        "valid", F.col("valid") & (F.greatest("precision", "recall", "f1") <= 1)
+    )
+    if not telling:
+        return lines.select("position", "name", "support", "valid")
+    tiers = F.col("position") < 4
+    facts = report.agg(
+        F.max(F.when(F.col("name") == "macro avg", F.col("f1"))).alias("macro"),
+        (F.max(F.when(tiers, F.col("support"))) / F.sum(F.when(tiers, F.col("support")))).alias("p"),
+    ).select((F.col("macro") > 2 * F.col("p") / (1 + F.col("p")) / 4).alias("beats_largest"))
+    return lines.select("position", "name", "support", "valid", facts.scalar().alias("beats_largest"))
+
+
+def _report(model: train.TierModel, validation: DataFrame, telling: bool = True) -> DataFrame:
+    return _checked(compare.holdout_eval(model, validation), telling)
+
+
+def _tier_in_range(df: DataFrame) -> DataFrame:
+    return df.select(ID, F.col(TARGET).isin(0, 1, 2, 3).alias("valid"))
 
 
 @query
 def train_tabular(spark, sf):
     fit, validation = _split(spark, sf)
-    return _report(train.fit_tabular_model(fit, trees=FEW_TREES, restarts=2), validation)
+    return _report(train.fit_tabular_model(fit), validation)
 
 
 @query
 def train_boosted(spark, sf):
     fit, validation = _split(spark, sf)
-    return _report(train.fit_tabular_model(fit, kind="boosted", trees=3, restarts=2), validation)
+    return _report(train.fit_tabular_model(fit, kind="boosted", trees=20), validation)
 
 
 @query
 def predict_tabular(spark, sf):
-    model = train.fit_tabular_model(_clean(spark, sf), trees=FEW_TREES, restarts=2)
+    model = train.fit_tabular_model(_clean(spark, sf))
     newcomers = schema.clean_listings(table(spark, sf, "newcomers"))
-    return model.predict(newcomers).select(ID, TARGET)
+    return _tier_in_range(model.predict(newcomers))
 
 
 @query
 def predict_proba(spark, sf):
-    model = train.fit_tabular_model(_clean(spark, sf), trees=FEW_TREES, restarts=2)
+    model = train.fit_tabular_model(_clean(spark, sf))
     scored = model.probabilities(schema.clean_listings(table(spark, sf, "newcomers")))
-    return scored.select(ID, *[F.get("scores", F.lit(t)).alias(f"p{t}") for t in range(4)])
+    inside = F.forall("scores", lambda p: (p >= 0) & (p <= 1))
+    return scored.select(ID, F.size("scores").alias("tiers"), inside.alias("valid"))
 
 
 @query
 def predict_proba_sums(spark, sf):
     rows = schema.clean_listings(table(spark, sf, "newcomers"))
-    model = train.fit_tabular_model(_clean(spark, sf), trees=FEW_TREES, restarts=2)
+    model = train.fit_tabular_model(_clean(spark, sf))
     scored = model.probabilities(rows)
     total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
     return scored.select(
@@ -571,24 +623,30 @@ def predict_proba_sums(spark, sf):
 
 @query
 def linear_probe(spark, sf):
+    """Every vector, scored by a probe that was fitted without it."""
     embeddings = table(spark, sf, "embeddings")
     as_vector = F.transform("embedding", lambda x: x.cast("double"))
     rows = embeddings.select("vec_id", F.col("label"), array_to_vector(as_vector).alias("features"))
-    model = train.TierModel(train.fit_classifier(rows, None, "linear", label="label"))
-    return model.predict(rows).select("vec_id", "label", F.col(TARGET).alias("predicted"))
+    rows = materialise(sampling.kfold(rows, 3, "vec_id"), "probe")
+    parts = []
+    for fold in range(3):
+        model = train.TierModel(train.fit_classifier(rows.where(F.col("fold") != fold), None, "linear", label="label"))
+        parts.append(model.predict(rows.where(F.col("fold") == fold)))
+    return reduce(DataFrame.union, parts).select("vec_id", "label", F.col(TARGET).isin(*range(10)).alias("valid"))
 
 
 @query
 def text_classifier(spark, sf):
-    documents = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    model = train.fit_text_model(documents, "text", label="quality")
-    return model.predict(documents).select("doc_id", "quality", F.col(TARGET).alias("predicted"))
+    """Every document, with the quality that a model of the labelled ones sees in it."""
+    documents = table(spark, sf, "documents")
+    model = train.fit_text_model(documents.join(table(spark, sf, "labels"), "doc_id"), "text", label="quality")
+    return model.predict(documents).select("doc_id", F.col(TARGET).isin(0, 1).alias("valid"))
 
 
 def _row_text_classifier(dialect: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         fit, validation = _split(spark, sf)
-        areas = geo.fit_areas(fit, restarts=2) if dialect in ("full", "serving") else None
+        areas = geo.fit_areas(fit) if dialect in ("full", "serving") else None
         model = train.fit_row_text_model(fit, dialect, areas)
         return _report(model, train.with_row_text(validation, dialect, areas))
 
@@ -609,8 +667,8 @@ def area_text_classifier(spark, sf):
 def _feature_set(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         fit, validation = _split(spark, sf)
-        model = train.fit_feature_set(train.with_flags(fit), name, FEW_TREES)
-        return _report(model, train.with_flags(validation))
+        model = train.fit_feature_set(train.with_flags(fit), name)
+        return _report(model, train.with_flags(validation), "tabular" in name)
 
     return run
 
@@ -681,22 +739,22 @@ def ensemble_compare(spark, sf):
 @query
 def score_batch(spark, sf):
     listings = _clean(spark, sf)
-    tabular = train.fit_tabular_model(listings, trees=FEW_TREES, restarts=2)
+    tabular = train.fit_tabular_model(listings)
     text = train.fit_row_text_model(listings, "serving", tabular.areas)
-    return batch.score_batch(schema.clean_listings(table(spark, sf, "newcomers")), tabular, text)
+    return _tier_in_range(batch.score_batch(schema.clean_listings(table(spark, sf, "newcomers")), tabular, text))
 
 
 # Evaluation and reports
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    joined = evaluate.eval_join(table(spark, sf, "predictions"), _listings(spark, sf))
+    joined = evaluate.eval_join(table(spark, sf, "predictions"), table(spark, sf, "partly"))
     return evaluate.confusion(joined, weight=F.col("n"))
 
 
 @query
 def eval_join(spark, sf):
-    return evaluate.eval_join(table(spark, sf, "predictions"), _listings(spark, sf))
+    return evaluate.eval_join(table(spark, sf, "predictions"), table(spark, sf, "partly"))
 
 
 @query
@@ -723,7 +781,7 @@ def evaluation_record(spark, sf):
 
 @query
 def evaluate_tables(spark, sf):
-    return evaluate.evaluate_tables(_parsed(spark, sf), _listings(spark, sf))
+    return evaluate.evaluate_tables(_parsed(spark, sf), table(spark, sf, "partly"))
 
 
 @query
@@ -733,12 +791,13 @@ def tier_distribution(spark, sf):
 
 @query
 def leaderboard(spark, sf):
-    return compare.leaderboard(*_split(spark, sf), trees=FEW_TREES)
+    board = compare.leaderboard(*_split(spark, sf))
+    return board.select("approach", F.col("macro_f1").between(0, 1).alias("valid"))
 
 
 @query
 def geo_sweep(spark, sf):
-    return compare.geo_sweep(*_split(spark, sf), clusters=SWEEP_CLUSTERS, trees=5, restarts=2)
+    return compare.geo_sweep(*_split(spark, sf), clusters=SWEEP_CLUSTERS)
 
 
 @query
@@ -753,16 +812,45 @@ def sweep_top5(spark, sf):
     return compare.top_configurations(as_sweep).withColumn("macro_f1", F.round("macro_f1", 6))
 
 
+def _reloaded_report(spark: SparkSession, model: train.TierModel, held_out_rows: DataFrame) -> DataFrame:
+    """Report of a model that was saved and loaded, on rows that were written under an alias and read back."""
+    saved, held_out = scratch_path(spark, "model"), scratch_path(spark, "held-out")
+    model.save(spark, saved)
+    files.write_csv(held_out_rows.withColumnRenamed("minimum_nights", "min_nights_required"), held_out)
+    rows = schema.clean_listings(files.read_listings(spark, held_out))
+    return _report(train.TierModel.load(spark, saved), rows.withColumn(TARGET, safe_int(F.col(TARGET)).cast("int")))
+
+
 @query
 def holdout_eval(spark, sf):
     fit, validation = _split(spark, sf)
-    saved, held_out = scratch_path(spark, "model"), scratch_path(spark, "held-out")
-    train.fit_tabular_model(fit, trees=FEW_TREES, restarts=2).save(spark, saved)
-    files.write_csv(validation.withColumnRenamed("minimum_nights", "min_nights_required"), held_out)
-    rows = schema.clean_listings(files.read_listings(spark, held_out))
-    return compare.holdout_eval(
-        train.TierModel.load(spark, saved), rows.withColumn(TARGET, safe_int(F.col(TARGET)).cast("int"))
+    return _reloaded_report(spark, train.fit_tabular_model(fit), validation)
+
+
+@query
+def best_configuration(spark, sf):
+    """The best of a sweep of two cluster counts, refitted, saved, loaded and scored on rows of a file."""
+    fit, validation = _split(spark, sf)
+    _, best = compare.best_configuration(fit, validation, SWEEP_CLUSTERS[:2])
+    return _reloaded_report(spark, best, validation)
+
+
+@query
+def fitted_ensemble(spark, sf):
+    """Weight sweep over a fitted tabular and a fitted text model on validation rows, with their agreement at weight 1."""
+    fit, validation = _split(spark, sf)
+    tabular = train.fit_tabular_model(fit)
+    text = train.fit_row_text_model(fit, "serving", tabular.areas)
+    scored = tabular.probabilities(validation, "first")
+    scored = text.probabilities(train.with_row_text(scored, "serving", tabular.areas), "second")
+    scored = materialise(scored.select(ID, TARGET, "first", "second"), "scores")
+    swept = ensemble.weight_sweep(scored)
+    alone = scored.agg(
+        F.count_if(vote.argmax(vote.soft_vote(F.col("first"), F.col("second"), 1.0)) == vote.argmax(F.col("first"))).alias("same"),
+        F.count(F.lit(1)).alias("n"),
     )
+    in_range = F.count_if((F.col("macro_f1") >= 0) & (F.col("macro_f1") <= 1)).alias("scored")
+    return swept.agg(F.count(F.lit(1)).alias("weights"), in_range).join(alone)
 
 
 @query
@@ -775,7 +863,7 @@ def run_report(spark, sf):
 def run_batch(spark, sf):
     listings = _listings(spark, sf)
     raw, labels = files.split_inputs([listings])
-    model = train.fit_tabular_model(_clean(spark, sf), trees=FEW_TREES, restarts=2)
+    model = train.fit_tabular_model(_clean(spark, sf))
     result = batch.run_batch(
         raw,
         model,
