@@ -68,6 +68,28 @@ def spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by a whole-number key, cut so that no group of equal keys is split."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(keys, keys[-1]))  # its last group may go on in the next batch
+        if held and (last or held[-1].column(key)[0].as_py() != keys[0]):
+            yield _one([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield batch.slice(0, last)
+        held.append(batch.slice(last))
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.concat_batches(batches) if len(batches) > 1 else batches[0]
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id written as text; a null id as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgetier.llm.base import map_batches, payload
+from lodgetier.llm.base import map_batches, payload, whole_groups
 from lodgetier.llm.components import components
 from lodgetier.runtime import materialise
 
@@ -132,7 +132,7 @@ def linked(points: DataFrame, most_bits: int = MOST_BITS, tile: int = TILE) -> D
     crowd = at.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("homes")).where("n > 1 and homes")
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     met = (
-        at.join(crowd.select("anchor", tiles.alias("tiles")), "anchor")
+        at.join(crowd.select("anchor", tiles.alias("tiles")).hint("merge"), "anchor")
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
         .select(
@@ -143,28 +143,14 @@ def linked(points: DataFrame, most_bits: int = MOST_BITS, tile: int = TILE) -> D
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            rows = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("meeting", "fp", "node"))
-            if not len(rows[0]):
-                continue
-            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on in the next batch
-            if last or (held and held[-1][0][-1] != rows[0][0]):
-                yield _joined([*held, tuple(r[:last] for r in rows)], most_bits)
-                held = []
-            held.append(tuple(r[last:] for r in rows))
-        if held:
-            yield _joined(held, most_bits)
+        for batch in whole_groups(batches, "meeting"):
+            meeting, fp, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("meeting", "fp", "node"))
+            a, b = local_links(meeting, fp.astype(np.uint64), node, most_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return map_batches(met, run, "a long, b long")
 
 
-def _joined(parts: list[tuple[np.ndarray, ...]], most_bits: int) -> pa.RecordBatch:
-    meeting, fp, node = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    a, b = local_links(meeting, fp.view(np.uint64) if fp.flags.c_contiguous else fp.astype(np.uint64), node, most_bits)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text).
 

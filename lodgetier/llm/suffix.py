@@ -14,22 +14,23 @@ a run of windows, and a window belongs to one anchor.
    identifiers that step 1 made, reused as pointers at a later offset. The pair covers the window exactly.
 
 Identifiers are 64-bit polynomial hashes; two anchors or windows are held equal only if two of them agree.
-Every step groups by identifier with counts made before the shuffle, and joins the counts back, so copies
-of a passage meet in no task.
+Steps 1 and 2 count before the shuffle and join the counts back, so copies of a passage meet in no task. In
+step 3 a task compares the distinct spans of a bucket; buckets with many have their windows dealt to tasks by
+identifier instead. Texts are moved once, to the places of their spans, and read again there in the end.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgetier.llm.base import map_batches, payload, slices, spread
+from lodgetier.llm.base import map_batches, payload, slices, spread, whole_groups
 from lodgetier.llm.chunks import prefix_hashes, range_hashes
 from lodgetier.runtime import materialise
 
@@ -38,6 +39,9 @@ LENGTH = 400
 #: Bytes hashed at a time; longer texts are cut into overlapping pieces with windows of their own.
 PIECE = 1 << 20
 
+#: Distinct spans of a bucket that one task compares; the windows of larger buckets are dealt out.
+TOGETHER = 1_024
+
 _LOW = 22  # bits of an anchor's place in a slice; slices are shorter than 2**22
 
 
@@ -81,128 +85,195 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return at, first, last, grams[at], span ^ (shape * np.uint64(0xD1342543DE82EF95))
 
 
-def _mark(text: bytes) -> int:
-    """Tells rows of one doc_id with different texts apart."""
-    return zlib.crc32(text) - (1 << 31)
+#: Stands for a null doc_id in keys.
+_NONE = -(1 << 63)
+
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with the key of each text: its doc_id, and a checksum for rows of one doc_id with different texts."""
+    return docs.select(
+        "*",
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("_key"),
+        (F.crc32(F.coalesce(F.col("text"), F.lit(""))) - F.lit(1 << 31)).cast("int").alias("_mark"),
+    )
 
-def _mark_of_text():
-    return (F.crc32(F.coalesce(F.col("text"), F.lit(""))) - F.lit(1 << 31)).cast("int")
 
+def _listed(docs: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
+    """Every row of keyed `docs` with its places as a list, null without any."""
+    lists = places.groupBy("key", "mark").agg(F.collect_list(F.struct(*columns)).alias("_runs"))
+    same = (F.col("_key") == F.col("key")) & (F.col("_mark") == F.col("mark"))
+    return docs.join(lists.hint("merge"), same, "left").drop("key", "mark")
 
-def _lists(places: DataFrame, *columns: str) -> DataFrame:
-    """The places of each text as a list, under names that no document column is expected to have."""
-    listed = places.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(*columns)).alias("_runs"))
-    return listed.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
 
+def _runs(column: pa.Array, *fields: str) -> tuple[list[int], list[np.ndarray]]:
+    """Ends of the lists of a column of runs, and their fields end to end; a null list is empty."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    flat = column.flatten()
+    return ends.tolist(), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
 
-_PLACE = "doc_id long, mark int, first int, last int"
+
+_PLACE = "key long, mark int, first int, last int"
 
 
 def anchor_table(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, span, doc_id, mark, first, last) for every anchor of every text."""
+    """(gram, span, key, mark, first, last) for every anchor of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = payload(batch.column("text"))
-            ids = batch.column("doc_id")
-            marks = np.array([_mark(t) for t in texts], dtype=np.int32)
-            pieces = list(_pieces(texts, length))
+            pieces = list(_pieces(payload(batch.column("text")), length))
             for i, j in slices([p[2] for p in pieces], PIECE):
                 some = pieces[i:j]
                 sizes = np.array([len(p[2]) for p in some], dtype=np.int64)
                 ends = np.cumsum(sizes)
-                data = np.frombuffer(b"".join(p[2] for p in some), dtype=np.uint8)
-                at, first, last, gram, span = anchors(data, ends, length)
+                at, first, last, gram, span = anchors(np.frombuffer(b"".join(p[2] for p in some), dtype=np.uint8), ends, length)
                 piece = np.searchsorted(ends, at, side="right")
                 move = np.array([p[1] for p in some], dtype=np.int64)[piece] - (ends - sizes)[piece]
-                owner = np.array([p[0] for p in some])[piece]
+                owner = pa.array(np.array([p[0] for p in some])[piece])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(gram.view(np.int64)), pa.array(span.view(np.int64)), ids.take(pa.array(owner)),
-                        pa.array(marks[owner]), pa.array((first + move).astype(np.int32)), pa.array((last + move).astype(np.int32)),
+                        pa.array(gram.view(np.int64)), pa.array(span.view(np.int64)), batch.column("_key").take(owner),
+                        batch.column("_mark").take(owner), pa.array((first + move).astype(np.int32)), pa.array((last + move).astype(np.int32)),
                     ],
-                    ["gram", "span", "doc_id", "mark", "first", "last"],
+                    ["gram", "span", "key", "mark", "first", "last"],
                 )
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, f"gram long, span long, {_PLACE}")
+    return map_batches(docs.select("_key", "_mark", "text"), run, f"gram long, span long, {_PLACE}")
 
 
-def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(head, tail, doc_id, mark, at, single): both q-gram identifiers of each wanted window."""
-    gram = (length + 1) // 2
-    lists = _lists(wanted, "first", "last", "single")
-    texts = docs.select(F.col("doc_id").cast("long"), "text", _mark_of_text().alias("mark"))
-    met = texts.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+def _spans(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(gram, key, mark, first, single, span): the bytes that wanted anchors' windows span."""
+    listed = _listed(docs, wanted, "gram", "first", "last", "single").where("_runs is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ends, (gram, first, last, single) = _runs(batch.column("_runs"), "gram", "first", "last", "single")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff([0, *ends]))
             texts = payload(batch.column("text"))
-            ids, marks = batch.column("doc_id"), batch.column("mark")
-            for i, (text, runs) in enumerate(zip(texts, batch.column("runs").to_pylist())):
-                first = np.array([r["first"] for r in runs], dtype=np.int64)
-                count = np.array([r["last"] for r in runs], dtype=np.int64) - first + 1
-                single = np.repeat(np.array([r["single"] for r in runs]), count)
-                at = spread(count, first)
-                for low in range(0, len(at), PIECE):
-                    some = at[low : low + PIECE]
-                    base, end = int(some.min()), int(some.max()) + length
-                    head, tail = np.zeros(len(some), np.uint64), np.zeros(len(some), np.uint64)
-                    for a in range(base, end - length + 1, PIECE):  # hashed by pieces, as for the anchors
-                        here = (some >= a) & (some < a + PIECE)
-                        data = np.frombuffer(text, dtype=np.uint8)[a : a + PIECE + length - 1]
-                        sums, p = prefix_hashes(data), some[here] - a
-                        head[here] = range_hashes(sums, p, p + gram)
-                        tail[here] = range_hashes(sums, p + length - gram, p + length)
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(head.view(np.int64)), pa.array(tail.view(np.int64)),
-                            ids.take(pa.array(np.full(n, i))), marks.take(pa.array(np.full(n, i))),
-                            pa.array(some.astype(np.int32)), pa.array(single[low : low + PIECE]),
-                        ],
-                        ["head", "tail", "doc_id", "mark", "at", "single"],
-                    )
-
-    return map_batches(
-        met.select("doc_id", "mark", "text", F.col("_runs").alias("runs")), run,
-        "head long, tail long, doc_id long, mark int, at int, single boolean",
-    )
+            sizes = np.cumsum(last.astype(np.int64) - first + length)
+            for some in np.split(np.arange(len(owner)), np.searchsorted(sizes, np.arange(PIECE, int(sizes[-1]), PIECE)) if len(sizes) else []):
+                if not len(some):
+                    continue
+                spans = [texts[k][i : j + length] for k, i, j in zip(owner[some].tolist(), first[some].tolist(), last[some].tolist())]
+                rows = pa.array(owner[some])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(gram[some]), batch.column("_key").take(rows), batch.column("_mark").take(rows),
+                        pa.array(first[some]), pa.array(single[some]), pa.array(spans, pa.binary()),
+                    ],
+                    ["gram", "key", "mark", "first", "single", "span"],
+                )
+
+    return map_batches(listed, run, "gram long, key long, mark int, first int, single boolean, span binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, mark, first, last): runs of starts of repeated strings, overlapping or not, in no order."""
+def window_ids(spans: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, head, tail) of every window of some spans: identifiers of its first and last q-gram."""
+    gram = (length + 1) // 2
+    sizes = np.array([len(s) for s in spans], dtype=np.int64)
+    sums = prefix_hashes(np.frombuffer(b"".join(spans), dtype=np.uint8))
+    count = sizes - length + 1
+    at = spread(count, np.cumsum(sizes) - sizes)
+    row = np.repeat(np.arange(len(spans)), count)
+    place = spread(count, np.zeros(len(spans), dtype=np.int64))
+    return row, place, range_hashes(sums, at, at + gram), range_hashes(sums, at + length - gram, at + length)
+
+
+def _smaller(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of whole buckets, cut between buckets into parts of about a quarter of `PIECE`."""
+    gram = batch.column("gram").to_numpy(zero_copy_only=False)
+    ends = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram))
+    sizes = np.cumsum(pc.binary_length(batch.column("span")).to_numpy(zero_copy_only=False))[ends - 1]
+    start = done = 0
+    for end, size in zip(ends.tolist(), sizes.tolist()):
+        if size - done >= PIECE // 4 or end == len(gram):
+            yield batch.slice(start, end - start)
+            start, done = end, size
+
+
+def _refined(spans: DataFrame, length: int) -> DataFrame:
+    """(key, mark, first, last): repeated windows of single anchors, found bucket by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in whole_groups(batches, "gram") for part in _smaller(whole)):
+            gram, first, single = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "first", "single"))
+            row, place, head, tail = window_ids(batch.column("span").to_pylist(), length)
+            bucket = gram[row]
+            order = np.lexsort((tail, head, bucket))
+            same = (bucket[order][1:] == bucket[order][:-1]) & (head[order][1:] == head[order][:-1]) & (tail[order][1:] == tail[order][:-1])
+            twice = np.zeros(len(order), dtype=bool)
+            twice[order] = np.append(same, False) | np.append(False, same)
+            hit = np.flatnonzero(twice & single[row])
+            fresh = np.append(True, (np.diff(hit) != 1) | (row[hit][1:] != row[hit][:-1])) if len(hit) else np.zeros(0, bool)
+            low, high = hit[fresh], hit[np.append(fresh[1:], True)] if len(hit) else hit
+            owner = pa.array(row[low])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key").take(owner), batch.column("mark").take(owner),
+                    pa.array((first[row[low]] + place[low]).astype(np.int32)), pa.array((first[row[low]] + place[high]).astype(np.int32)),
+                ],
+                ["key", "mark", "first", "last"],
+            )
+
+    return map_batches(spans.repartition("gram").sortWithinPartitions("gram"), run, _PLACE)
+
+
+def _dealt(spans: DataFrame, length: int) -> DataFrame:
+    """As `_refined`, for buckets of any size: windows are dealt to tasks by their identifiers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_spans = batch.column("span").to_pylist()
+            for i, j in slices(all_spans, PIECE):
+                row, place, head, tail = window_ids(all_spans[i:j], length)
+                owner = pa.array(row + i)
+                at = batch.column("first").to_numpy()[row + i] + place
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(head.view(np.int64)), pa.array(tail.view(np.int64)), batch.column("key").take(owner),
+                        batch.column("mark").take(owner), pa.array(at.astype(np.int32)), batch.column("single").take(owner),
+                    ],
+                    ["head", "tail", "key", "mark", "at", "single"],
+                )
+
+    schema = "head long, tail long, key long, mark int, at int, single boolean"
+    windows = map_batches(spans, run, schema)  # made twice from texts that are moved once
+    twice = windows.groupBy("head", "tail").agg(F.count("*").alias("n")).where("n > 1").select("head", "tail")
+    again = windows.where("single").join(twice, ["head", "tail"], "left_semi")
+    return again.select("key", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
+    """(key, mark, first, last) of keyed docs: runs of starts of repeated strings, overlapping or not, in no order."""
     found = anchor_table(docs, length)
     buckets = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
     shared = buckets.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("split"))
-    kept = materialise(found.join(shared, "gram"), "anchors")
-    settled = kept.where("not split").select("doc_id", "mark", "first", "last")
+    kept = materialise(found.join(shared.hint("merge"), "gram"), "anchors")
+    settled = kept.where("not split").select("key", "mark", "first", "last")
 
     open_rows = kept.where("split")
-    place = F.min(F.struct("doc_id", "mark", "first", "last")).alias("place")
+    place = F.min(F.struct("key", "mark", "first", "last")).alias("place")
     kinds = materialise(open_rows.groupBy("gram", "span").agg(F.count("*").alias("n"), place), "kinds")
-    joined = open_rows.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"], "left_semi")
-    settled = settled.unionByName(joined.select("doc_id", "mark", "first", "last"))
+    copied = open_rows.join(kinds.where("n > 1").select("gram", "span").hint("merge"), ["gram", "span"], "left_semi")
+    settled = settled.unionByName(copied.select("key", "mark", "first", "last"))
 
-    wanted = kinds.select("place.*", (F.col("n") == 1).alias("single"))
-    windows = materialise(_windows(docs, wanted, length), "windows")
-    twice = windows.groupBy("head", "tail").agg(F.count("*").alias("n")).where("n > 1").select("head", "tail")
-    again = windows.where("single").join(twice, ["head", "tail"], "left_semi")
-    return settled.unionByName(again.select("doc_id", "mark", F.col("at").alias("first"), F.col("at").alias("last")))
+    crowded = materialise(kinds.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > together).select("gram"), "crowded")
+    wanted = kinds.select("gram", "place.*", (F.col("n") == 1).alias("single"))
+    usual = _spans(docs, wanted.join(crowded, "gram", "left_anti"), length)
+    found = settled.unionByName(_refined(usual, length))
+    if not crowded.isEmpty():
+        found = found.unionByName(_dealt(_spans(docs, wanted.join(crowded, "gram", "left_semi"), length), length))
+    return found
 
 
 def _with_runs(docs: DataFrame, length: int) -> DataFrame:
-    """`docs` with the list of repeated starts of each text, null if it has none."""
-    runs = _lists(repeated_spans(docs, length), "first", "last")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_mark_of_text() == F.col("_mark"))
-    return docs.join(runs, same, "left").drop("_id", "_mark")
+    """Keyed `docs` with the list of repeated starts of each text, null if it has none."""
+    docs = _keyed(docs)
+    return _listed(docs, repeated_spans(docs, length), "first", "last")
 
 
-def _covered(size: int, runs: list[dict] | None, length: int) -> np.ndarray:
-    """Which bytes of a text are covered by strings that start in `runs`."""
-    turn = np.zeros(size + 1, dtype=np.int32)
-    np.add.at(turn, [r["first"] for r in runs or ()], 1)
-    np.add.at(turn, [r["last"] + length for r in runs or ()], -1)
+def _covered(size: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes of a text are covered by strings that start from `first` to `last`."""
+    turn = np.bincount(first, minlength=size + 1) - np.bincount(last + length, minlength=size + 1)
     return np.cumsum(turn[:-1]) > 0
 
 
@@ -217,10 +288,12 @@ def repeats_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, runs in zip(payload(batch.column("text")), batch.column("_runs").to_pylist()):
-                if runs:
-                    gone = _covered(len(text), runs, length)
+            rows, start = [], 0
+            ends, (first, last) = _runs(batch.column("_runs"), "first", "last")
+            for text, end in zip(payload(batch.column("text")), ends):
+                if end > start:
+                    gone = _covered(len(text), first[start:end], last[start:end], length)
+                    start = end
                     kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 else:
@@ -241,18 +314,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` without the repeated bytes of their texts, all rows and columns kept; n_chars follows the text.
 
     Where a cut falls inside a character its left bytes are dropped. A text that is repeated as a whole
-    becomes empty; a null text stays null. Columns named _id, _mark or _runs are not supported.
+    becomes empty; a null text stays null. Columns named _key, _mark or _runs are not supported.
     """
 
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, runs in enumerate(batch.column("_runs").to_pylist()):
-                if runs:
+            texts, start = batch.column("text").to_pylist(), 0
+            ends, (first, last) = _runs(batch.column("_runs"), "first", "last")
+            for i, end in enumerate(ends):
+                if end > start:
                     raw = texts[i].encode()
-                    left = np.frombuffer(raw, dtype=np.uint8)[~_covered(len(raw), runs, length)].tobytes()
-                    texts[i] = left.decode(errors="ignore")
-            columns = {n: batch.column(n) for n in docs.columns} | {"text": pa.array(texts, pa.string())}
+                    gone = _covered(len(raw), first[start:end], last[start:end], length)
+                    texts[i] = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes().decode(errors="ignore")
+                    start = end
+            columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
                 sizes = [None if t is None else len(t) for t in texts]
                 columns["n_chars"] = pa.array(sizes, pa.int64()).cast(batch.column("n_chars").type)
