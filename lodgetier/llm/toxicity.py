@@ -4,13 +4,13 @@ For toxic and ordinary training documents each, a model gives the probability of
 `ORDER` - 1 before it in its word. The highest order is counted per class, with absolute discounting; what
 is discounted goes to the counts of both classes together, and from there to lower orders made of
 continuation counts (in how many contexts a string occurs), so a rare expression has the same fallback in
-either class. A document's log-likelihoods under
-both models are compared per word: the mean log ratio, and the means of what goes beyond a margin to either side, so that
-the common words of a style don't outweigh a few telling ones. A logistic curve fitted on training rows kept
-apart turns these into a probability.
+either class. The log-likelihoods of a document's words are compared and divided by their number; words
+whose likelihoods are within a margin of each other count as equal, so that the common words of a style
+don't outweigh a few telling ones. A logistic curve fitted on training rows kept apart makes it a
+probability.
 
 A word counts once per document, since words come in bursts. Counts come from all training rows. Strings are counted under 2**20 hash values, so that the model that goes
-to the executors has a fixed bound (two tables of 2**20 floats), whatever the corpus.
+to the executors has a fixed bound (a table of 2**20 floats), whatever the corpus.
 """
 
 from __future__ import annotations
@@ -101,8 +101,12 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
 
 def fit(
     table: dict[str, np.ndarray], order: int = ORDER, discount: float = DISCOUNT, class_discount: float = CLASS_DISCOUNT
-) -> tuple[np.ndarray, np.ndarray]:
-    """(seen, unseen): log ratio toxic to ordinary of a string met in training, else of its context."""
+) -> np.ndarray:
+    """Log ratio toxic to ordinary of each string's last character after the others; 0 for strings not met.
+
+    Both classes pass the larger of their two shares down, so that what is new to the smaller class doesn't
+    look like the other.
+    """
     size = 1 << BITS
     shared = np.full(len(table["s1"]), 1.0 / max(1, len(np.unique(table["s1"]))))
     for k in range(1, order):  # probability of the last character after k - 1 others, by continuation counts
@@ -117,41 +121,39 @@ def fit(
         shared = np.maximum(kinds[own] - discount, 0.0) / total + discount * types / total * shared
     gram, context = table[f"s{order}"], table[f"c{order - 1}"]
 
-    def discounted(counts: np.ndarray, less: float, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities with `below` as lower order, and the share each context passes down."""
+    def evidence(counts: np.ndarray, less: float) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of discounted counts within each context, and the share that each context passes down."""
         total = np.bincount(context, weights=counts, minlength=size)
-        cut = np.bincount(context, weights=np.minimum(counts, less), minlength=size)
-        passed = np.where(total > 0, cut / np.maximum(total, 1.0), 1.0)
-        return np.maximum(counts - less, 0.0) / np.maximum(total[context], 1.0) + passed[context] * below, passed
-
-    pooled, _ = discounted((table["toxic"] + table["ordinary"]).astype(np.float64), discount, shared)
-    toxic, passed_toxic = discounted(table["toxic"].astype(np.float64), class_discount, pooled)
-    ordinary, passed_ordinary = discounted(table["ordinary"].astype(np.float64), class_discount, pooled)
-    seen = np.full(size, np.nan, dtype=np.float32)
-    seen[gram] = np.log(toxic) - np.log(ordinary)
-    return seen, (np.log(passed_toxic) - np.log(passed_ordinary)).astype(np.float32)
-
+        kept = np.maximum(counts - less, 0.0)
+        left = np.bincount(context, weights=kept, minlength=size)
+        passed = np.where(total > 0, 1 - left / np.maximum(total, 1.0), 1.0)
+        return kept / np.maximum(left[context], 1e-9), passed[context]
 
-#: Mean log ratio, mean excess over the margin towards toxic and ordinary, and the former on a log scale.
-FEATURES = ["ratio", "toxic_excess", "ordinary_excess", "log_excess"]
+    own, passed = evidence((table["toxic"] + table["ordinary"]).astype(np.float64), discount)
+    pooled = (1 - passed) * own + passed * shared
+    toxic, first = evidence(table["toxic"].astype(np.float64), class_discount)
+    ordinary, second = evidence(table["ordinary"].astype(np.float64), class_discount)
+    down = np.maximum(first, second)
+    ratio = np.zeros(size, dtype=np.float32)
+    ratio[gram] = np.log((1 - down) * toxic + down * pooled) - np.log((1 - down) * ordinary + down * pooled)
+    return ratio
 
 
 class Scorer:
-    """Log ratios of texts per word; keeps those of words it has met."""
+    """Per-word log ratios of texts beyond the margin; keeps those of words it has met."""
 
-    def __init__(self, seen: np.ndarray, unseen: np.ndarray):
-        self.seen, self.unseen = seen, unseen
+    def __init__(self, ratio: np.ndarray):
+        self.ratio = ratio
         self.known: dict[bytes, float] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        strings, contexts, word = windows([w.decode() for w in words])
-        ratio = self.seen[strings[-1]]
-        ratio = np.where(np.isnan(ratio), self.unseen[contexts[-1]], ratio)
-        self.known.update(zip(words, np.bincount(word, weights=ratio, minlength=len(words)).tolist()))
+        strings, _, word = windows([w.decode() for w in words])
+        found = np.bincount(word, weights=self.ratio[strings[-1]], minlength=len(words))
+        self.known.update(zip(words, np.maximum(found - MARGIN, 0.0).tolist()))
 
     def differences(self, texts: list[bytes]) -> np.ndarray:
-        """Columns as in `FEATURES`, all zero but the last for a text without words."""
-        out = np.zeros((len(texts), len(FEATURES)))
+        """Log of the mean excess of each text's words; a text without words has none."""
+        out = np.zeros(len(texts))
         for i, j in slices(texts):
             if len(self.known) > KEPT_WORDS:
                 self.known.clear()
@@ -162,36 +164,34 @@ class Scorer:
             get = self.known.__getitem__
             for k, words in enumerate(cut, i):
                 if words:
-                    ratio = np.fromiter(map(get, words), np.float64, len(words))
-                    out[k, :3] = ratio.mean(), np.maximum(ratio - MARGIN, 0).mean(), np.maximum(-ratio - MARGIN, 0).mean()
-        out[:, 3] = np.log(FLOOR + out[:, 1])
-        return out
+                    out[k] = sum(map(get, words)) / len(words)
+        return np.log(FLOOR + out)
 
 
 @lru_cache(maxsize=1)
 def _scorer(name: int, model) -> Scorer:
-    return Scorer(*model.value)
+    return Scorer(model.value)
 
 
 def differences(docs: DataFrame, model, *columns: str) -> DataFrame:
-    """`columns` of docs with `FEATURES`, from a broadcast model."""
+    """`columns` of docs with `difference`, from a broadcast model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _scorer(model_id, model).differences(payload(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(f) for f in found.T.copy())], [*columns, *FEATURES])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found)], [*columns, "difference"])
 
     model_id = model._jbroadcast.id() if model._jbroadcast is not None else id(model)
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return map_batches(docs.select(*columns, "text"), run, ", ".join([kinds, *(f"{f} double" for f in FEATURES)]))
+    return map_batches(docs.select(*columns, "text"), run, f"{kinds}, difference double")
 
 
-def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[list[float], float]:
-    """Slopes and offset of a logistic curve, by Newton steps with a slight ridge."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-12
+def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and offset of a logistic curve, by Newton steps with a slight ridge."""
+    mean, scale = x.mean(), x.std() + 1e-12
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    pull = np.append(np.full(x.shape[1], ridge), 1e-9)
-    w = np.zeros(z.shape[1])
+    pull = np.array([ridge, 1e-9])
+    w = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
         bend = (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(pull)
@@ -199,8 +199,7 @@ def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[list[float
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    slopes = w[:-1] / scale
-    return slopes.tolist(), float(w[-1] - slopes @ mean)
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
 def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,7 +213,7 @@ def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     truth = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    usable = docs.where(crc_of_id() % 3 != 1).join(truth, "doc_id")
+    usable = docs.where(crc_of_id() % 3 != 1).join(truth.hint("merge"), "doc_id")  # the same plan at every size
     usable = materialise(usable.withColumn("fit", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(HELD)) == 0), "labelled")
     held = docs.select(F.col("doc_id"), (crc_of_id() % 3 == 1).alias("held_out"), "text")
     table = gram_counts(usable.where("not fit")).toArrow()
@@ -224,9 +223,8 @@ def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(arrays))
     some = usable.where("fit").orderBy(F.xxhash64(F.lit(5), "doc_id")).limit(MOST_FIT)
     sample = differences(some, model, "toxic").toArrow()
-    x = np.column_stack([sample.column(f).to_numpy() for f in FEATURES])
-    y = sample.column("toxic").to_numpy().astype(np.float64)
-    slopes, offset = curve(x, y) if len(set(y.tolist())) == 2 else ([1.0, 0.0, 0.0, 0.0], 0.0)
-    logit = sum((F.col(f) * F.lit(s) for f, s in zip(FEATURES, slopes)), F.lit(offset))
+    x, y = sample.column("difference").to_numpy(), sample.column("toxic").to_numpy().astype(np.float64)
+    slope, offset = curve(x, y) if len(set(y.tolist())) == 2 else (1.0, 0.0)
+    logit = F.col("difference") * F.lit(slope) + F.lit(offset)
     scored = differences(held, model, "doc_id", "held_out").withColumn("score", 1 / (1 + F.exp(-logit)))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
