@@ -1,8 +1,9 @@
 """Texts as sequences of small chunks whose ids are worked out once per task process.
 
 A chunk begins at a white space byte, or at a full stop or comma after a Latin letter; word tokenizers never
-join across those places, but for runs of white space, which callers keep off this path. Equal chunks are
-found for a whole slice at once by two 64-bit polynomial hashes over its bytes.
+join across those places, but for runs of white space, which callers keep off this path. Chunks are told
+apart for a whole slice at once by two 64-bit keys: their first and last eight bytes, which say all of a
+chunk up to sixteen bytes, and for longer ones two hashes of all their bytes.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 
 from lodgetier.llm.base import slices, spread
 
-#: Bytes of text whose new chunks are worked out together, and of which hashes are made at a time.
-LEARN_BYTES = 8 << 20
-HASH_BYTES = 2 << 20
+#: Bytes of text whose new chunks are worked out together.
+LEARN_BYTES = 6 << 20
 
 #: Chunks whose ids a process keeps; with more it forgets those least used.
 KEPT_CHUNKS = 400_000
@@ -31,7 +32,7 @@ def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
     """The first n powers of a hash base or of its inverse, modulo 2**64."""
     have = _powers.get((which, inverse))
     if have is None or len(have) < n:
-        size = max(n, HASH_BYTES + 1)
+        size = max(n, 1 << 20)
         base = (_INVERSES if inverse else _BASES)[which]
         have = np.ones(1, dtype=np.uint64)
         while len(have) < size:
@@ -64,6 +65,31 @@ def _begins(data: np.ndarray, every_space: bool) -> np.ndarray:
     return space | (((data == 46) | (data == 44)) & letter)
 
 
+def _keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two keys of each byte range, equal for equal ranges."""
+    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
+    eight = np.ndarray(len(padded) - 8, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each byte on
+    masks = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+    first = eight[starts] & masks[np.minimum(sizes, 8)]
+    rest = np.maximum(sizes - 8, 0)
+    second = (eight[starts + np.minimum(sizes, 8)] & masks[np.minimum(rest, 8)]) ^ (sizes.astype(np.uint64) << np.uint64(57))
+    at = np.flatnonzero(sizes > 16)
+    if len(at):
+        one, two, done = first[at], second[at], 16
+        while True:
+            left = sizes[at] - done
+            go = left > 0
+            if not go.any():
+                break
+            piece = eight[np.minimum(starts[at] + done, len(eight) - 1)] & masks[np.clip(left, 0, 8)]
+            for hashed, factor in ((one, 0x9E3779B97F4A7C15), (two, 0xD1342543DE82EF95)):
+                mixed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(factor) + piece * np.uint64(factor | 2)
+                hashed[go] = (mixed ^ (mixed >> np.uint64(29)))[go]
+            done += 8
+        first[at], second[at] = one, two ^ (sizes[at].astype(np.uint64) << np.uint64(57))
+    return first, second
+
+
 class ChunkStore:
     """Ids of texts by way of their chunks.
 
@@ -83,69 +109,86 @@ class ChunkStore:
     ):
         self.learn, self.plain, self.whole = learn, plain, whole
         self.every_space, self.lower, self.kept = every_space, lower, kept
-        self.code: dict[bytes, int] = {}
+        self.first = self.second = np.zeros(0, dtype=np.uint64)
         self.ids = np.zeros(0, dtype=np.int32)
         self.starts = self.lengths = self.uses = np.zeros(0, dtype=np.int64)
+        self._index()
+
+    def _index(self) -> None:
+        self.index = pd.Index(_mixed(self.first, self.second))
 
     def _forget(self) -> None:
+        """Keeps the more used chunks, half as many as may be kept."""
         stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.kept // 2])
-        names = list(self.code)
-        self.code = {names[i]: at for at, i in enumerate(stay.tolist())}
         lengths = self.lengths[stay]
         self.ids = self.ids[spread(lengths, self.starts[stay])]
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
-        self.uses = self.uses[stay] // 2
+        self.first, self.second, self.uses = self.first[stay], self.second[stay], self.uses[stay] // 2
+        self._index()
 
-    def _cut(self, texts: list[bytes], new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all chunks of some plain texts, and the number of chunks of each text."""
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    def _cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of some plain texts, where chunks start, their sizes, and the chunks of each text."""
+        raw = b"".join(texts)
+        data = np.frombuffer(raw, dtype=np.uint8)
         if self.lower:
-            data = np.where((data >= 65) & (data <= 90), data | 32, data)
+            data = np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
+            raw = data.tobytes()
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        text_starts = (np.cumsum(sizes) - sizes)[sizes > 0]
         if not len(data):
-            return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+            return raw, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
         marks = _begins(data, self.every_space)
-        marks[text_starts] = True
+        marks[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         starts = np.flatnonzero(marks)
-        ends = np.append(starts[1:], len(data))
-        first, second = (range_hashes(prefix_hashes(data, k), starts, ends, k) for k in (0, 1))
-        _, sample, which = np.unique(first, return_index=True, return_inverse=True)
-        if not (second == second[sample][which]).all():  # two chunks with one hash: tell them apart by bytes
-            names = np.array([data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())], dtype=object)
-            _, sample, which = np.unique(names, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        code, codes = self.code, []
-        for s, e in zip(starts[sample].tolist(), ends[sample].tolist()):
-            chunk = raw[s:e]
-            at = code.get(chunk)
-            if at is None:
-                at = code[chunk] = len(code)
-                new.append(chunk)
-            codes.append(at)
         counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
-        return np.array(codes, dtype=np.int32)[which], counts
+        return raw, starts, np.diff(np.append(starts, len(data))), counts
+
+    def _codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Codes of all chunks of some texts, learning new ones; None if two chunks can't be told apart."""
+        raw, starts, sizes, counts = self._cut(texts)
+        first, second = _keys(np.frombuffer(raw, dtype=np.uint8), starts, sizes)
+        which, distinct = pd.factorize(_mixed(first, second))
+        sample = np.zeros(len(distinct), dtype=np.int64)
+        sample[which[::-1]] = np.arange(len(which))[::-1]
+        if not ((first == first[sample][which]) & (second == second[sample][which])).all():
+            return None
+        at = self.index.get_indexer(distinct)
+        known = at >= 0
+        if not ((self.first[at] == first[sample]) & (self.second[at] == second[sample]) | ~known).all() if len(self.first) else False:
+            return None
+        new = np.flatnonzero(~known)
+        if len(new):
+            at[new] = len(self.first) + np.arange(len(new))
+            places = sample[new]
+            ids, lengths = self.learn([raw[s : s + n] for s, n in zip(starts[places].tolist(), sizes[places].tolist())])
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
+            self.first, self.second = np.concatenate([self.first, first[places]]), np.concatenate([self.second, second[places]])
+            self._index()
+        codes = at[which]
+        self.uses += np.bincount(codes, minlength=len(self.uses))
+        return codes, counts
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
         for first, last in slices(texts, LEARN_BYTES):
-            if len(self.code) > self.kept:
+            if len(self.first) > self.kept:
                 self._forget()
             odd = {i for i in range(first, last) if not self.plain(texts[i])}
-            usual = [b"" if i in odd else texts[i] for i in range(first, last)]
-            new: list[bytes] = []
-            cut = [self._cut(usual[i:j], new) for i, j in slices(usual, HASH_BYTES)]
-            if new:
-                ids, lengths = self.learn(new)
-                self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-                self.lengths = np.concatenate([self.lengths, lengths])
-                self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-                self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
-            i = first
-            for codes, counts in cut:
-                self.uses += np.bincount(codes, minlength=len(self.uses))
-                ids = self.ids[spread(self.lengths[codes], self.starts[codes])]
-                per_text = np.add.reduceat(np.append(self.lengths[codes], 0), np.cumsum(counts) - counts) * (counts > 0)
-                for end, n in zip(np.cumsum(per_text).tolist(), per_text.tolist()):
-                    yield self.whole(texts[i]) if i in odd else ids[end - n : end]
-                    i += 1
+            found = self._codes([b"" if i in odd else texts[i] for i in range(first, last)])
+            if found is None:
+                odd, found = set(range(first, last)), (np.zeros(0, dtype=np.int64), np.zeros(last - first, dtype=np.int64))
+            codes, counts = found
+            ends = np.cumsum(counts)
+            for i in range(first, last):
+                if i in odd:
+                    yield self.whole(texts[i])
+                else:
+                    some = codes[ends[i - first] - counts[i - first] : ends[i - first]]
+                    yield self.ids[spread(self.lengths[some], self.starts[some])]
+
+
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    mixed = (first ^ (first >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xD1342543DE82EF95)
+    return mixed ^ (mixed >> np.uint64(29))

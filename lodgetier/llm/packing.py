@@ -11,6 +11,7 @@ in any store and only finished tasks leave any.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodgetier.llm.base import map_batches, payload
+from lodgetier.llm.base import map_batches, payload, spread
 from lodgetier.llm.chunks import ChunkStore
 from lodgetier.runtime import scratch_path
 
@@ -33,6 +34,10 @@ END = 2
 #: Ids of a block: documents are added until it holds as many.
 BLOCK_IDS = 1 << 16
 
+#: Texts given to the tokenizer in a call, and words in such a text.
+LEARN_TEXTS = 4_096
+JOINED = 100
+
 # Ids per word and bits per id of selectors 0 to 13.
 PER_WORD = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -40,7 +45,13 @@ ZEROS, ESCAPE = 14, 15
 LEAST_ZEROS = 61
 
 
+_SHORT = np.searchsorted((1 << BITS[:12]) - 1, np.arange(1 << 16)).astype(np.int8)
+
+
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    """The least bits of a selector that hold each id; 61 for ids that none holds."""
+    if ids.max() < 1 << 16:
+        return BITS.astype(np.int8)[_SHORT[ids.astype(np.int64)]]
     out = np.zeros(len(ids), dtype=np.int8)
     for bits in BITS.tolist()[::-1]:
         out[ids < np.uint64(1 << bits)] = bits
@@ -119,10 +130,13 @@ class WordEncoder:
     """Ids by a tokenizer that drops white space, one call of the library per chunk not met before."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.marks = {s[:2] for s in special}
         self.encode = ChunkStore(self.learn, self.plain, self.whole, every_space=True, lower=True).encode
 
@@ -130,11 +144,33 @@ class WordEncoder:
         """Whether no special token can be in a text; those are told by case, chunks are not."""
         return not any(m in text for m in self.marks)
 
+    def _several(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for i in range(0, len(texts), LEARN_TEXTS):
+            some = self.tokenizer.encode_batch_fast(texts[i : i + LEARN_TEXTS], add_special_tokens=False)
+            out += [e.ids for e in some]
+        return out
+
     def learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        lengths = np.array([len(i) for i in ids], dtype=np.int64)
-        return np.array([x for i in ids for x in i], dtype=np.int64), lengths
+        """Words of ASCII letters are given to the library many at a time; their ids end with a word's end."""
+        bare = [c.strip() for c in chunks]
+        simple = np.array([c.isalpha() for c in bare])
+        at = np.flatnonzero(simple)
+        joined = [b" ".join([bare[i] for i in at[k : k + JOINED]]).decode() for k in range(0, len(at), JOINED)]
+        ids = np.array([x for some in self._several(joined) for x in some], dtype=np.int64)
+        ends = np.flatnonzero(self.last[ids]) if len(ids) else np.zeros(0, dtype=np.int64)
+        if len(ends) != len(at):  # a vocabulary without word ends
+            at, ids, ends, simple = at[:0], ids[:0], ends[:0], np.zeros(len(chunks), dtype=bool)
+        rest = np.flatnonzero(~simple)
+        others = self._several([chunks[i].decode() for i in rest])
+        lengths = np.zeros(len(chunks), dtype=np.int64)
+        lengths[at] = np.diff(np.append(-1, ends))
+        lengths[rest] = [len(x) for x in others]
+        flat = np.concatenate([ids, np.array([x for some in others for x in some], dtype=np.int64)])
+        owner = np.concatenate([at, rest])
+        starts = np.zeros(len(chunks), dtype=np.int64)
+        starts[owner] = np.cumsum(lengths[owner]) - lengths[owner]
+        return flat[spread(lengths, starts)], lengths
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype=np.int64)
@@ -199,7 +235,8 @@ def read_ids(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 ids = unpack(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["escapes"], "<u8"), row["n_ids"])
                 offsets = np.array(row["offsets"], dtype=np.int64)
                 wide = ids.astype("<u4")
