@@ -6,7 +6,7 @@ scores unlabelled documents and hands the other those it is surest of, as if the
 both views are calibrated, and joined by a third logistic curve, on labelled rows that took no part.
 
 Classifiers are fitted on the driver on bounded samples, the first MOST_LABELLED labelled and MOST_POOL
-unlabelled rows in the order of a hash of their id; features and scores are computed for every document.
+unlabelled documents in the order of a hash of their id; features and scores are computed for every document.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ THRESHOLD = 0.3
 #: Places for sources and languages, by hash.
 SOURCE_PLACES = 48
 LANG_PLACES = 16
+META = SOURCE_PLACES + LANG_PLACES + 2
 
 _KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&|<>=~^_{}[]\\@+",
@@ -66,7 +67,7 @@ def content(text: bytes) -> list[float]:
 
 
 def _metadata(lang: str | None, source: str | None, size: int) -> list[float]:
-    out = [0.0] * (SOURCE_PLACES + LANG_PLACES + 2)
+    out = [0.0] * META
     out[zlib.crc32(repr(source).encode()) % SOURCE_PLACES] = 1.0
     out[SOURCE_PLACES + zlib.crc32(repr(lang).encode()) % LANG_PLACES] = 1.0
     out[-2:] = np.log1p(size) / 10, (np.log1p(size) / 10) ** 2
@@ -151,14 +152,21 @@ class Quality:
         return 1 / (1 + np.exp(-self.join.logit(np.column_stack(both))))
 
 
-def _sample(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    chosen = rows.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(most).select("content", "meta", "quality")
-    table = chosen.toArrow()
-    widths = {"content": len(CONTENT), "meta": SOURCE_PLACES + LANG_PLACES + 2}
-    views = [np.array(table.column(c).to_pylist(), dtype=np.float64).reshape(table.num_rows, n) for c, n in widths.items()]
+def _sample(found: DataFrame, ids: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both views and qualities of the rows of at most `most` ids, in the order of a hash of the id."""
+    chosen = ids.withColumn("_order", F.xxhash64(F.lit(5), "doc_id")).orderBy("_order", "doc_id").limit(most)
+    rows = found.join(F.broadcast(chosen), "doc_id").orderBy("_order", "doc_id", "content", "meta")  # `most` bounds it
+    table = rows.select("content", "meta", "quality").toArrow().combine_chunks()
+    views = [_matrix(table.column(c).combine_chunks(), n) for c, n in (("content", len(CONTENT)), ("meta", META))]
     return views, table.column("quality").to_numpy(zero_copy_only=False).astype(np.float64)
 
 
+def _matrix(arrays: pa.Array, width: int) -> np.ndarray:
+    if isinstance(arrays, pa.ChunkedArray):
+        arrays = pa.concat_arrays(arrays.chunks) if arrays.num_chunks else pa.array([], arrays.type)
+    return arrays.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
 def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
 
@@ -169,12 +177,12 @@ def fit(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Quality |
     Null labels are left out; a doc_id with several counts as good if one says so.
     """
     truth = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
-    marked = found.join(truth, "doc_id", "left")
-    views, y = _sample(marked.where("quality is not null"), MOST_LABELLED)
+    ids = found.where("doc_id is not null").select("doc_id").distinct().join(truth.hint("merge"), "doc_id", "left")
+    views, y = _sample(found, ids.where("quality is not null"), MOST_LABELLED)
     kept = np.arange(len(y)) % 4 == 0  # calibrates; the sample is in hash order
     if any(len(set(y[side].tolist())) < 2 for side in (kept, ~kept)):
         return None
-    pool, _ = _sample(marked.where("quality is null"), MOST_POOL)
+    pool, _ = _sample(found, ids.where("quality is null"), MOST_POOL)
     return Quality(views, y, kept, pool, rounds)
 
 
@@ -183,8 +191,7 @@ def _score(model: Quality | None, content: pa.Array, meta: pa.Array) -> np.ndarr
     n = len(content)
     if model is None or not n:
         return np.ones(n)
-    views = [x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) for x in (content, meta)]
-    return model.score(views)
+    return model.score([_matrix(content, len(CONTENT)), _matrix(meta, META)])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
