@@ -167,7 +167,7 @@ class Mix:
         taken = self.slots.groupBy("source", "block").agg(F.count("*").alias("times"))
         taken = taken.withColumnsRenamed({"source": "_s", "block": "_b"})
         same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))
-        return self.pieces.join(taken, same).drop("_s", "_b")
+        return self.pieces.join(taken.hint("merge"), same).drop("_s", "_b")  # it grows with the mix: no broadcast
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
