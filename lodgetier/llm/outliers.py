@@ -41,6 +41,9 @@ SHRINK = 40
 #: Distances and values are told apart to 1/GRAIN (distances on a log scale).
 GRAIN = 128
 
+#: Tasks that a group's rows are spread over where they meet its estimate.
+SALTS = 32
+
 #: The vector: column expression and the least deviation that counts as one.
 VECTOR: list[tuple[str, float]] = [
     ("ln(1 + n_words)", 1.0),
@@ -138,6 +141,13 @@ def _quantile(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
     )
 
 
+def _by_group(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows joined to a table of one row per key; a key's rows are spread over `SALTS` tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def _distance(x: list[Column]) -> Column:
     """Squared Mahalanobis distance, from columns centre and white (rows of the whitening matrix, end to end)."""
     away = [x[i] - F.col("centre")[i] for i in range(P)]
@@ -154,7 +164,7 @@ def _start(rows: DataFrame) -> DataFrame:
     dims = F.posexplode(F.array(*(F.floor(F.col(x) * GRAIN).cast("long") for x in X)))
     bins = rows.select("grp", dims.alias("dim", "bin"))
     median = materialise(_quantile(bins, ["grp", "dim"], 0.5), "medians")
-    away = bins.join(median, ["grp", "dim"]).select("grp", "dim", F.abs(F.col("bin") - F.col("edge")).alias("bin"))
+    away = _by_group(bins, median, ["grp", "dim"]).select("grp", "dim", F.abs(F.col("bin") - F.col("edge")).alias("bin"))
     deviation = _quantile(away, ["grp", "dim"], 0.5).withColumnRenamed("edge", "mad")
     both = median.join(deviation, ["grp", "dim"]).groupBy("grp").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "edge", "mad"))), lambda s: s["edge"] / F.lit(GRAIN)).alias("centre"),
@@ -171,10 +181,10 @@ def _start(rows: DataFrame) -> DataFrame:
 
 def _step(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
     """Mean and scatter of each group's nearest rows under an estimate."""
-    bins = rows.join(estimate, "grp").withColumn(
+    bins = _by_group(rows, estimate, ["grp"]).withColumn(
         "bin", F.floor(F.log(_distance([F.col(x) for x in X]) + 1e-9) * GRAIN).cast("long")
     ).drop("centre", "white")
-    near = bins.join(_quantile(bins.select("grp", "bin"), ["grp"], share), "grp").where("bin <= edge")
+    near = _by_group(bins, _quantile(bins.select("grp", "bin"), ["grp"], share), ["grp"]).where("bin <= edge")
     sums = [F.sum(x).alias(f"s_{x}") for x in X]
     products = [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p_{i}_{j}") for i in range(P) for j in range(i + 1)]
     moments = near.groupBy("grp").agg(F.count("*").alias("n"), *sums, *products)
