@@ -21,11 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgetier.llm.base import map_batches, payload, spread
+from lodgetier.llm.base import map_batches, payload, slices, spread
 from lodgetier.llm.chunks import ChunkStore
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
+#: Chunks whose ids a task process keeps.
+KEPT_CHUNKS = 200_000
+
 # Where a run of white space goes on across a space that would start a chunk; white space beyond ASCII.
 _RUN_ON = regex.compile(rb"[\x09-\x0D\x1C-\x20] (?:[\x09-\x0D\x1C-\x20]|\Z)")
 _WIDE_SPACE = regex.compile(rb"\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80")
@@ -162,7 +165,7 @@ class Encoder:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.tokens = [t.encode() for t in v.special]
-        self.store = ChunkStore(self.learn, self.plain, self.whole)
+        self.store = ChunkStore(self.learn, self.plain, self.whole, kept=KEPT_CHUNKS)
         self.encode = self.store.encode
 
     def plain(self, text: bytes) -> bool:
@@ -223,17 +226,22 @@ def bpe_table(docs: DataFrame, path: str = VOCABULARY, with_ids: bool = False) -
         v, e = vocabulary(path), encoder(path)
         for batch in batches:
             texts = payload(batch.column("text"))
-            count, of_ids, of_text, kept = [], [], [], []
-            for ids in e.encode(texts):
-                count.append(len(ids))
-                of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                of_text.append(hashlib.sha256(decode(ids, v).encode()).hexdigest())
+            for i, j in slices(texts):
+                count, of_ids, of_text, kept = [], [], [], []
+                for ids in e.encode(texts[i:j]):
+                    count.append(len(ids))
+                    of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                    of_text.append(hashlib.sha256(decode(ids, v).encode()).hexdigest())
+                    if with_ids:
+                        kept.append(ids.astype(np.int32))
+                columns = [
+                    batch.column("doc_id").slice(i, j - i), pa.array(count, pa.int64()),
+                    pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()),
+                ]
                 if with_ids:
-                    kept.append(ids.astype(np.int32))
-            columns = [batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-            if with_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+                    ends = np.cumsum([0, *count]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, np.concatenate(kept) if kept else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema + ", ids array<int>" * with_ids)

@@ -16,7 +16,7 @@ import pandas as pd
 from lodgetier.llm.base import slices, spread
 
 #: Bytes of text whose new chunks are worked out together.
-LEARN_BYTES = 6 << 20
+LEARN_BYTES = 4 << 20
 
 #: Chunks whose ids a process keeps; with more it forgets those least used.
 KEPT_CHUNKS = 400_000
