@@ -2,8 +2,8 @@
 
 A chunk begins at a white space byte, or at a full stop or comma after a Latin letter; word tokenizers never
 join across those places, but for runs of white space, which callers keep off this path. Chunks are told
-apart for a whole slice at once by two 64-bit keys: their first and last eight bytes, which say all of a
-chunk up to sixteen bytes, and for longer ones two hashes of all their bytes.
+apart for a whole slice at once by their size and two 64-bit keys: their first and last eight bytes, which
+with the size say all of a chunk up to sixteen bytes, and for longer ones two hashes of all their bytes.
 """
 
 from __future__ import annotations
@@ -66,13 +66,13 @@ def _begins(data: np.ndarray, every_space: bool) -> np.ndarray:
 
 
 def _keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two keys of each byte range, equal for equal ranges."""
+    """Two keys of each byte range, equal for equal ranges; up to 16 bytes, ranges of one size differ in them."""
     padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
     eight = np.ndarray(len(padded) - 8, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each byte on
     masks = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
     first = eight[starts] & masks[np.minimum(sizes, 8)]
     rest = np.maximum(sizes - 8, 0)
-    second = (eight[starts + np.minimum(sizes, 8)] & masks[np.minimum(rest, 8)]) ^ (sizes.astype(np.uint64) << np.uint64(57))
+    second = eight[starts + np.minimum(sizes, 8)] & masks[np.minimum(rest, 8)]
     at = np.flatnonzero(sizes > 16)
     if len(at):
         one, two, done = first[at], second[at], 16
@@ -86,7 +86,7 @@ def _keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
                 mixed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(factor) + piece * np.uint64(factor | 2)
                 hashed[go] = (mixed ^ (mixed >> np.uint64(29)))[go]
             done += 8
-        first[at], second[at] = one, two ^ (sizes[at].astype(np.uint64) << np.uint64(57))
+        first[at], second[at] = one, two
     return first, second
 
 
@@ -111,11 +111,12 @@ class ChunkStore:
         self.every_space, self.lower, self.kept = every_space, lower, kept
         self.first = self.second = np.zeros(0, dtype=np.uint64)
         self.ids = np.zeros(0, dtype=np.int32)
+        self.sizes = np.zeros(0, dtype=np.int64)
         self.starts = self.lengths = self.uses = np.zeros(0, dtype=np.int64)
         self._index()
 
     def _index(self) -> None:
-        self.index = pd.Index(_mixed(self.first, self.second))
+        self.index = pd.Index(_mixed(self.first, self.second, self.sizes))
 
     def _forget(self) -> None:
         """Keeps the more used chunks, half as many as may be kept."""
@@ -123,7 +124,8 @@ class ChunkStore:
         lengths = self.lengths[stay]
         self.ids = self.ids[spread(lengths, self.starts[stay])]
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
-        self.first, self.second, self.uses = self.first[stay], self.second[stay], self.uses[stay] // 2
+        self.first, self.second, self.sizes = self.first[stay], self.second[stay], self.sizes[stay]
+        self.uses = self.uses[stay] // 2
         self._index()
 
     def _cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,14 +148,15 @@ class ChunkStore:
         """Codes of all chunks of some texts, learning new ones; None if two chunks can't be told apart."""
         raw, starts, sizes, counts = self._cut(texts)
         first, second = _keys(np.frombuffer(raw, dtype=np.uint8), starts, sizes)
-        which, distinct = pd.factorize(_mixed(first, second))
+        which, distinct = pd.factorize(_mixed(first, second, sizes))
         sample = np.zeros(len(distinct), dtype=np.int64)
         sample[which[::-1]] = np.arange(len(which))[::-1]
-        if not ((first == first[sample][which]) & (second == second[sample][which])).all():
+        keys, have = (first, second, sizes), (self.first, self.second, self.sizes)
+        if not all((key == key[sample][which]).all() for key in keys):
             return None
         at = self.index.get_indexer(distinct)
         known = at >= 0
-        if not ((self.first[at] == first[sample]) & (self.second[at] == second[sample]) | ~known).all() if len(self.first) else False:
+        if not all((own[at[known]] == key[sample][known]).all() for own, key in zip(have, keys)):
             return None
         new = np.flatnonzero(~known)
         if len(new):
@@ -164,7 +167,7 @@ class ChunkStore:
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
             self.uses = np.concatenate([self.uses, np.zeros(len(new), dtype=np.int64)])
-            self.first, self.second = np.concatenate([self.first, first[places]]), np.concatenate([self.second, second[places]])
+            self.first, self.second, self.sizes = (np.concatenate([own, key[places]]) for own, key in zip(have, keys))
             self._index()
         codes = at[which]
         self.uses += np.bincount(codes, minlength=len(self.uses))
@@ -189,6 +192,7 @@ class ChunkStore:
                     yield self.ids[spread(self.lengths[some], self.starts[some])]
 
 
-def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def _mixed(first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    first = first + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed = (first ^ (first >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xD1342543DE82EF95)
     return mixed ^ (mixed >> np.uint64(29))

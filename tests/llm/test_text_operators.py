@@ -32,6 +32,27 @@ def test_encodes_like_the_library(module, encoder):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("module, encoder", [(bpe, bpe.encoder), (packing, packing.word_encoder)])
+def test_chunks_of_neighbouring_sizes_are_told_apart(module, encoder):
+    library = Tokenizer.from_file(module.VOCABULARY)
+    for size in range(14, 18):
+        chunk = " understandingssss"[:size]
+        for texts in ([chunk, chunk + ">"], [chunk + ">", chunk], [chunk + "\x00", chunk]):
+            found = encoder(module.VOCABULARY).encode([t.encode() for t in texts])
+            assert [ids.tolist() for ids in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_chunk_keys_and_sizes_say_all_of_sixteen_bytes():
+    from lodgetier.llm.chunks import ChunkStore
+
+    learn = lambda chunks: (np.frombuffer(b"".join(chunks), np.uint8).astype(np.int32), np.array([len(c) for c in chunks]))
+    for size in range(14, 18):
+        store = ChunkStore(learn, lambda text: True, lambda text: np.frombuffer(text, np.uint8).astype(np.int32))
+        chunk = b" understandingssss"[:size]
+        for texts in ([chunk, chunk + b">"], [chunk + b">", chunk + b"\x00", chunk]):
+            assert [bytes(ids.tolist()) for ids in store.encode(texts)] == texts
+
+
 def test_encoder_forgets_and_learns_again():
     library, own = Tokenizer.from_file(bpe.VOCABULARY), bpe.Encoder(bpe.vocabulary(bpe.VOCABULARY))
     own.store.kept = 10
