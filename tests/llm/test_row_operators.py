@@ -215,6 +215,72 @@ def test_toxicity_knows_new_forms_of_a_stem(spark, marked):
     assert score[10_001] > 0.7 > 0.3 > score[10_002]
 
 
+def plain_ratios(rows, order=toxicity.ORDER, discount=toxicity.DISCOUNT, less=toxicity.CLASS_DISCOUNT):
+    """Log ratios by string, counted in dictionaries; rows are (text, toxic)."""
+    counts = defaultdict(lambda: [0, 0])
+    for text, toxic in rows:
+        for w in set(text.split()):
+            padded = "\x01" * (order - 1) + w.lower() + "\x02"
+            for i in range(len(padded) - order + 1):
+                counts[padded[i : i + order]][toxic] += 1
+    strings, shared = {order: set(counts)}, {}
+    for k in range(order - 1, 0, -1):
+        strings[k] = {x[1:] for x in strings[k + 1]}
+    low = {"": 1 / len(strings[1])}
+    for k in range(1, order):
+        kinds = Counter(x[1:] for x in strings[k + 1])
+        total, types = Counter(), Counter(x[:-1] for x in kinds)
+        for x, n in kinds.items():
+            total[x[:-1]] += n
+        low = {
+            x: (max(n - discount, 0) + discount * types[x[:-1]] * low[x[1:]]) / total[x[:-1]] for x, n in kinds.items()
+        }
+
+    def evidence(n, d):
+        total, left = Counter(), Counter()
+        for x, c in n.items():
+            total[x[:-1]] += c
+            left[x[:-1]] += max(c - d, 0)
+        passed = {x: 1 - left[x[:-1]] / total[x[:-1]] if total[x[:-1]] else 1.0 for x in n}
+        return {x: max(c - d, 0) / max(left[x[:-1]], 1e-9) for x, c in n.items()}, passed
+
+    own, passed = evidence({x: sum(c) for x, c in counts.items()}, discount)
+    (ordinary, a), (toxic, b) = (evidence({x: c[k] for x, c in counts.items()}, less) for k in (0, 1))
+    for x in counts:
+        pooled, down = (1 - passed[x]) * own[x] + passed[x] * low[x[1:]], max(a[x], b[x])
+        shared[x] = np.log((1 - down) * toxic[x] + down * pooled) - np.log((1 - down) * ordinary[x] + down * pooled)
+    return shared
+
+
+def plain_difference(text, ratio, order=toxicity.ORDER):
+    found = []
+    for w in text.split():
+        padded = "\x01" * (order - 1) + w.lower() + "\x02"
+        found.append(max(sum(ratio.get(padded[i : i + order], 0.0) for i in range(len(padded) - order + 1)) - toxicity.MARGIN, 0.0))
+    return np.log(toxicity.FLOOR + (sum(found) / len(found) if found else 0.0))
+
+
+def test_ratios_and_differences_like_counts_of_strings(spark, marked):
+    rows = [(r.text, r.toxic) for r in marked.collect()]
+    ratio = toxicity.materialise(toxicity.ratios(toxicity.materialise(toxicity.gram_counts(marked), "test")), "test")
+    expected = plain_ratios(rows)
+    assert sorted(r.ratio for r in ratio.collect()) == pytest.approx(sorted(expected.values()), abs=1e-9)
+    texts = [t for t, _ in rows[:50]] + ["", None, "quite unmet zorgulend"]
+    docs = spark.createDataFrame([(None if i % 10 == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for size in (1 << 20, 500):
+        found = toxicity.differences(docs, ratio, "doc_id", "text", size=size).collect()
+        assert len(found) == len(texts)
+        assert all(r.difference == pytest.approx(plain_difference(r.text or "", expected), abs=1e-9) for r in found)
+
+
+def test_strings_are_told_apart_however_many():
+    pick = np.random.default_rng(7)
+    words = sorted({"".join(map(chr, w)) for w in pick.integers(97, 123, (100_000, 5))})
+    hashes = toxicity.windows(words)[0]
+    plain = {("\x01" * 4 + w + "\x02")[i : i + 5] for w in words for i in range(6)}
+    assert len(np.unique(hashes)) == len(plain)
+
+
 def test_labels_of_held_out_rows_do_not_matter(marked):
     labels = marked.select("doc_id", "toxic")
     turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
