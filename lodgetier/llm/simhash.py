@@ -58,15 +58,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long. A null text has no words."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *longs: str) -> DataFrame:
+    """(doc_id, fp) and columns `longs` for every row; fp is the fingerprint as a signed long. A null text has no
+    words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in payload(batch.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            kept = [batch.column(c) for c in longs]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *kept], ["doc_id", "fp", *longs])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + "".join(f", {c} long" for c in longs)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", *longs), run, schema)
 
 
 def anchored(points: DataFrame) -> DataFrame:
@@ -151,8 +154,8 @@ def linked(points: DataFrame, most_bits: int = MOST_BITS, tile: int = TILE) -> D
     return map_batches(met, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of `docs` (doc_id, text).
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS, *longs: str) -> DataFrame:
+    """(doc_id, fp, component_id) and columns `longs` for every row of `docs` (doc_id, text).
 
     Null and empty texts have fingerprint 0 and link like any other; texts with fewer words than a shingle
     are one shingle. Copies share their fingerprint and thus their component. Rows with the same doc_id are
@@ -160,12 +163,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     there are none, and takes no part in links. Other columns of `docs` are not read. An empty table gives an
     empty one.
     """
-    found = materialise(fingerprints(docs, shingle), "fingerprints")
+    found = materialise(fingerprints(docs, shingle, *longs), "fingerprints")
     points = found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
     points = materialise(points, "points")
     roots = components(linked(points, most_bits))
     labels = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return found.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    return found.join(labels, "fp", "left").select("doc_id", "fp", "component_id", *longs)
 
 
 def near_duplicate_table(docs: DataFrame) -> DataFrame:
@@ -175,7 +178,15 @@ def near_duplicate_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """The rows of `docs` whose doc_id is their component's smallest; rows without doc_id stay."""
-    kept = near_duplicates(docs, shingle, most_bits).where("doc_id = component_id").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(nameless)
+    """One row of each component of `docs`, with its smallest doc_id; of rows without doc_id one of each text stays.
+
+    Rows are told apart by doc_id and a hash of the text; of several such rows the least by its other columns stays.
+    """
+    rest = [c for c in docs.columns if c != "doc_id"]
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    found = near_duplicates(keyed, shingle, most_bits, "_text").where("doc_id is not null")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_text")).alias("row")).select("row.*")
+    named = keyed.join(kept, ["doc_id", "_text"], "left_semi")
+    rows = named.unionByName(keyed.where("doc_id is null"))
+    one = rows.groupBy("doc_id", "_text").agg(F.min(F.struct(*rest)).alias("row"))
+    return one.select("doc_id", "row.*").select(docs.columns)

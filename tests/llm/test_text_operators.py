@@ -170,6 +170,18 @@ def test_keep_one_of_each(odd, clashing):
     assert Counter(ids)[None] == 2 and {1, 4, 5, 8}.issubset(ids) and not {2, 3, 6, 7} & set(ids)
 
 
+def test_one_row_of_each_component_stays(spark):
+    from conftest import prose
+
+    one, two, three = (prose(150, n) for n in (71, 72, 73))
+    rows = [(1, one, "b"), (1, one, "a"), (2, one, "a"), (3, two, "a"), (3, three, "a"), (4, two, "a"), (0, three, "a")]
+    rows += [(None, "nameless " + one, "a"), (None, "nameless " + one, "a")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted(
+        [(1, one, "a"), (3, two, "a"), (0, three, "a"), (None, "nameless " + one, "a")], key=repr
+    )
+
+
 def plain_repeats(rows, length):
     """Counts every string of the given length."""
     texts = [(i, (t or "").encode()) for i, t in rows]
