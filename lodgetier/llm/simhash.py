@@ -178,14 +178,15 @@ def near_duplicate_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """One row of each component of `docs`, with its smallest doc_id; of rows without doc_id one of each text stays.
+    """Of each component of `docs` a row with its smallest doc_id, one for each fingerprint that id has; of rows
+    without doc_id one of each text.
 
     Rows are told apart by doc_id and a hash of the text; of several such rows the least by its other columns stays.
     """
     rest = [c for c in docs.columns if c != "doc_id"]
     keyed = docs.withColumn("_text", F.xxhash64("text"))
-    found = near_duplicates(keyed, shingle, most_bits, "_text").where("doc_id is not null")
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_text")).alias("row")).select("row.*")
+    found = near_duplicates(keyed, shingle, most_bits, "_text").where("doc_id = component_id")
+    kept = found.groupBy("component_id", "fp").agg(F.min(F.struct("doc_id", "_text")).alias("row")).select("row.*")
     named = keyed.join(kept, ["doc_id", "_text"], "left_semi")
     rows = named.unionByName(keyed.where("doc_id is null"))
     one = rows.groupBy("doc_id", "_text").agg(F.min(F.struct(*rest)).alias("row"))
