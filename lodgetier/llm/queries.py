@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgetier.llm import bpe, cotrain, mixing, outliers, packing, sharding, simhash, suffix, toxicity, vptree
+from lodgetier.llm import bpe, cotrain, cutting, mixing, outliers, packing, sharding, simhash, suffix, toxicity, vptree, whitening
 from lodgetier.llm.base import table
 
 
@@ -50,6 +50,14 @@ def op10_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.quality_table(table(spark, folder, "documents"))
 
 
+def op12_multiplicity_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_table(table(spark, folder, "embeddings"))
+
+
+def op13_cutting_stock_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return cutting.packed_pieces(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
