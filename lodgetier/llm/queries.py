@@ -73,18 +73,19 @@ WITH pieces AS (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
   FROM documents
 ), lists AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), w -> w <> '') AS ws FROM pieces
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces
 ), grams AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
   FROM lists, (VALUES (1), (2), (3)) sizes(k) WHERE len(ws) >= k
-), f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS n FROM grams GROUP BY ALL),
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS n FROM grams GROUP BY ALL),
 totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-cand AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 10),
-cuts AS (
-  SELECT c.*, cut, l.n AS l, r.n AS r, (1000000 * a * a) // (l.n * r.n) AS score
-  FROM cand c JOIN (VALUES (1), (2)) cuts(cut) ON cut < k
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:cut], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')
+cand AS MATERIALIZED (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 10),
+halves AS MATERIALIZED (
+  SELECT cand.*, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail
+  FROM cand, (VALUES (1), (2)) cuts(cut) WHERE cut < k
+), cuts AS (
+  SELECT c.*, l.n AS l, r.n AS r, (1000000 * a * a) // (l.n * r.n) AS score
+  FROM halves c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.tail
 ), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 inside AS (
   SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS most
