@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgetier.llm.base import map_batches, payload, slices
-from lodgetier.runtime import materialise
+from lodgetier.runtime import materialise, small_or_spread_join
 
 LEAST = 10
 TOP = 2_000
@@ -365,8 +365,8 @@ def phrase_table(docs: DataFrame, least: int = LEAST, top: int = TOP, block_byte
     scored = materialise(candidates(counts), "candidates")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     last = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
-    last = last.groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last"))  # the top-th of a language; its ties go on
-    kept = scored.join(last, "lang").where(F.struct("score", "a") >= F.col("last")).drop("last")
+    last = materialise(last.groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last")), "last")  # the top-th of a language; its ties go on
+    kept = small_or_spread_join(scored, last, ["lang"], "inner").where(F.struct("score", "a") >= F.col("last")).drop("last")
     names = counts.words.select("id", "word")
     for k, column in enumerate(("one", "two", "three")):
         kept = kept.join(names.select(F.col("id").alias(column), F.col("word").alias(f"w{k}")), column, "left")
