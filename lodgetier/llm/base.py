@@ -59,6 +59,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with all columns but `needed` under names that can't clash, and what gives the names back."""
+    names = docs.columns
+    plain = [n if n in needed else f"_column_{i}" for i, n in enumerate(names)]
+    return docs.toDF(*plain), lambda out: out.select(*plain).toDF(*names)
+
+
 def payload(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text, a null as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]

@@ -39,7 +39,7 @@ def op7_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_bucket_pointer_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix.repeats_table(table(spark, folder, "documents"))
+    return suffix.repeats_table(table(spark, folder, "documents"), with_text=True)
 
 
 def op9_pair_index_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgetier.llm.base import map_batches, payload, whole_groups
+from lodgetier.llm.base import map_batches, payload, set_aside, whole_groups
 from lodgetier.llm.components import components
 from lodgetier.runtime import materialise
 
@@ -159,16 +159,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
 
     Null and empty texts have fingerprint 0 and link like any other; texts with fewer words than a shingle
     are one shingle. Copies share their fingerprint and thus their component. Rows with the same doc_id are
-    each returned. A row without doc_id gets the component of the other rows with its fingerprint, null if
-    there are none, and takes no part in links. Other columns of `docs` are not read. An empty table gives an
-    empty one.
+    each returned; different texts of one doc_id are linked only if their fingerprints are. A row without
+    doc_id links like any other; component_id is null where no row of a component has one. Other columns of
+    `docs` are not read. An empty table gives an empty one.
     """
     found = materialise(fingerprints(docs, shingle, *longs), "fingerprints")
-    points = found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    points = materialise(points, "points")
+    return found.join(component_ids(found, most_bits), "fp", "left").select("doc_id", "fp", "component_id", *longs)
+
+
+def component_ids(found: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(fp, component, component_id): the component of each fingerprint, named by its least fingerprint, and by
+    its least doc_id, null if none of its rows has one."""
+    points = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "points")
     roots = components(linked(points, most_bits))
-    labels = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return found.join(labels, "fp", "left").select("doc_id", "fp", "component_id", *longs)
+    own = points.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("component"))
+    own = materialise(own, "components")
+    named = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    return own.join(named, "component").select("fp", "component", "component_id")
 
 
 def near_duplicate_table(docs: DataFrame) -> DataFrame:
@@ -178,16 +185,21 @@ def near_duplicate_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """Of each component of `docs` a row with its smallest doc_id, one for each fingerprint that id has; of rows
-    without doc_id one of each text.
+    """Of each component of `docs` one row: that of its smallest doc_id (null last), of several the one with the
+    least fingerprint, text hash and then other columns.
 
-    Rows are told apart by doc_id and a hash of the text; of several such rows the least by its other columns stays.
+    Rows are told apart by doc_id and a hash of the text. Other columns may have any name and type.
     """
-    rest = [c for c in docs.columns if c != "doc_id"]
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    found = near_duplicates(keyed, shingle, most_bits, "_text").where("doc_id = component_id")
-    kept = found.groupBy("component_id", "fp").agg(F.min(F.struct("doc_id", "_text")).alias("row")).select("row.*")
-    named = keyed.join(kept, ["doc_id", "_text"], "left_semi")
-    rows = named.unionByName(keyed.where("doc_id is null"))
-    one = rows.groupBy("doc_id", "_text").agg(F.min(F.struct(*rest)).alias("row"))
-    return one.select("doc_id", "row.*").select(docs.columns)
+    plain, named = set_aside(docs, "doc_id", "text")
+    keyed = plain.withColumn("_mark", F.xxhash64("text"))
+    found = materialise(fingerprints(keyed, shingle, "_mark"), "fingerprints")
+    placed = found.join(component_ids(found, most_bits), "fp")
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "_mark")
+    chosen = placed.groupBy("component").agg(F.min(key).alias("row"))
+    chosen = materialise(chosen.select(F.col("row.doc_id").alias("_id"), F.col("row._mark").alias("_chosen")), "chosen")
+    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_chosen"))
+    rows = keyed.join(chosen.hint("merge"), same, "left_semi")
+    rest = [c for c in plain.columns if c != "doc_id"]
+    order = F.struct(*(F.to_json(F.struct(c)) if "map<" in plain.schema[c].dataType.simpleString() else F.col(c) for c in rest))
+    one = rows.groupBy("doc_id", "_mark").agg(F.min_by(F.struct(*rest), order).alias("row"))
+    return named(one.select("doc_id", "row.*"))

@@ -14,7 +14,8 @@ a run of windows, and a window belongs to one anchor.
    identifiers that step 1 made, reused as pointers at a later offset. The pair covers the window exactly.
 
 Identifiers are 64-bit polynomial hashes; two anchors or windows are held equal only if two of them agree.
-Steps 1 and 2 count before the shuffle and join the counts back, so copies of a passage meet in no task. In
+Steps 1 and 2 count before the shuffle and join the counts back; rows of the few hot grams and spans are told
+by a list of these instead, so copies of a passage meet in no task. In
 step 3 a task compares the distinct spans of a bucket; buckets with many have their windows dealt to tasks by
 identifier instead. Texts are moved once, to the places of their spans, and read again there in the end.
 """
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgetier.llm.base import map_batches, payload, slices, spread, whole_groups
+from lodgetier.llm.base import map_batches, payload, set_aside, slices, spread, whole_groups
 from lodgetier.llm.chunks import prefix_hashes, range_hashes
 from lodgetier.runtime import materialise
 
@@ -42,6 +43,9 @@ PIECE = 1 << 20
 #: Distinct spans of a bucket that one task compares; the windows of larger buckets are dealt out.
 TOGETHER = 1_024
 
+#: Grams and spans that more than 1/HOT of the anchors share are told by a list instead of a join.
+HOT = 1_000
+
 _LOW = 22  # bits of an anchor's place in a slice; slices are shorter than 2**22
 
 
@@ -242,24 +246,44 @@ def _dealt(spans: DataFrame, length: int) -> DataFrame:
     return again.select("key", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
+def _hot(found: DataFrame, keys: list[str], least: float) -> list[tuple]:
+    """Keys that more than `least` of some rows have, with whether they hold several spans."""
+    low, high = F.min("span"), F.max("span")
+    hot = found.groupBy(*keys).agg(F.count("*").alias("n"), (low != high).alias("split")).where((F.col("n") > least) & (F.col("n") > 1))
+    return [tuple(r) for r in hot.select(*keys, "split").collect()]
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
-    """(key, mark, first, last) of keyed docs: runs of starts of repeated strings, overlapping or not, in no order."""
-    found = anchor_table(docs, length)
-    buckets = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
+    """(key, mark, first, last) of keyed docs: runs of starts of repeated strings, overlapping or not, in no order.
+
+    A gram, or a span of it, that more than 1/HOT of all anchors have is on a list of fewer than HOT; rows
+    of these are told by the list and meet in no join.
+    """
+    found = materialise(anchor_table(docs, length), "anchors")
+    least = found.count() / HOT
+    grams = _hot(found, ["gram"], least)
+    hot_gram = F.col("gram").isin([g for g, _ in grams])
+    split_gram = F.col("gram").isin([g for g, split in grams if split])
+    spans = [(g, s) for g, s, _ in _hot(found.where(split_gram), ["gram", "span"], least)]
+    pair = F.concat_ws(":", "gram", "span").isin([f"{g}:{s}" for g, s in spans])
+    hot_span = F.col("span").isin([s for _, s in spans]) & pair
+
+    usual = found.where(~hot_gram)
+    buckets = usual.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
     shared = buckets.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("split"))
-    kept = materialise(found.join(shared.hint("merge"), "gram"), "anchors")
-    settled = kept.where("not split").select("key", "mark", "first", "last")
+    kept = usual.join(shared.hint("merge"), "gram").unionByName(found.where(hot_gram).withColumn("split", split_gram))
+    kept = materialise(kept.withColumn("settled", ~F.col("split") | hot_span), "shared")
+    settled = kept.where("settled").select("key", "mark", "first", "last")
 
-    open_rows = kept.where("split")
     place = F.min(F.struct("key", "mark", "first", "last")).alias("place")
-    kinds = materialise(open_rows.groupBy("gram", "span").agg(F.count("*").alias("n"), place), "kinds")
-    copied = open_rows.join(kinds.where("n > 1").select("gram", "span").hint("merge"), ["gram", "span"], "left_semi")
+    kinds = materialise(kept.where("split").groupBy("gram", "span").agg(F.count("*").alias("n"), place), "kinds")
+    copied = kept.where("not settled").join(kinds.where("n > 1").select("gram", "span").hint("merge"), ["gram", "span"], "left_semi")
     settled = settled.unionByName(copied.select("key", "mark", "first", "last"))
 
     crowded = materialise(kinds.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > together).select("gram"), "crowded")
     wanted = kinds.select("gram", "place.*", (F.col("n") == 1).alias("single"))
-    usual = _spans(docs, wanted.join(crowded, "gram", "left_anti"), length)
-    found = settled.unionByName(_refined(usual, length))
+    close = _spans(docs, wanted.join(crowded, "gram", "left_anti"), length)
+    found = settled.unionByName(_refined(close, length))
     if not crowded.isEmpty():
         found = found.unionByName(_dealt(_spans(docs, wanted.join(crowded, "gram", "left_semi"), length), length))
     return found
@@ -277,9 +301,11 @@ def _covered(size: int, first: np.ndarray, last: np.ndarray, length: int) -> np.
     return np.cumsum(turn[:-1]) > 0
 
 
-def repeats_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats_table(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """One row per document: n_bytes, n_removed, n_spans (removed runs), kept_sha256 (of the bytes left).
 
+    `with_text` adds the text left, without the rest of characters that a cut falls inside of.
+
     A null text counts as empty; a text below `length` bytes loses nothing. Copies lose all that they share,
     the first one too, and repeated rows are copies of each other. Rows with one doc_id and different texts
     are told apart by their texts. Columns but doc_id and text are not read; an empty table gives an empty
@@ -288,7 +314,7 @@ def repeats_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, start = [], 0
+            rows, texts, start = [], [], 0
             ends, (first, last) = _runs(batch.column("_runs"), "first", "last")
             for text, end in zip(payload(batch.column("text")), ends):
                 if end > start:
@@ -299,24 +325,27 @@ def repeats_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 else:
                     kept, spans = text, 0
                 rows.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+                if with_text:
+                    texts.append(kept.decode(errors="ignore"))
             columns = [list(c) for c in zip(*rows)] or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
+                + [pa.array(texts, pa.string())] * with_text,
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text,
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return map_batches(_with_runs(narrow, length), run, schema)
+    return map_batches(_with_runs(narrow, length), run, schema + ", text string" * with_text)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` without the repeated bytes of their texts, all rows and columns kept; n_chars follows the text.
 
     Where a cut falls inside a character its left bytes are dropped. A text that is repeated as a whole
-    becomes empty; a null text stays null. Columns named _key, _mark or _runs are not supported.
+    becomes empty; a null text stays null. Other columns may have any name and type.
     """
-
+    docs, named = set_aside(docs, "doc_id", "text", "n_chars")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,4 +364,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns["n_chars"] = pa.array(sizes, pa.int64()).cast(batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return map_batches(_with_runs(docs, length), run, docs.schema)
+    return named(map_batches(_with_runs(docs, length), run, docs.schema))

@@ -167,7 +167,8 @@ def test_keep_one_of_each(odd, clashing):
     kept = simhash.keep_one_of_each(clashing)
     assert kept.columns == clashing.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert Counter(ids)[None] == 2 and {1, 4, 5, 8}.issubset(ids) and not {2, 3, 6, 7} & set(ids)
+    # rows without id link like any other: one copies document 5, one has no words like document 1
+    assert {1, 4, 5, 8}.issubset(ids) and not {2, 3, 6, 7, None} & set(ids)
 
 
 def test_one_row_of_each_component_stays(spark):
@@ -182,6 +183,37 @@ def test_one_row_of_each_component_stays(spark):
     )
 
 
+def test_rows_without_id_and_of_one_id_are_linked_like_any_other(spark):
+    from conftest import prose
+
+    one, two = prose(400, 81), prose(400, 82)
+    near = next(
+        t for i in range(400) for t in [" ".join(w if k != i else "odd" for k, w in enumerate(one.split()))]
+        if 1 <= (simhash.fingerprint(t.encode()) ^ simhash.fingerprint(one.encode())).bit_count() <= 3
+    )
+    rows = [(None, near), (7, one), (7, near), (None, two), (None, two), (8, "")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0), (0, 0), (0, 7), (7, 7), (7, 7), (8, 8)]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in kept) == {7: 1, None: 1, 8: 1}
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark):
+    from conftest import prose
+
+    names = "_text _key _mark _runs _id _source _chosen _column_3 row gram"
+    rows = [(i, prose(120, i % 3), "en", "a", *("x" * 10), {"a": i}) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names.split()) + ", more map<string,int>"
+    docs = spark.createDataFrame(rows, schema)
+    from lodgetier.llm import mixing
+
+    for stage, n in ((simhash.keep_one_of_each, 3), (suffix.without_repeats, 6), (mixing.mixed_documents, None)):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.schema["more"].dataType == docs.schema["more"].dataType
+        held = out.collect()
+        assert (n is None or len(held) == n) and all(r._text == "x" and r.more == {"a": r.doc_id} for r in held)
+
+
 def plain_repeats(rows, length):
     """Counts every string of the given length."""
     texts = [(i, (t or "").encode()) for i, t in rows]
@@ -223,6 +255,20 @@ def test_repeats_of_shared_passages(spark, length, together):
     assert {i: int(c.sum()) for i, c in covered.items()} == expected
 
 
+def test_repeats_of_hot_grams(spark):
+    """One passage in a third of the rows, alone in most, inside longer shared and unshared text in others."""
+    pick = random.Random(9)
+    word = lambda n: "".join(pick.choice("abcdefgh ") for _ in range(n))
+    hot, longer = word(300), word(200)
+    rows = [(i, hot if i % 2 else word(30) + hot + word(40)) for i in range(60)]
+    rows += [(100 + i, word(20) + hot + longer + word(50)) for i in range(10)] + [(200 + i, word(400)) for i in range(120)]
+    rows += [(400, None), (401, hot[:249]), (402, hot + hot)]
+    found = suffix.repeats_table(spark.createDataFrame(rows, "doc_id long, text string"), 250, with_text=True).collect()
+    assert sorted(map(tuple, (r[:5] for r in found))) == plain_repeats(rows, 250)
+    texts = {r.doc_id: r.text for r in found}
+    assert texts[400] == "" and texts[1] == "" and texts[402] == "" and texts[401] == hot[:249]
+
+
 def test_windows_name_the_same_anchors_in_any_pieces(monkeypatch):
     text = "".join(random.Random(1).choice("abc ") for _ in range(3_000)).encode() + b"ha" * 200
     named = []
