@@ -1,14 +1,16 @@
 """Mixing sources to target weights.
 
 The words of each source, documents in the order of a hash of their id, are packed into blocks of fixed
-length. The blocks that a source owes to the mix are dealt to output shards by a multinomial draw, so every
-shard holds sources in about the target shares and the totals are met exactly. A shard's slots are numbered
-within the source; a keyed pseudorandom permutation of the block numbers (a Feistel network, walked until it
-falls inside the range) says which block a slot takes, a new permutation in every round through the source.
-Slots and blocks are then joined by block number.
+length. A source owes the mix its target in words: whole rounds through all its blocks, then as many blocks of
+one more round as the rest needs, the last of them in part. These slots are dealt to output shards by a
+multinomial draw, so every shard holds sources in about the target shares and the totals are met exactly. A
+keyed pseudorandom permutation of the block numbers (a Feistel network, walked until it falls inside the range)
+says which block a slot takes, a new permutation in every round through the source. Slots and blocks are then
+joined by block number: `mixed_shards` puts the shards together, `mix_table` adds up what they hold of each
+document.
 
 No task sees a whole source: places of documents come from sums over `CHUNKS` hash ranges of a source, slots
-are made in ranges, and blocks are counted before the join.
+are made in ranges of `SLOTS`, dealt to as many tasks, and blocks are counted before the join.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodgetier.llm.base import WORD, map_batches, payload, ship
+from lodgetier.llm.base import WORD, map_batches, payload, set_aside, ship
+from lodgetier.operators.features import ordinal_codes
 from lodgetier.runtime import materialise
 
 BLOCK_WORDS = 32
@@ -35,6 +38,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 CHUNKS = 4_096
 SLOTS = 1 << 16
 
+#: Tasks that make slots, at most; each makes its ranges one after the other.
+SLOT_TASKS = 4_096
+
 
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, chunk, place): words of every row, and its place in the order of its source."""
@@ -52,12 +58,15 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
     Sources in code point order, null last, have the weights in turn; their shares of `share` times all words
     are cut at `most_times` their size, and what is cut goes to the others by weight until none is above.
-    There is one row per source, and one task numbers them; rows per document never meet in one.
+    Sources are numbered range by range, so there may be any number of them.
     """
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    sources = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
+    codes = ordinal_codes(sources, "source")
+    named = sources.count() - sources.where("source is null").count()
+    turn = F.coalesce("code", F.lit(named))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn % len(weights) + 1).cast("int"))
-    table = materialise(sources.withColumn("weight", weight), "sources")
+    numbered = sources.join(codes.withColumnRenamed("value", "source"), "source", "left")
+    table = materialise(numbered.select("source", "source_size", weight.alias("weight")), "sources")
     whole = share * (table.agg(F.sum("source_size")).first()[0] or 0)
     limit = F.col("source_size") * most_times
     level = 0.0  # words per unit of weight
@@ -96,50 +105,83 @@ def _seed(source: str | None, seed: int) -> int:
     return int.from_bytes(hashlib.sha256(f"{seed}:{source!r}".encode()).digest()[:8], "little")
 
 
-def permuted(index: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
-    """A pseudorandom permutation of 0 to n - 1 for each key, at `index`: four rounds, walked into range."""
+def permuted(index: np.ndarray, n: int, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of 0 to n - 1 for each key, at `index`: four rounds, walked into range.
+
+    `back` undoes it.
+    """
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
     mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
     out = index.astype(np.uint64)
     todo = np.arange(len(out))
+
+    def mixed(side: np.ndarray, k: np.ndarray, turn: int) -> np.ndarray:
+        value = (side + k + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+        value *= np.uint64(0xBF58476D1CE4E5B9)
+        return (value >> np.uint64(32)) & mask
+
     while len(todo):
         left, right, k = out[todo] >> shift, out[todo] & mask, key[todo]
         for turn in range(4):
-            mixed = (right + k + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
+            if back:
+                left, right = right ^ mixed(left, k, 3 - turn), left
+            else:
+                left, right = right, left ^ mixed(right, k, turn)
         out[todo] = (left << shift) | right
         todo = todo[out[todo] >= n]
     return out.astype(np.int64)
 
 
+def _round_key(base: int, rounds: np.ndarray) -> np.ndarray:
+    return (rounds.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) ^ np.uint64(base)
+
+
+def owed_slots(size: int, words: int, block_words: int, base: int) -> tuple[int, int]:
+    """(slots, words of the last slot) that give `words` of a source of `size` words exactly."""
+    n = -(-size // block_words)
+    rounds, rest = divmod(words, size)
+    if not rest:
+        return rounds * n, size - (n - 1) * block_words if n == 1 else block_words
+    short = n * block_words - size  # what the last block lacks, missing once its slot has come
+    at = int(permuted(np.array([n - 1]), n, _round_key(base, np.array([rounds])), back=True)[0])
+    slots = -(-rest // block_words)
+    if at < slots:
+        slots = -(-(rest + short) // block_words) if rest > at * block_words + block_words - short else at + 1
+    before = (slots - 1) * block_words - (short if at < slots - 1 else 0)
+    return rounds * n + slots, rest - before
+
+
 def slots(goals: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 42) -> DataFrame:
-    """(source, shard, slot, round, block): what each slot of the mix takes."""
+    """(source, shard, slot, round, block, words): what each slot of the mix takes, the first `words` of a block."""
     ship(goals.sparkSession)
-    blocks = F.ceil(F.col("source_size") / block_words).cast("long")
-    owed = F.least(F.round(F.col("target") / block_words).cast("long"), (F.floor(F.col("target") / F.col("source_size") + 1e-9) + 1).cast("long") * F.col("blocks"))
-    ranges = (
-        goals.where("source_size > 0").withColumn("blocks", blocks).withColumn("owed", owed).where("owed > 0")
-        .withColumn("part", F.explode(F.expr(f"sequence(0L, cast((owed - 1) div {SLOTS} as long))")))
-        .select("source", "blocks", "owed", "part").repartition("source", "part")
-    )
+    words = F.round("target").cast("long")
+    owing = goals.withColumn("words", words).where("source_size > 0 and words > 0")
+    most = F.expr(f"(words + source_size) div {block_words} + 2")  # slots at most, in ranges
+    ranges = owing.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(most / SLOTS))))
+    ranges = ranges.select("source", "source_size", "words", "part")
+    tasks = owing.agg(F.sum(F.floor(most / SLOTS) + 1)).first()[0] or 1
+    ranges = ranges.repartition(int(min(tasks, SLOT_TASKS)), "source", "part")  # a given number stays under adaptive execution
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for source, n, total, part in frame.itertuples(index=False):
+            for source, size, words, part in frame.itertuples(index=False):
                 base = _seed(source, seed)
+                n = -(-size // block_words)
+                total, last = owed_slots(int(size), int(words), block_words, base)
                 counts = np.random.default_rng(base).multinomial(total, np.full(shards, 1 / shards))
                 slot = np.arange(part * SLOTS, min(total, (part + 1) * SLOTS), dtype=np.int64)
                 rounds = slot // n
-                key = (rounds.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) ^ np.uint64(base)
+                block = permuted(slot % n, int(n), _round_key(base, rounds))
+                held = np.where(block == n - 1, size - (n - 1) * block_words, block_words)
+                taken = np.where(slot == total - 1, np.minimum(held, last), held)
                 yield pd.DataFrame({
                     "source": pd.Series([source] * len(slot), dtype=object),
                     "shard": np.searchsorted(np.cumsum(counts), slot, side="right").astype(np.int32),
-                    "slot": slot, "round": rounds.astype(np.int32), "block": permuted(slot % n, int(n), key),
+                    "slot": slot, "round": rounds.astype(np.int32), "block": block, "words": taken.astype(np.int64),
                 })
 
-    return ranges.mapInPandas(run, "source string, shard int, slot long, round int, block long")
+    return ranges.mapInPandas(run, "source string, shard int, slot long, round int, block long, words long")
 
 
 def _pieces(rows: DataFrame, block_words: int) -> DataFrame:
@@ -156,6 +198,7 @@ class Mix:
     """A mix of documents: its targets, the slots, and what each document gives."""
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 42):
+        self.block_words = block_words
         rows = materialise(sized(docs), "sizes")
         self.targets = materialise(targets(rows, weights, share), "targets")
         self.rows = materialise(_numbered(rows), "places")
@@ -163,11 +206,24 @@ class Mix:
         self.pieces = _pieces(self.rows, block_words)
 
     def drawn(self) -> DataFrame:
-        """Pieces of documents with `times`, the number of slots that take their block."""
-        taken = self.slots.groupBy("source", "block").agg(F.count("*").alias("times"))
+        """Pieces of documents with `times`, the number of slots that take them."""
+        full = F.least(F.lit(self.block_words), F.col("source_size") - F.col("block") * self.block_words)
+        sizes = self.targets.select(F.col("source").alias("_of"), "source_size")
+        owned = self.slots.join(sizes, F.col("source").eqNullSafe(F.col("_of")))
+        taken = owned.groupBy("source", "block").agg(
+            F.count_if(F.col("words") >= full).alias("whole"), F.coalesce(F.max(F.when(F.col("words") < full, F.col("words"))), F.lit(0)).alias("part")
+        )
         taken = taken.withColumnsRenamed({"source": "_s", "block": "_b"})
         same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))
-        return self.pieces.join(taken.hint("merge"), same).drop("_s", "_b")  # it grows with the mix: no broadcast
+        met = self.pieces.join(taken.hint("merge"), same).drop("_s", "_b")  # it grows with the mix: no broadcast
+        cut = F.greatest(F.col("begin"), F.least(F.col("end"), F.col("block") * self.block_words + F.col("part") - F.col("start")))
+        both = F.array(
+            F.struct(F.col("begin").alias("from"), cut.alias("to"), (F.col("whole") + 1).alias("times")),
+            F.struct(cut.alias("from"), F.col("end").alias("to"), F.col("whole").alias("times")),
+        )
+        parts = met.withColumn("piece", F.explode(both)).drop("begin", "end", "whole", "part")
+        parts = parts.withColumns({"begin": F.col("piece.from"), "end": F.col("piece.to"), "times": F.col("piece.times")}).drop("piece")
+        return parts.where("begin < end and times > 0")
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
@@ -196,19 +252,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document drawn in part keeps the drawn runs of words in their order, white space within a run as it
     was and one space between runs; drawn twice, it appears twice, the second time with the words drawn twice.
     Documents without a drawn word are left out. n_chars follows the text. Rows that agree in doc_id, source
-    and text give the sum of what each gives. Columns named _id, _source, _mark or _runs are not supported.
+    and text give the sum of what each gives. Other columns may have any name and type.
     """
-    mix = Mix(docs)
-    rows = mix.drawn().groupBy("doc_id", "source", "place").agg(
+    docs, named = set_aside(docs, "doc_id", "text", "source", "n_chars")
+    rows = Mix(docs).drawn().groupBy("doc_id", "source", "place").agg(
         F.collect_list(F.struct("begin", "end", "times")).alias("_runs")
     )
-    lists = rows.withColumnsRenamed({"doc_id": "_id", "source": "_source", "place": "_mark"})
-    mark = F.xxhash64(F.lit(7), F.col("doc_id"), F.crc32(F.coalesce("text", F.lit(""))))
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (mark == F.col("_mark"))
-    )
-    met = docs.join(lists, same).drop("_id", "_source", "_mark")
+    met = _with_lists(docs, rows)
 
     names = docs.columns
 
@@ -225,7 +275,58 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(taken.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return map_batches(met, run, docs.schema)
+    return named(map_batches(met, run, docs.schema))
+
+
+def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Documents with the lists (doc_id, source, place, ...) of their own."""
+    lists = lists.withColumnsRenamed({"doc_id": "_id", "source": "_source", "place": "_mark"})
+    mark = F.xxhash64(F.lit(7), F.col("doc_id"), F.crc32(F.coalesce("text", F.lit(""))))
+    same = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+        & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (mark == F.col("_mark"))
+    )
+    return docs.join(lists, same).drop("_id", "_source", "_mark")
+
+
+def mixed_shards(docs: DataFrame, **settings) -> DataFrame:
+    """(shard, place, source, slot, text): the output shards put together, a row for each slot.
+
+    The slots of a shard are numbered from 0 in the order of a hash, so its sources are mixed; text is the
+    words of the slot's block, joined by spaces.
+    """
+    docs = docs.select("doc_id", "source", "text")
+    mix = Mix(docs, **settings)
+    block_words = mix.block_words
+    inner = F.col("start") + F.col("begin") - F.col("block") * block_words
+    lists = mix.pieces.groupBy("doc_id", "source", "place").agg(
+        F.collect_list(F.struct("row", "block", inner.alias("inner"), "begin", "end")).alias("_runs")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                (i, r["row"], r["block"], r["inner"], _take(text, [(r["begin"], r["end"])]))
+                for i, (text, runs) in enumerate(zip(payload(batch.column("text")), batch.column("_runs").to_pylist()))
+                for r in runs
+            ]
+            owner, row, block, inside, texts = (list(c) for c in zip(*found)) if found else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("source").take(pa.array(owner, pa.int64())), pa.array(row, pa.int32()), pa.array(block, pa.int64()), pa.array(inside, pa.int64()), pa.array(texts, pa.string())],
+                ["source", "row", "block", "inner", "text"],
+            )
+
+    # Rows that agree in id, source and text meet each list once per row; a piece is told by its row number.
+    cut = map_batches(_with_lists(docs.distinct(), lists), run, "source string, row int, block long, inner long, text string")
+    parts = F.array_sort(F.collect_list(F.struct("inner", "row", "text")))  # the words of a block at most
+    whole = cut.groupBy("source", "block").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+    whole = whole.withColumnsRenamed({"source": "_s", "block": "_b"})
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))
+    first = F.array_join(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), F.lit(1), F.col("words").cast("int")), " ")
+    order = Window.partitionBy("shard").orderBy(F.xxhash64("source", "slot"), "source", "slot")
+    return mix.slots.join(whole.hint("merge"), same).select(
+        "shard", (F.row_number().over(order) - 1).alias("place"), "source", "slot", first.alias("text")
+    )
 
 
 def _times(runs: list[dict]) -> list[list[tuple[int, int]]]:
