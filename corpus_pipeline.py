@@ -10,6 +10,9 @@ from lodgetier.llm import bpe, cotrain, mixing, simhash, suffix
 from lodgetier.llm.base import table
 from lodgetier.runtime import scratch_path
 
+#: Passages of fifty words reach this many bytes unless their words are very short.
+PASSAGE_BYTES = 250
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -19,13 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    """One row of each group of near-duplicates stays: one with the smallest id."""
     return simhash.keep_one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur elsewhere are cut out of their documents."""
-    return suffix.without_repeats(docs)
+    """Passages of `PASSAGE_BYTES` or more that occur elsewhere are cut out of their documents."""
+    return suffix.without_repeats(docs, PASSAGE_BYTES)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
