@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +21,16 @@ from lodgetier.constants import (
     SEED,
     TARGET,
 )
+from lodgetier.runtime import materialise, ship
 
 Centre = tuple[float, float]
-PARALLEL_FITS = 10
+
+#: Sides of the grids that starts are moved on before they meet the data: at most 64 and 256 squared cells.
+SIDES = (64, 256)
+
+#: Places between two centres that a pass may bring of a start; margins are told apart down to 2 ** -FINEST degrees.
+BORDER = 20_000
+FINEST = 60
 
 #: Passes a start may take; it stops as soon as no centre moves any more.
 MOST_ITERATIONS = 300
@@ -109,23 +114,207 @@ class AreaModel:
 def fit_centres(
     df: DataFrame, k: int = DEFAULT_CLUSTERS, restarts: int = CLUSTER_RESTARTS, seed: int = SEED
 ) -> list[Centre]:
-    """k-means on the coordinates, the best of several starts.
+    """k-means on the coordinates, the best of several starts."""
+    return fit_all_centres(df, (k,), restarts, seed)[k]
+
+
+def fit_all_centres(
+    df: DataFrame, counts: Sequence[int], restarts: int = CLUSTER_RESTARTS, seed: int = SEED
+) -> dict[int, list[Centre]]:
+    """For each number of centres the best of several starts; all starts share their passes over the data.
 
-    Rows at one place become one weighted point, so the many passes run over places, not rows.
+    Rows at one place become one weighted point. Starts are drawn from the cells of a coarse grid, which have the
+    weights and means of their places, and moved until they rest on it and on a finer one; equal ones are one
+    from then on. A pass over all places then assigns every place under every open start and adds up weights,
+    coordinates and costs by (start, centre); starts whose centres no longer move drop out.
+
+    A pass also brings the `BORDER` places or fewer of a start that lie closest between two centres. No other
+    place can change its centre until some centre has moved by half the width of that border, so steps up to
+    there are taken on these alone, with the same result as one pass each.
     """
-    places = df.select("latitude", "longitude").dropna().groupBy("latitude", "longitude").count()
-    vectors = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(places)
-    vectors = vectors.select("features", F.col("count").cast("double").alias("weight")).persist()
-    try:
-        # Restarts are independent; a few at a time keep the cluster busy between short jobs.
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            starts = [KMeans(k=k, seed=seed + i, weightCol="weight", maxIter=MOST_ITERATIONS, tol=SETTLED) for i in range(restarts)]
-            fit = inheritable_thread_target(df.sparkSession)(lambda start: start.fit(vectors))
-            fits = list(pool.map(fit, starts))
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        return sorted((float(lat), float(lon)) for lat, lon in best.clusterCenters())
-    finally:
-        vectors.unpersist()
+    places = df.select(F.col("latitude").cast("double"), F.col("longitude").cast("double")).dropna()
+    places = places.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("weight"))
+    places = materialise(places, "places")
+    grids = _grids(places)
+    if not len(grids[0]):
+        raise ValueError("no coordinates to fit centres on")
+    open_starts: list[np.ndarray] = []
+    for k in counts:
+        starts = [_drawn(grids[0], k, np.random.default_rng([seed, k, i])) for i in range(restarts)]
+        for cells in grids:
+            rested = [_rested(cells, centres) for centres in starts]
+            starts = list({np.round(centres, 7).tobytes(): centres for centres in rested}.values())
+        open_starts += starts
+    best: dict[int, tuple[float, np.ndarray]] = {}
+    edges = [0.0] * len(open_starts)
+    for _ in range(MOST_ITERATIONS):
+        moving, wider = [], []
+        for start in _passed(places, open_starts, edges):
+            after, cost, rested = start.moved()
+            if rested and (len(after) not in best or cost < best[len(after)][0]):
+                best[len(after)] = (cost, after)
+            if not rested:
+                moving.append(after)
+                wider.append(start.next_edge())
+        open_starts, edges = moving, wider
+        if not moving:
+            break
+    for centres in open_starts:  # still moving after the last pass
+        best.setdefault(len(centres), (np.inf, centres))
+    return {k: sorted((float(lat), float(lon)) for lat, lon in best[k][1]) for k in counts}
+
+
+def _grids(places: DataFrame) -> list[np.ndarray]:
+    """(weight, latitude, longitude) of the cells of grids over all places, the coarsest first."""
+    side = SIDES[-1]
+    lat, lon = F.col("latitude"), F.col("longitude")
+    low_lat, high_lat, low_lon, high_lon = places.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
+    if low_lat is None:
+        return [np.zeros((0, 3))]
+
+    def cell(value: Column, low: float, high: float) -> Column:
+        width = (high - low) / side or 1.0
+        return F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(side - 1))
+
+    grid = places.groupBy(cell(lat, low_lat, high_lat).alias("y"), cell(lon, low_lon, high_lon).alias("x")).agg(
+        F.sum("weight").alias("n"), F.sum(lat * F.col("weight")).alias("lat"), F.sum(lon * F.col("weight")).alias("lon")
+    )
+    rows = np.array(sorted(tuple(r) for r in grid.collect()), dtype=float)  # the finest grid's cells at most
+    found = []
+    for other in SIDES:
+        name = rows[:, 0] * other // side * other + rows[:, 1] * other // side
+        _, which = np.unique(name, return_inverse=True)
+        n, *sums = (np.bincount(which, rows[:, i]) for i in (2, 3, 4))
+        found.append(np.column_stack([n, *(s / n for s in sums)]))
+    return found
+
+
+def _drawn(cells: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k cells drawn one after the other, by weight times the squared distance to those drawn before."""
+    chosen = [cells[rng.choice(len(cells), p=cells[:, 0] / cells[:, 0].sum()), 1:]]
+    for _ in range(k - 1):
+        away = np.min([((cells[:, 1:] - c) ** 2).sum(axis=1) for c in chosen], axis=0) * cells[:, 0]
+        total = away.sum()
+        chosen.append(cells[rng.choice(len(cells), p=away / total) if total > 0 else rng.integers(len(cells)), 1:])
+    return np.array(chosen)
+
+
+def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point, the first of equals, and the squared distance to it."""
+    best = np.full(len(points), np.inf)
+    which = np.zeros(len(points), dtype=np.int64)
+    for i, (lat, lon) in enumerate(centres):
+        away = (points[:, 0] - lat) ** 2 + (points[:, 1] - lon) ** 2
+        nearer = away < best
+        best[nearer], which[nearer] = away[nearer], i
+    return which, best
+
+
+def _sums(points: np.ndarray, weight: np.ndarray, centres: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """Weight, coordinates relative to the centre, and cost of the points of each centre."""
+    which = _nearest(points, centres)[0] if which is None else which
+    inside = points - centres[which]
+    columns = (weight, weight * inside[:, 0], weight * inside[:, 1], weight * (inside**2).sum(axis=1))
+    return np.column_stack([np.bincount(which, c, minlength=len(centres)) for c in columns])
+
+
+def _margins(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """How much further the second nearest centre is than the nearest."""
+    if len(centres) == 1:
+        return np.full(len(points), np.inf)
+    away = np.sqrt(((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
+    two = np.partition(away, 1, axis=1)
+    return two[:, 1] - two[:, 0]
+
+
+@dataclass
+class _Start:
+    """What a pass has found for some centres: sums of places off the border, places on it, margins of all."""
+
+    centres: np.ndarray
+    edge: float
+    sums: np.ndarray
+    margins: np.ndarray
+    points: np.ndarray
+    weight: np.ndarray
+
+    def moved(self) -> tuple[np.ndarray, float, bool]:
+        """Centres after as many steps as the border allows, their cost, and whether they rest."""
+        now = self.centres.copy()
+        while True:
+            shift = now - self.centres  # sums relative to centres that have moved since
+            sums = self.sums.copy()
+            sums[:, 1:3] -= sums[:, :1] * shift
+            sums[:, 3] += (-2 * self.sums[:, 1:3] * shift).sum(axis=1) + self.sums[:, 0] * (shift**2).sum(axis=1)
+            if len(self.points):
+                sums += _sums(self.points, self.weight, now)
+            held = sums[:, :1] > 0
+            after = np.where(held, now + sums[:, 1:3] / np.where(held, sums[:, :1], 1), now)  # a centre without places stays
+            if np.abs(after - now).max() <= SETTLED:
+                return now, float(sums[:, 3].sum()), True
+            if np.sqrt(((after - self.centres) ** 2).sum(axis=1)).max() >= self.edge / 2:
+                return after, np.inf, False
+            now = after
+
+    def next_edge(self) -> float:
+        """The widest border that holds `BORDER` places or fewer, as far as the margins tell."""
+        below = np.cumsum(self.margins[::-1])[::-1]  # places with a margin under 2 ** -j
+        fits = np.flatnonzero(below <= BORDER)
+        return 2.0 ** -int(fits[0]) if len(fits) else 0.0
+
+
+def _passed(places: DataFrame, starts: list[np.ndarray], edges: list[float]) -> list[_Start]:
+    """One pass over all places for every start and the width of its border."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((len(c), 4)) for c in starts]
+        margins = [np.zeros(FINEST) for _ in starts]
+        for batch in batches:
+            points = np.column_stack([batch.column(c).to_numpy() for c in ("latitude", "longitude")])
+            weight = batch.column("weight").to_numpy().astype(float)
+            for i, (centres, edge) in enumerate(zip(starts, edges)):
+                margin = _margins(points, centres)
+                power = np.clip(np.floor(-np.log2(np.maximum(margin, 1e-300))), 0, FINEST - 1).astype(np.int64)
+                margins[i] += np.bincount(power[margin < 1], minlength=FINEST)
+                on = margin < edge
+                totals[i] += _sums(points[~on], weight[~on], centres)
+                if on.any():
+                    n = int(on.sum())
+                    yield rows(i, np.full(n, -1), points[on], weight[on], np.zeros((n, 3)))
+        for i, (total, counts) in enumerate(zip(totals, margins)):
+            yield rows(i, np.arange(len(total)), np.zeros((len(total), 2)), total[:, 0], total[:, 1:])
+            yield rows(i, -2 - np.arange(FINEST), np.zeros((FINEST, 2)), counts, np.zeros((FINEST, 3)))
+
+    def rows(start: int, what: np.ndarray, points: np.ndarray, n: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        columns = [np.full(len(what), start), what, *points.T, n, *more.T]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+
+    names = ["start", "what", "y", "x", "n", "lat", "lon", "cost"]
+    ship(places.sparkSession)
+    parts = places.mapInArrow(run, "start long, what long, y double, x double, n double, lat double, lon double, cost double")
+    found = parts.groupBy(*names[:4]).agg(*(F.sum(c).alias(c) for c in names[4:])).toArrow()  # centres, margins and borders
+    start, what, y, x, n, lat, lon, cost = (found.column(c).to_numpy() for c in names)
+    out = []
+    for i, (centres, edge) in enumerate(zip(starts, edges)):
+        sums, margins = np.zeros((len(centres), 4)), np.zeros(FINEST)
+        at = np.flatnonzero((start == i) & (what >= 0))
+        sums[what[at]] = np.column_stack([n[at], lat[at], lon[at], cost[at]])
+        at = np.flatnonzero((start == i) & (what < -1))
+        margins[-2 - what[at]] = n[at]
+        at = np.flatnonzero((start == i) & (what == -1))
+        out.append(_Start(centres, edge, sums, margins, np.column_stack([y[at], x[at]]), n[at]))
+    return out
+
+
+def _rested(cells: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    for _ in range(MOST_ITERATIONS):
+        found = _sums(cells[:, 1:], cells[:, 0], centres)
+        held = found[:, :1] > 0
+        after = np.where(held, centres + found[:, 1:3] / np.where(held, found[:, :1], 1), centres)
+        if np.abs(after - centres).max() <= SETTLED:
+            break
+        centres = after
+    return centres[np.lexsort(centres.T[::-1])]
 
 
 def label_centres(df: DataFrame, centres: Sequence[Centre]) -> AreaModel:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from functools import reduce
 from operator import or_
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return _scratch[app]
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once per application, so that Python tasks can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped or spark.sparkContext.master.startswith("local"):
+        return
+    package = Path(__file__).resolve().parent
+    held = Path(tempfile.mkdtemp(prefix="package-"))  # the driver's own copy, which Spark sends out
+    archive = shutil.make_archive(str(held / package.name), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
