@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from lodgetier.constants import CLUSTER_RESTARTS, SWEEP_CLUSTERS, TARGET
 from lodgetier.operators.evaluate import class_report, confusion, macro_f1
-from lodgetier.operators.geo import fit_areas
+from lodgetier.operators.geo import AreaModel, fit_all_centres, label_centres
 from lodgetier.plans.train import FEATURE_SETS, TierModel, fit_feature_set, fit_tabular_model, with_flags
 
+SWEEP_TREES = 200
 SWEEP_COLUMNS = "macro_f1 double, clusters int, hotspots boolean, balanced boolean"
 
 
@@ -48,16 +49,25 @@ def geo_sweep(
     train: DataFrame,
     validation: DataFrame,
     clusters: Sequence[int] = SWEEP_CLUSTERS,
-    trees: int = 50,
+    trees: int = SWEEP_TREES,
     restarts: int = CLUSTER_RESTARTS,
     parallelism: int = 4,
 ) -> DataFrame:
     """Macro F1 for every cluster count, with and without hotspot distances and balancing.
 
-    The areas of a cluster count are fitted once and shared by its four configurations. A few
+    The areas of all cluster counts are fitted in shared passes, and each shared by its four configurations. A few
     configurations run at a time; each is a distributed fit of its own.
     """
-    areas = {k: fit_areas(train, k, restarts) for k in clusters}
+    return _swept(train, validation, clusters, trees, _areas(train, clusters, restarts), parallelism)
+
+
+def _areas(train: DataFrame, clusters: Sequence[int], restarts: int) -> dict[int, AreaModel]:
+    return {k: label_centres(train, centres) for k, centres in fit_all_centres(train, clusters, restarts).items()}
+
+
+def _swept(
+    train: DataFrame, validation: DataFrame, clusters: Sequence[int], trees: int, areas: dict[int, AreaModel], parallelism: int
+) -> DataFrame:
 
     def measured(configuration: tuple[int, bool, bool]) -> tuple[float, int, bool, bool]:
         k, hotspots, balanced = configuration
@@ -79,10 +89,12 @@ def best_configuration(
     train: DataFrame, validation: DataFrame, clusters: Sequence[int] = SWEEP_CLUSTERS, **settings
 ) -> tuple[DataFrame, TierModel]:
     """The sweep, and its best configuration fitted once more."""
-    trees, restarts = settings.get("trees", 50), settings.get("restarts", CLUSTER_RESTARTS)
-    sweep = geo_sweep(train, validation, clusters, trees, restarts)
+    trees, restarts = settings.get("trees", SWEEP_TREES), settings.get("restarts", CLUSTER_RESTARTS)
+    areas = _areas(train, clusters, restarts)
+    sweep = _swept(train, validation, clusters, trees, areas, settings.get("parallelism", 4))
     best = top_configurations(sweep, 1).first()
-    return sweep, fit_tabular_model(train, best.clusters, best.hotspots, best.balanced, trees=trees, restarts=restarts)
+    fitted = fit_tabular_model(train, best.clusters, best.hotspots, best.balanced, trees=trees, areas=areas[best.clusters])
+    return sweep, fitted
 
 
 def holdout_eval(model: TierModel, holdout: DataFrame) -> DataFrame:

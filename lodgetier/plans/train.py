@@ -8,13 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    OneVsRestModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +28,7 @@ from lodgetier.constants import (
 from lodgetier.functions.answers import text_flags
 from lodgetier.functions.phrases import location_prefix, row_text
 from lodgetier.functions.vote import argmax, softmax
+from lodgetier.operators.boosting import ROUNDS, fit_softmax
 from lodgetier.operators.features import fit_tabular, fit_text, sample_weight
 from lodgetier.operators.geo import AreaModel, fit_areas, hotspot_distances
 from lodgetier.operators.knn import knn_tier, knn_tier_out_of_fold
@@ -62,7 +57,7 @@ class TierModel:
     def probabilities(self, df: DataFrame, output: str = "scores") -> DataFrame:
         """Add the class-probability vector; the input's other columns stay as they are."""
         scored = self.pipeline.transform(self.features(df))
-        return scored.select(*df.columns, probability_vector(self.pipeline.stages[-1]).alias(output))
+        return scored.select(*df.columns, vector_to_array(F.col("probability")).alias(output))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add or replace price_tier."""
@@ -89,15 +84,8 @@ class TierModel:
         return TierModel(PipelineModel.load(f"{place}/pipeline"), areas, settings.hotspots)
 
 
-def probability_vector(classifier: object) -> Column:
-    """Class probabilities; one-vs-rest has raw scores only, which go through a softmax."""
-    if isinstance(classifier, OneVsRestModel):
-        return softmax(vector_to_array(F.col("rawPrediction")))
-    return vector_to_array(F.col("probability"))
-
-
 def classifier(kind: str, weighted: bool, features: str = "features", trees: int = TREES, bins: int = BINS):
-    """forest, boosted (one boosted model per tier) or linear."""
+    """forest or linear; boosted models are fitted by `fit_softmax`."""
     weight = {"weightCol": "_weight"} if weighted else {}
     common = {"labelCol": TARGET, "featuresCol": features} | weight
     if kind == "forest":
@@ -110,17 +98,6 @@ def classifier(kind: str, weighted: bool, features: str = "features", trees: int
             seed=SEED,
             **common,
         )
-    if kind == "boosted":
-        one = GBTClassifier(
-            maxIter=trees,
-            maxDepth=DEPTH,
-            maxBins=bins,
-            stepSize=0.05,
-            subsamplingRate=0.8,
-            featureSubsetStrategy="0.8",
-            seed=SEED,
-        )
-        return OneVsRest(classifier=one, parallelism=len(TIERS), **common)
     if kind == "linear":
         return LogisticRegression(family="multinomial", maxIter=50, regParam=0.01, **common)
     raise ValueError(f"unknown kind {kind!r}")
@@ -136,13 +113,22 @@ def fit_classifier(
     label: str = TARGET,
     bins: int = BINS,
 ) -> PipelineModel:
-    """Fit on encoded rows. The encoded rows are written once and reread by every pass."""
+    """Fit on encoded rows. The encoded rows are written once and reread by every pass.
+
+    kind       forest, linear, or boosted: `trees` rounds of trees for all classes under one softmax
+    """
     labelled = df.where(F.col(label).isNotNull())
     encoded = encoders.transform(labelled) if encoders else labelled
     weight = sample_weight(labelled, label) if balanced else F.lit(1.0)
     rows = encoded.select(features, F.col(label).cast("double").alias(TARGET), weight.alias("_weight"))
     rows = materialise(rows, "training")
-    model = classifier(kind, balanced, features, trees, bins).fit(rows)
+    if kind == "boosted":
+        classes = rows.agg(F.max(TARGET)).first()[0]
+        ready = rows.select(F.col(features).alias("features"), F.col(TARGET).cast("int").alias("label"), F.col("_weight").alias("weight"))
+        found = fit_softmax(ready, classes=max(len(TIERS), int(classes or 0) + 1), rounds=trees, bins=bins)[0]
+        model = found.copy().set(found.featuresCol, features)
+    else:
+        model = classifier(kind, balanced, features, trees, bins).fit(rows)
     return PipelineModel([*(encoders.stages if encoders else []), model])
 
 
@@ -152,12 +138,16 @@ def fit_tabular_model(
     hotspots: bool = True,
     balanced: bool = True,
     kind: str = "forest",
-    trees: int = TREES,
+    trees: int | None = None,
     areas: AreaModel | None = None,
     restarts: int = 10,
     extra: Sequence[str] = (),
 ) -> TierModel:
-    """Tabular features with areas and hotspot distances; areas are fitted on these rows only."""
+    """Tabular features with areas and hotspot distances; areas are fitted on these rows only.
+
+    By default a forest has `TREES` trees and a boosted model `ROUNDS` rounds.
+    """
+    trees = trees or (ROUNDS if kind == "boosted" else TREES)
     if clusters and areas is None:
         areas = fit_areas(train, clusters, restarts)
     bare = TierModel(PipelineModel([]), areas, hotspots)

@@ -589,7 +589,7 @@ def train_tabular(spark, sf):
 @query
 def train_boosted(spark, sf):
     fit, validation = _split(spark, sf)
-    return _report(train.fit_tabular_model(fit, kind="boosted", trees=20), validation)
+    return _report(train.fit_tabular_model(fit, kind="boosted"), validation)
 
 
 @query
@@ -797,7 +797,8 @@ def leaderboard(spark, sf):
 
 @query
 def geo_sweep(spark, sf):
-    return compare.geo_sweep(*_split(spark, sf), clusters=SWEEP_CLUSTERS)
+    swept = compare.geo_sweep(*_split(spark, sf), clusters=SWEEP_CLUSTERS)
+    return swept.select("clusters", "hotspots", "balanced", F.col("macro_f1").between(0, 1).alias("valid"))
 
 
 @query
@@ -829,9 +830,9 @@ def holdout_eval(spark, sf):
 
 @query
 def best_configuration(spark, sf):
-    """The best of a sweep of two cluster counts, refitted, saved, loaded and scored on rows of a file."""
+    """The best of the whole sweep, refitted, saved, loaded and scored on rows of a file."""
     fit, validation = _split(spark, sf)
-    _, best = compare.best_configuration(fit, validation, SWEEP_CLUSTERS[:2])
+    _, best = compare.best_configuration(fit, validation, SWEEP_CLUSTERS)
     return _reloaded_report(spark, best, validation)
 
 

@@ -5,21 +5,17 @@ import pytest
 from __spark_entry__ import oracle_sql, queries
 from compare import difference, duck
 
-# Minutes each; tests/compare.py runs them.
-SLOW = {"geo_sweep", "best_configuration"}
-
-
 @pytest.fixture(scope="module")
 def connection(sf):
     return duck(sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(oracle_sql())))
 def test_same_rows(spark, sf, connection, name):
     assert difference(queries()[name](spark, sf), connection, oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
 def test_gives_rows(spark, sf, name):
     assert queries()[name](spark, sf).count() > 0
 
