@@ -5,6 +5,7 @@ import pytest
 from __spark_entry__ import oracle_sql, queries
 from compare import difference, duck
 
+
 @pytest.fixture(scope="module")
 def connection(sf):
     return duck(sf)
