@@ -45,7 +45,7 @@ STARTS_KEPT = 2
 RESTING = 1e-6
 
 #: Rows further out than all but this share of normal rows are rejected.
-BEYOND = 1e-3
+BEYOND = 1e-4
 
 #: Words by which rates of short texts are drawn towards zero.
 SHRINK = 40
@@ -59,12 +59,12 @@ FEW_GROUPS = 20_000
 
 #: The vector: column expression and the least deviation that counts as one.
 VECTOR: list[tuple[str, float]] = [
-    ("ln(1 + n_words)", 1.0),
-    (f"ln((word_chars + 6 * {SHRINK}) / (n_words + {SHRINK}))", 0.06),
-    (f"sqrt(n_symbols / (word_chars + 6 * {SHRINK}))", 0.03),
+    ("ln(1 + n_words)", 0.5),
+    (f"ln((word_chars + 6 * {SHRINK}) / (n_words + {SHRINK}))", 0.03),
+    (f"sqrt(n_symbols / (word_chars + 6 * {SHRINK}))", 0.02),
     (f"sqrt(n_dup_lines / (n_words + {SHRINK}))", 0.03),
     (f"sqrt(n_repeat_words / (n_words + {SHRINK}))", 0.08),
-    (f"sqrt(n_upper / (word_chars + 6 * {SHRINK}))", 0.05),
+    (f"sqrt(n_upper / (word_chars + 6 * {SHRINK}))", 0.03),
 ]
 P = len(VECTOR)
 

@@ -202,16 +202,76 @@ def test_outliers_are_rejected_and_others_kept(spark):
     assert all(r.kept == (r.doc_id % 9 != 0) for r in found.collect())
 
 
-def test_estimates_resist_a_quarter_of_outliers(spark):
+def vector_table(spark, groups):
+    """Blocks of given vectors by group."""
+    rows = [(g, i, np.ascontiguousarray(part, dtype=float).tobytes()) for g, x in groups.items() for i, part in enumerate(np.array_split(x, 3))]
+    return spark.createDataFrame([(g, i, bytearray(b)) for g, i, b in rows], "grp string, salt long, x binary")
+
+
+def least_determinant(x, h):
+    """The half with the smallest determinant among all halves."""
+    from itertools import combinations
+
+    return min((outliers.whitened(np.cov(x[list(c)].T, bias=True))[1], c) for c in combinations(range(len(x)), h))
+
+
+def test_a_third_of_planted_junk_is_rejected(spark):
+    pick = np.random.default_rng(1)
+    template = " ".join("x&#" * 2 + str(k % 3) + "|" * (k % 4) for k in range(90))
+    rows = []
+    for i in range(900):
+        words = ["w" * k for k in pick.integers(2, 9, 200)]
+        text = " ".join(w + str(k) for k, w in enumerate(words))
+        rows.append((i, template if i % 3 == 0 else text, "en", "ab"[i % 2]))
+    # copies differ in their last words, as templates do
+    rows = [(i, t + f" n{i} m{i * 7}" if i % 3 == 0 else t, lang, s) for i, t, lang, s in rows]
+    found = outliers.quality_table(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(not r.kept for r in found if r.doc_id % 3 == 0)
+    assert sum(r.kept for r in found if r.doc_id % 3) >= 598
+
+
+def test_estimates_like_a_search_over_all_halves(spark):
     pick = np.random.default_rng(2)
-    x = pick.normal(size=(4_000, outliers.P)) * 3
-    x[:800] += 200
-    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{c} double" for c in outliers.X))
-    estimate = outliers._start(rows)
-    for _ in range(4):
-        estimate = outliers._step(rows, outliers.materialise(estimate, "test"), outliers.SHARE)
-    found = estimate.first()
-    assert np.abs(np.array(found.centre)).max() < 0.5
+    least = np.array([low for _, low in outliers.VECTOR])
+    groups = {}
+    for k in range(4):
+        x = pick.normal(size=(16, outliers.P)) * 20 * least
+        x[:4] += 400 * least * pick.choice([-1, 1], outliers.P)
+        groups[f"g{k}"] = x
+    groups["ties"] = np.repeat(groups["g0"], 2, axis=0)[:16]
+    found = {r.grp: r for r in outliers.minimum_determinant(vector_table(spark, groups)).collect()}
+    h = -(-(16 + outliers.P + 1) // 2)
+    for name, x in groups.items():
+        if name == "ties":
+            continue
+        logdet, rows = least_determinant(x, h)
+        white = np.array(found[name].white).reshape(outliers.P, outliers.P)
+        factor = outliers.SHARE / (1 - outliers._chi_square_above(outliers.chi_square_quantile(outliers.SHARE, outliers.P), outliers.P + 2))
+        got = -2 * np.linalg.slogdet(white * np.sqrt(factor) * least)[1]
+        assert got == pytest.approx(logdet, abs=1.5)  # steps from four starts, against every half
+        assert not set(rows) & set(range(4)) and np.abs((found[name].centre - x[4:].mean(axis=0)) / least).max() < 40
+
+
+def test_rows_of_the_last_bin_count_by_share(spark):
+    """Equal vectors lie in one bin; half of the weight is taken whatever their number."""
+    x = np.zeros((40, outliers.P))
+    x[30:] += np.arange(1, 11)[:, None]
+    blocks = vector_table(spark, {"g": x})
+    starts = outliers._starts(blocks).where("start = 0")
+    after = outliers._step(blocks, outliers.materialise(starts, "test"), 0.5).first()
+    assert np.allclose(after.centre, 0, atol=0.01) and after.logdet == 0.0
+
+
+def test_large_groups_estimate_like_plain_concentration(spark):
+    pick = np.random.default_rng(3)
+    least = np.array([low for _, low in outliers.VECTOR])
+    x = pick.normal(size=(4_000, outliers.P)) * 10 * least
+    x[:1_300] = 300 * least + pick.normal(size=(1_300, outliers.P)) * least
+    found = outliers.minimum_determinant(vector_table(spark, {"g": x})).first()
+    white = np.array(found.white).reshape(outliers.P, outliers.P)
+    away = (((x - found.centre) @ white.T) ** 2).sum(axis=1)
+    cut = outliers.chi_square_quantile(1 - outliers.BEYOND, outliers.P)
+    assert (away[:1_300] > cut).all() and (away[1_300:] > cut).mean() < 0.005
 
 
 def test_chi_square():
