@@ -31,7 +31,7 @@ WITH host AS (
 SELECT property_id,
   CASE property_id % 8 WHEN 0 THEN 'Luxury penthouse with marble bath and skyline view'
     WHEN 1 THEN 'Cozy studio near the park' WHEN 2 THEN 'Shared room in a Queens hostel'
-    WHEN 3 THEN 'Renovated lofts near Queensboro bridge, Brooklyn: terraces, two pools, great views' WHEN 4 THEN 'Private room in Brooklyn, basic'
+    WHEN 3 THEN 'Renovated lofts near Queensboro bridge, Brooklyn: balconies, two pools, great views' WHEN 4 THEN 'Private room in Brooklyn, basic'
     WHEN 5 THEN '' WHEN 7 THEN 'Уютная студия в центре' END AS description,
   CASE WHEN property_id % 29 = 0 THEN NULL ELSE CASE rk WHEN 0 THEN 'Manhattan' WHEN 1 THEN 'Brooklyn'
     WHEN 2 THEN 'Queens' WHEN 3 THEN 'Bronx' ELSE 'Staten Island' END END AS neighbourhood_group,

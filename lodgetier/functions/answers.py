@@ -16,9 +16,17 @@ def non_english(text: Column, share: float = NON_ASCII_SHARE) -> Column:
     return F.coalesce(foreign / F.nullif(F.length(text), F.lit(0)) > share, F.lit(False))
 
 
+def plural(word: str) -> str:
+    """The regular plural of an English word or of a phrase that ends in one."""
+    if re.search("[^aeiou]y$", word):
+        return word[:-1] + "ies"
+    return word + ("es" if re.search("(s|x|z|ch|sh)$", word) else "s")
+
+
 def text_flag(text: Column, words: tuple[str, ...]) -> Column:
     """1 where one of the words occurs, alone or in the plural, else 0."""
-    pattern = "(?<![a-z])(?:" + "|".join(re.escape(w) for w in words) + ")s?(?![a-z])"
+    forms = [re.escape(form) for word in words for form in (word, plural(word))]
+    pattern = "(?<![a-z])(?:" + "|".join(forms) + ")(?![a-z])"
     return F.coalesce(F.lower(text).rlike(pattern).cast("int"), F.lit(0))
 
 

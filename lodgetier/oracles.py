@@ -273,10 +273,10 @@ def _flags(text: str) -> str:
     return ", ".join(
         f"{_flag(text, words)} AS {name}"
         for name, words in {
-            "has_luxury": "luxury|penthouse|marble|doorman|concierge|high-end",
+            "has_luxury": "luxury|luxuries|penthouse|marble|doorman|concierge|high-end",
             "has_view": "view|skyline|park view|river|city view",
-            "has_outdoor": "rooftop|balcony|terrace|garden|patio",
-            "is_shared": "shared bathroom|shared room|hostel|dormitory",
+            "has_outdoor": "rooftop|balcony|balconies|terrace|garden|patio",
+            "is_shared": "shared bathroom|shared room|hostel|dormitory|dormitories",
             "needs_work": "renovation|repair|fixer|worn|basic",
             "has_amenities": "pool|gym|spa|elevator|fireplace",
         }.items()
@@ -446,7 +446,12 @@ def oracle_sql() -> dict[str, str]:
         "assemble_features": f"""WITH codes AS (SELECT neighbourhood, row_number() OVER (ORDER BY neighbourhood) - 1 AS code FROM (SELECT DISTINCT neighbourhood FROM listings)),
             f AS (SELECT property_id, {_flags('description')} FROM listings),
             widths AS (SELECT count(DISTINCT coalesce(neighbourhood_group, 'Manhattan')) + count(DISTINCT coalesce(room_type, 'Entire home/apt')) AS w FROM listings)
-            SELECT property_id, CAST(w + 6 + 1 + 6 AS INT) AS width, round(minimum_nights + number_of_reviews + calculated_host_listings_count + availability_365
+            SELECT property_id, CAST(w + 6 + 1 + 6 AS INT) AS width,
+              round(minimum_nights + 2 * number_of_reviews + 3 * calculated_host_listings_count + 4 * availability_365 + 5 * latitude + 6 * longitude
+              + 7 * code + 8 + (SELECT count(DISTINCT coalesce(neighbourhood_group, 'Manhattan')) FROM listings o WHERE coalesce(o.neighbourhood_group, 'Manhattan') < coalesce(listings.neighbourhood_group, 'Manhattan'))
+              + 8 + (SELECT count(DISTINCT coalesce(neighbourhood_group, 'Manhattan')) FROM listings)
+              + (SELECT count(DISTINCT coalesce(room_type, 'Entire home/apt')) FROM listings o WHERE coalesce(o.room_type, 'Entire home/apt') < coalesce(listings.room_type, 'Entire home/apt'))
+              + (w + 8) * has_luxury + (w + 9) * has_view + (w + 10) * has_outdoor + (w + 11) * is_shared + (w + 12) * needs_work + (w + 13) * has_amenities, 6) AS by_place, round(minimum_nights + number_of_reviews + calculated_host_listings_count + availability_365
               + latitude + longitude + code + 2 + has_luxury + has_view + has_outdoor + is_shared + needs_work + has_amenities, 6) AS total
             FROM listings JOIN codes USING (neighbourhood) JOIN f USING (property_id), widths""",
         "text_vectors": "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS BIGINT) AS words, CAST(4096 AS INT) AS width FROM documents",
@@ -479,6 +484,16 @@ def oracle_sql() -> dict[str, str]:
         "sweep_top5": f"""WITH {_voted('(1e-1), (2e-1), (3e-1), (4e-1), (5e-1), (6e-1), (7e-1), (8e-1), (9e-1)')}
             SELECT round(macro_f1, 6) AS macro_f1, CAST(round(weight * 10) AS INT) AS clusters, weight > 0.55 AS hotspots, weight < 0.35 AS balanced FROM f1s
             ORDER BY f1s.macro_f1 DESC, clusters DESC, hotspots DESC, balanced DESC LIMIT 5""",
+        "run_batch": f"""WITH c AS (SELECT count(*) AS n, count(*) FILTER ({_FOREIGN.format(t="coalesce(description, '')")}) AS f,
+              count(*) FILTER ({_GAP.format(c='neighbourhood')}) AS g FROM listings)
+            SELECT * FROM (VALUES ('schema', 'columns', '11'), ('schema', 'aliases_resolved', ''), ('schema', 'unknown_mapped', ''),
+              ('schema', 'unknown_kept', ''), ('schema', 'defaults_applied', ''), ('predict', 'Budget', 'counted'), ('predict', 'Standard', 'counted'),
+              ('predict', 'Premium', 'counted'), ('predict', 'Ultra-Luxury', 'counted'), ('evaluate', 'macro_f1', 'true'), ('evaluate', 'report', 'true')) v(step, metric, value)
+            UNION ALL SELECT 'schema', 'rows', CAST(n AS VARCHAR) FROM c UNION ALL SELECT 'translate', 'non_english_rows', CAST(f AS VARCHAR) FROM c
+            UNION ALL SELECT 'infer', 'rows_with_gaps', CAST(g AS VARCHAR) FROM c
+            UNION ALL SELECT 'infer', 'columns_with_gaps', CASE WHEN g > 0 THEN 'neighbourhood' ELSE '' END FROM c
+            UNION ALL SELECT 'predict', 'predictions', CAST(n AS VARCHAR) FROM c UNION ALL SELECT 'predict', 'sum of tiers', CAST(n AS VARCHAR) FROM c
+            UNION ALL SELECT 'evaluate', 'n_evaluated', CAST(n AS VARCHAR) FROM c""",
         "run_report": f"""WITH {_CLEAN},
             c AS (SELECT count(*) AS n, count(*) FILTER ({_FOREIGN.format(t='description')}) AS f, count(*) FILTER (neighbourhood = 'Unknown') AS g FROM cleaned)
             SELECT * FROM (VALUES ('schema', 'columns', '10'),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from operator import and_
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodgetier.constants import BASE_NUMERIC, HOTSPOTS, ID, ONE_HOT, SWEEP_CLUSTERS, TARGET, TEXT
+from lodgetier.constants import BASE_NUMERIC, HOTSPOTS, ID, ONE_HOT, SWEEP_CLUSTERS, TARGET, TEXT, TIER_NAMES
 from lodgetier.fixtures import raw_listings, table, vectors
 from lodgetier.functions import answers, phrases, vote
 from lodgetier.functions.scalars import safe_int
@@ -520,6 +521,7 @@ def assemble_features(spark, sf):
         ID,
         F.size(array).alias("width"),
         F.round(F.aggregate(array, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+        F.round(F.aggregate(F.transform(array, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("by_place"),
     )
 
 
@@ -862,6 +864,7 @@ def run_report(spark, sf):
 
 @query
 def run_batch(spark, sf):
+    """The report of a batch and its evaluation; of what a model decides only what is determined."""
     listings = _listings(spark, sf)
     raw, labels = files.split_inputs([listings])
     model = train.fit_tabular_model(_clean(spark, sf))
@@ -885,4 +888,14 @@ def run_batch(spark, sf):
             )
         ).alias("metric", "value"),
     )
-    return result.report.union(evaluation)
+    report = result.report.union(evaluation)
+    tiers = report.where("step = 'predict' and metric <> 'predictions'")
+    whole = tiers.select(F.lit("predict"), F.lit("sum of tiers"), F.sum(F.col("value").cast("bigint")).over(Window.partitionBy()).cast("string"))
+    names = reduce(and_, (F.contains("value", F.lit(name)) for name in TIER_NAMES))
+    told = (
+        F.when(F.col("metric") == "macro_f1", F.col("value").cast("double").between(0, 1).cast("string"))
+        .when(F.col("metric") == "report", names.cast("string"))
+        .when((F.col("step") == "predict") & (F.col("metric") != "predictions"), F.lit("counted"))
+        .otherwise(F.col("value"))
+    )
+    return report.withColumn("value", told).union(whole.distinct())
