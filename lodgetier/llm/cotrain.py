@@ -1,12 +1,15 @@
 """Quality classifier by co-training on two views of a document.
 
 One classifier sees the text's content (rates of kinds of characters, of words said again, of lines said
-again, lengths of words), the other the page's metadata (language, source, length). Over some rounds each
-scores unlabelled documents and hands the other those it is surest of, as if they were labelled. Afterwards
-both views are calibrated, and joined by a third logistic curve, on labelled rows that took no part.
-
-Classifiers are fitted on the driver on bounded samples, the first MOST_LABELLED labelled and MOST_POOL
-unlabelled documents in the order of a hash of their id; features and scores are computed for every document.
+again, lengths of words), the other the page's metadata (language, source, length). In every round each scores
+all unlabelled documents and hands the other those it is surest of, as if they were labelled; its threshold is
+a quantile of the scores of all of them. Afterwards both views are calibrated, and joined by a third logistic
+curve, on labelled rows that took no part.
+
+Of the labelled documents the first MOST_LABELLED in the order of a hash of their id are held by the driver.
+Unlabelled ones stay in Spark: a pass counts their scores, another adds up the gradients and second derivatives
+of both views over those handed over, a few thousand numbers. Who was handed over follows from the models and
+thresholds of the rounds so far, so no pass leaves a state behind.
 """
 
 from __future__ import annotations
@@ -23,13 +26,17 @@ from lodgetier.llm.base import map_batches, payload
 from lodgetier.runtime import materialise
 
 MOST_LABELLED = 30_000
-MOST_POOL = 30_000
 ROUNDS = 4
 
-#: Share of the pool that a view may hand over per class and round, and how sure it must be.
+#: Share of the unlabelled rows that a view may hand over per class and round, and how sure it must be.
 HANDED = 0.02
 SURE = 0.95
 
+#: Bins that scores are counted in; steps of a fit at most, and the step at which it ends.
+SCORE_BINS = 6_000
+FIT_STEPS = 8
+FITTED = 1e-2
+
 #: Documents scored below are rejected.
 THRESHOLD = 0.3
 
@@ -92,55 +99,162 @@ def features(docs: DataFrame, *columns: str) -> DataFrame:
     return map_batches(docs.select(*columns, "text", "lang", "source"), run, f"{kinds}content array<float>, meta array<float>")
 
 
+#: Logits are held between minus and plus this.
+WIDEST = 30.0
+
+#: Largest change of a weight in a step.
+MOST_MOVE = 1.0
+
+#: Least scale of a feature: what the first rows have none of must not weigh any amount in later ones.
+LEAST_SCALE = 0.02
+
+
 class Logistic:
-    """Ridge-regularised logistic regression on standardised features."""
+    """Ridge-regularised logistic regression on features standardised by the first rows it is fitted on."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3):
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
-        pull = np.append(np.full(x.shape[1], ridge), 1e-9)
-        self.w = np.zeros(z.shape[1])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            bend = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z / len(y) + np.diag(pull)
-            step = np.linalg.solve(bend, z.T @ (p - y) / len(y) + pull * self.w)
-            self.w -= np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-7:
+        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), LEAST_SCALE)
+        self.pull = np.append(np.full(x.shape[1], ridge), 1e-6)
+        self.w = np.zeros(x.shape[1] + 1)
+        for _ in range(100):
+            if self.step(self.sums(x, y)) < 1e-7:
                 break
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1], -30, 30)
-
-
-def cotrain(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> list[Logistic]:
-    """A classifier per view; each round a view's surest pool rows become labelled rows of the other view."""
-    own = [(x, y) for x in views]
-    left = np.ones(len(pool[0]), dtype=bool)
-    models = [Logistic(x, t) for x, t in own]
-    for _ in range(rounds):
-        handed = []
-        for view in (0, 1):
-            at = np.flatnonzero(left)  # an empty pool hands over nothing
-            p = 1 / (1 + np.exp(-models[view].logit(pool[view][at])))
-            most = max(1, int(HANDED * len(pool[0])))
-            good, bad = at[np.argsort(-p, kind="stable")[:most]], at[np.argsort(p, kind="stable")[:most]]
-            good, bad = good[np.sort(-p, kind="stable")[: len(good)] <= -SURE], bad[np.sort(p, kind="stable")[: len(bad)] <= 1 - SURE]
-            handed.append((np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])))
-            left[handed[-1][0]] = False
-        if not any(len(at) for at, _ in handed):
+        return np.clip(((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1], -WIDEST, WIDEST)
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Number of rows, gradient and second derivatives, end to end; sums of parts add up."""
+        z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
+        p = 1 / (1 + np.exp(-np.clip(z @ self.w, -WIDEST, WIDEST)))
+        return np.concatenate([[len(x)], z.T @ (p - y), ((z * (p * (1 - p) + 1e-9)[:, None]).T @ z).ravel()])
+
+    def step(self, sums: np.ndarray) -> float:
+        """A Newton step by such sums; the largest change of a weight."""
+        n, k = sums[0], len(self.w)
+        gradient, bend = sums[1 : k + 1] / n, sums[k + 1 :].reshape(k, k) / n
+        move = np.linalg.solve(bend + np.diag(self.pull), gradient + self.pull * self.w)
+        move *= min(1.0, MOST_MOVE / max(MOST_MOVE, float(np.abs(move).max())))  # a whole step may go too far
+        self.w -= move
+        return float(np.abs(move).max())
+
+    def copy(self) -> Logistic:
+        other = object.__new__(Logistic)
+        other.mean, other.scale, other.pull, other.w = self.mean, self.scale, self.pull, self.w.copy()
+        return other
+
+
+#: A round: both views' models, and for each view the logits from which on rows count as bad and as good.
+Round = tuple[list[Logistic], list[tuple[float, float]]]
+
+
+def handed_over(views: list[np.ndarray], rounds: list[Round]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each view the label it gives every row, -1 for none, and which rows are left; a row goes once."""
+    left = np.ones(len(views[0]), dtype=bool)
+    given = [np.full(len(left), -1), np.full(len(left), -1)]
+    for models, cuts in rounds:
+        gone = np.zeros(len(left), dtype=bool)
+        for own, model, x, (low, high) in zip(given, models, views, cuts):
+            z = model.logit(x)
+            for sure, label in ((left & (z <= low), 0), (left & (z >= high), 1)):
+                own[sure] = label
+                gone |= sure
+        left &= ~gone
+    return given, left
+
+
+def thresholds(counts: np.ndarray, most: float) -> tuple[float, float]:
+    """Logits that leave `most` rows or fewer below and above, by counts per bin, and are sure; where one bin
+    holds more, the outermost sure bin goes whole, so that equal rows stay together."""
+    edges = np.linspace(-WIDEST, WIDEST, len(counts) + 1)
+    sure = np.log(SURE / (1 - SURE))
+
+    def from_top(counts: np.ndarray) -> float:
+        above = np.cumsum(counts[::-1])[::-1]  # rows in a bin or above it
+        held = np.flatnonzero(counts)
+        if not len(held):
+            return np.inf
+        fits = np.flatnonzero(above <= most)
+        first = min(int(fits[0]) if len(fits) else len(counts), int(held[-1]))
+        return max(edges[first], sure)
+
+    return -from_top(counts[::-1]), from_top(counts)
+
+
+def cotrain(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS) -> list[Logistic]:
+    """A classifier per view, from labelled rows and a table (content, meta) of unlabelled ones."""
+    models = [Logistic(x, y) for x in views]
+    whole = pool.count()
+    done: list[Round] = []
+    for _ in range(rounds if whole else 0):
+        counts = _score_counts(pool, models, done)
+        done = [*done, ([m.copy() for m in models], [thresholds(c, HANDED * whole) for c in counts])]
+        before = [m.w.copy() for m in models]
+        for _ in range(FIT_STEPS):
+            sums = _handed_sums(pool, models, done)
+            if max(m.step(m.sums(x, y) + s) for m, x, s in zip(models, views, sums)) < FITTED:
+                break
+        if all(np.array_equal(b, m.w) for b, m in zip(before, models)):
             break
-        for view in (0, 1):
-            at, label = handed[1 - view]
-            x, t = own[view]
-            own[view] = (np.concatenate([x, pool[view][at]]), np.concatenate([t, label]))
-        models = [Logistic(x, t) for x, t in own]
     return models
 
 
+def _views(batch: pa.RecordBatch, models: list[Logistic]) -> list[np.ndarray]:
+    return [_matrix(batch.column(c), len(m.mean)) for c, m in zip(("content", "meta"), models)]
+
+
+def _score_counts(pool: DataFrame, models: list[Logistic], done: list[Round]) -> list[np.ndarray]:
+    """Rows not handed over yet, by view and bin of their logit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, SCORE_BINS), dtype=np.int64)
+        for batch in batches:
+            views = _views(batch, models)
+            left = handed_over(views, done)[1]
+            for own, model, x in zip(total, models, views):
+                bins = np.floor((model.logit(x[left]) + WIDEST) * (SCORE_BINS / 2 / WIDEST)).astype(np.int64)
+                own += np.bincount(np.minimum(bins, SCORE_BINS - 1), minlength=SCORE_BINS)
+        yield from _cells(total)
+
+    return _added(pool, run, (2, SCORE_BINS))
+
+
+def _handed_sums(pool: DataFrame, models: list[Logistic], done: list[Round]) -> list[np.ndarray]:
+    """The sums of each view's model over the rows that the other view has handed it."""
+    widths = [1 + len(m.w) + len(m.w) ** 2 for m in models]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, max(widths)))
+        for batch in batches:
+            views = _views(batch, models)
+            given = handed_over(views, done)[0]
+            for view, (model, x) in enumerate(zip(models, views)):
+                label = given[1 - view]
+                if (label >= 0).any():
+                    total[view, : widths[view]] += model.sums(x[label >= 0], label[label >= 0])
+        yield from _cells(total)
+
+    return [s[:n] for s, n in zip(_added(pool, run, (2, max(widths))), widths)]
+
+
+def _cells(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    place = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total.ravel()[place].astype(float))], ["place", "v"])
+
+
+def _added(pool: DataFrame, run, shape: tuple[int, int]) -> np.ndarray:
+    """Cells of all tasks added up."""
+    cells = map_batches(pool.select("content", "meta"), run, "place long, v double").groupBy("place").agg(F.sum("v").alias("v"))
+    out = np.zeros(shape)
+    found = cells.toArrow()  # a few thousand numbers
+    out.ravel()[found.column("place").to_numpy()] = found.column("v").to_numpy()
+    return out
+
+
 class Quality:
     """Both views' classifiers, their calibrations and the curve that joins them."""
 
-    def __init__(self, views: list[np.ndarray], y: np.ndarray, kept: np.ndarray, pool: list[np.ndarray], rounds: int):
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, kept: np.ndarray, pool: DataFrame, rounds: int):
         self.models = cotrain([x[~kept] for x in views], y[~kept], pool, rounds)
         logits = [m.logit(x[kept])[:, None] for m, x in zip(self.models, views)]
         self.calibrations = [Logistic(z, y[kept]) for z in logits]
@@ -182,7 +296,8 @@ def fit(found: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Quality |
     kept = np.arange(len(y)) % 4 == 0  # calibrates; the sample is in hash order
     if any(len(set(y[side].tolist())) < 2 for side in (kept, ~kept)):
         return None
-    pool, _ = _sample(found, ids.where("quality is null"), MOST_POOL)
+    labelled = truth.select("doc_id").hint("merge")
+    pool = materialise(found.join(labelled, "doc_id", "left_anti").select("content", "meta"), "unlabelled")
     return Quality(views, y, kept, pool, rounds)
 
 

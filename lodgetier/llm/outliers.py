@@ -54,7 +54,7 @@ SHRINK = 40
 GRAIN = 128
 
 #: Rows of a block, and groups whose estimates may be broadcast (a few hundred bytes each).
-BLOCK = 8_192
+BLOCK = 2_048
 FEW_GROUPS = 20_000
 
 #: The vector: column expression and the least deviation that counts as one.

@@ -411,18 +411,77 @@ def test_quality_of_odd_rows(odd, clashing, labels, none):
     assert everything.columns == clashing.columns and everything.count() == odd.count()
 
 
-def test_views_teach_each_other():
+def pool_table(spark, views):
+    rows = [(a.tolist(), b.tolist()) for a, b in zip(*views)]
+    return spark.createDataFrame(rows, "content array<double>, meta array<double>").repartition(3)
+
+
+def plain_cotrain(views, y, pool, rounds):
+    """Co-training on arrays: every round both views hand over, then each is fitted on all it has."""
+    models = [cotrain.Logistic(x, y) for x in views]
+    own, left = [[(x, y)] for x in views], np.ones(len(pool[0]), bool)
+    for _ in range(rounds):
+        chosen = []
+        for model, x in zip(models, pool):
+            z = model.logit(x)
+            bins = np.minimum(np.floor((z[left] + 30) * cotrain.SCORE_BINS / 60).astype(int), cotrain.SCORE_BINS - 1)
+            low, high = cotrain.thresholds(np.bincount(bins, minlength=cotrain.SCORE_BINS), cotrain.HANDED * len(left))
+            chosen.append((left & (z <= low), left & (z >= high)))
+        for view in (0, 1):
+            for label, rows in enumerate(chosen[1 - view]):
+                own[view].append((pool[view][rows], np.full(rows.sum(), float(label))))
+        for pair in chosen:
+            left &= ~(pair[0] | pair[1])
+        for model, parts in zip(models, own):
+            for _ in range(60):
+                if model.step(model.sums(*(np.concatenate(c) for c in zip(*parts)))) < 1e-9:
+                    break
+    return models
+
+
+def test_views_teach_each_other_like_a_plain_version(spark):
     pick = np.random.default_rng(3)
     y = pick.integers(0, 2, 4_000).astype(float)
     views = [y[:, None] * 3 + pick.normal(size=(4_000, 2)) for _ in range(2)]
     few = slice(0, 30)
     rest = [v[30:3_000] for v in views]
     alone = cotrain.Logistic(views[0][few], y[few])
-    taught = cotrain.cotrain([v[few] for v in views], y[few], rest)
+    taught = cotrain.cotrain([v[few] for v in views], y[few], pool_table(spark, rest), rounds=3)
+    for model, plain in zip(taught, plain_cotrain([v[few] for v in views], y[few], rest, 3)):
+        assert np.abs(model.w - plain.w).max() < 0.02 * np.abs(plain.w).max()
     right = [((m.logit(views[0][3_000:]) > 0) == y[3_000:]).mean() for m in (alone, taught[0])]
     assert right[1] >= right[0] - 0.01 and right[1] > 0.9
 
 
+def test_thresholds_are_quantiles_of_all_rows():
+    counts = np.zeros(cotrain.SCORE_BINS, dtype=int)
+    counts[-100:], counts[:50] = 10, 4  # 1,000 good, 200 bad
+    low, high = cotrain.thresholds(counts, 95)
+    width = 60 / cotrain.SCORE_BINS
+    assert high == pytest.approx(30 - 9 * width) and low == pytest.approx(-30 + 23 * width)
+    counts[:] = 0
+    counts[-5] = 1_000  # equal rows stay together
+    assert cotrain.thresholds(counts, 95)[1] == pytest.approx(30 - 5 * width)
+    counts[:] = 0
+    counts[cotrain.SCORE_BINS // 2] = 1_000  # none is sure
+    assert cotrain.thresholds(counts, 95)[1] >= np.log(19) - 1e-9
+
+
+def test_every_unlabelled_row_may_teach(spark):
+    """Rows of a kind that only few unlabelled documents have, wherever they come in any order, are handed over."""
+    pick = np.random.default_rng(4)
+    y = np.repeat([0.0, 1.0], 200)
+    views = [y[:, None] * 4 + pick.normal(size=(400, 2)) for _ in range(2)]
+    rare = [np.full((3, 2), 9.0), np.full((3, 2), 1.0)]
+    pool = [np.concatenate([pick.normal(size=(3_000, 2)), r]) for r in rare]
+    models = [cotrain.Logistic(x, y) for x in views]
+    counts = cotrain._score_counts(pool_table(spark, pool), models, [])
+    rounds = [(models, [cotrain.thresholds(c, cotrain.HANDED * 3_003) for c in counts])]
+    given, left = cotrain.handed_over(pool, rounds)
+    assert (given[0][-3:] == 1).all() and not left[-3:].any()
+    assert int(counts[0].sum()) == 3_003
+
+
 def plain_nearest(rows, every, k):
     good = {}
     for i, v in rows:
