@@ -46,6 +46,10 @@ TOGETHER = 1_024
 #: Grams and spans that more than 1/HOT of the anchors share are told by a list instead of a join.
 HOT = 1_000
 
+#: How tables of identifiers are written: nothing repeats in them that a dictionary could save, and a task
+#: buffers no more than a small row group.
+HASHES = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
+
 _LOW = 22  # bits of an anchor's place in a slice; slices are shorter than 2**22
 
 
@@ -259,7 +263,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, together: int = TOGETH
     A gram, or a span of it, that more than 1/HOT of all anchors have is on a list of fewer than HOT; rows
     of these are told by the list and meet in no join.
     """
-    found = materialise(anchor_table(docs, length), "anchors")
+    found = materialise(anchor_table(docs, length), "anchors", **HASHES)
     least = found.count() / HOT
     grams = _hot(found, ["gram"], least)
     hot_gram = F.col("gram").isin([g for g, _ in grams])
@@ -272,7 +276,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, together: int = TOGETH
     buckets = usual.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
     shared = buckets.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("split"))
     kept = usual.join(shared.hint("merge"), "gram").unionByName(found.where(hot_gram).withColumn("split", split_gram))
-    kept = materialise(kept.withColumn("settled", ~F.col("split") | hot_span), "shared")
+    kept = materialise(kept.withColumn("settled", ~F.col("split") | hot_span), "shared", **HASHES)
     settled = kept.where("settled").select("key", "mark", "first", "last")
 
     place = F.min(F.struct("key", "mark", "first", "last")).alias("place")
