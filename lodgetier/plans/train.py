@@ -29,6 +29,7 @@ from lodgetier.functions.answers import text_flags
 from lodgetier.functions.phrases import location_prefix, row_text
 from lodgetier.functions.vote import argmax, softmax
 from lodgetier.operators.boosting import ROUNDS, fit_softmax
+from lodgetier.operators.dense import fit_dense_text
 from lodgetier.operators.features import fit_tabular, fit_text, sample_weight
 from lodgetier.operators.geo import AreaModel, fit_areas, hotspot_distances
 from lodgetier.operators.knn import knn_tier, knn_tier_out_of_fold
@@ -213,21 +214,21 @@ def fit_feature_set(train: DataFrame, name: str, trees: int = TREES) -> TierMode
     """
     ordinal = [c for c in ORDINAL if c != "geo_label"]
     if name == "vectors":
-        return fit_text_model(train, TEXT, "forest", balanced=False, trees=trees)
+        text = PipelineModel([fit_dense_text(train, TEXT)])
+        return TierModel(fit_classifier(train, text, "forest", False, "text_vector", trees))
     stages = []
     extra: list[str] = []
     rows = train
     if name == "vectors+tabular":
-        text = fit_text(train, TEXT)
-        stages, extra, rows = text.stages, ["text_vector"], text.transform(train)
+        stages = [fit_dense_text(train, TEXT)]
+        extra, rows = ["text_vector"], stages[0].transform(train)
     elif name == "tabular+flags":
         extra = list(FLAGS)
     elif name != "tabular":
         raise ValueError(f"unknown feature set {name!r}")
     tabular = fit_tabular(rows, BASE_NUMERIC, ONE_HOT, ordinal, extra)
     encoders = PipelineModel([*stages, *tabular.stages])
-    bins = WIDE_BINS if stages else BINS
-    return TierModel(fit_classifier(train, encoders, "forest", balanced=False, trees=trees, bins=bins))
+    return TierModel(fit_classifier(train, encoders, "forest", balanced=False, trees=trees))
 
 
 def split_frames(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -73,14 +73,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the scratch folder and read it back.
 
     Cuts the lineage like a checkpoint, survives the loss of executors, and later readers
-    still get column pruning and filter pushdown.
+    still get column pruning and filter pushdown. `options` are those of the Parquet writer.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
