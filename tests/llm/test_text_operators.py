@@ -264,7 +264,7 @@ def test_repeats_of_hot_grams(spark):
     rows += [(100 + i, word(20) + hot + longer + word(50)) for i in range(10)] + [(200 + i, word(400)) for i in range(120)]
     rows += [(400, None), (401, hot[:249]), (402, hot + hot)]
     found = suffix.repeats_table(spark.createDataFrame(rows, "doc_id long, text string"), 250, with_text=True).collect()
-    assert sorted(map(tuple, (r[:5] for r in found))) == plain_repeats(rows, 250)
+    assert sorted((tuple(r[:5]) for r in found), key=repr) == plain_repeats(rows, 250)
     texts = {r.doc_id: r.text for r in found}
     assert texts[400] == "" and texts[1] == "" and texts[402] == "" and texts[401] == hot[:249]
 
