@@ -53,11 +53,35 @@ def sample_weight(df: DataFrame, by: str = TARGET) -> Column:
 
 
 def training_medians(df: DataFrame) -> DataFrame:
-    """One row: the median of each count the wording without figures is anchored on.
+    """One row: the median of each count the wording without figures is anchored on."""
+    return exact_medians(df, list(MEDIANS))
 
-    Exact; tasks send counts per distinct value, and these columns hold few distinct values.
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with the exact median of each column, null without values.
+
+    Values are counted in the tasks and the counts put in order by ranges, so that no task holds the distinct
+    values of a column: the ranges' sums say in which one a median lies, its own running sum says where.
     """
-    return df.agg(*[F.median(c).alias(c) for c in MEDIANS])
+    listed = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))
+    counts = df.select(listed.alias("e")).select("e.*").where("value is not null").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(parts, "name", "value").withColumn("range", F.spark_partition_id())
+    ranged = materialise(ranged, "counts")
+    sums = ranged.groupBy("name", "range").agg(F.sum("n").alias("held"))  # a row per column and range
+    ordered = Window.partitionBy("name").orderBy("range")
+    placed = sums.select(
+        "name", "range", "held", (F.sum("held").over(ordered) - F.col("held")).alias("before"),
+        F.sum("held").over(Window.partitionBy("name")).alias("total"),
+    )
+    first, second = F.expr("(total + 1) div 2"), F.expr("(total + 2) div 2")  # places, from 1, of the two middle values
+    met = ranged.join(F.broadcast(placed), ["name", "range"]).where((F.col("before") < second) & (F.col("before") + F.col("held") >= first))
+    inside = Window.partitionBy("name", "range").orderBy("value")
+    upto = F.col("before") + F.sum("n").over(inside)
+    found = met.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    middle = [F.max(F.when((F.col("from") < place) & (F.col("upto") >= place), F.col("value"))) for place in (first, second)]
+    medians = found.groupBy("name").agg(((middle[0] + middle[1]) / 2).alias("median"))
+    return medians.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])
 
 
 def ordinal_codes(df: DataFrame, column: str) -> DataFrame:

@@ -230,3 +230,19 @@ def test_scores_to_vector(spark):
     df = spark.createDataFrame(rows, "s array<struct<label:string,score:double>>")
     found = [r[0] for r in df.select(scores_to_vector(F.col("s"))).collect()]
     assert found == [[0.3, 0.0, 0.7, 0.0], [0.0] * 4, [0.0] * 4, None]
+
+
+def test_exact_medians(spark):
+    import random
+    import statistics
+
+    from lodgetier.operators.features import exact_medians
+
+    pick = random.Random(2)
+    for n in (1, 2, 7, 500):
+        rows = [(pick.randrange(5), pick.random(), 3 if i % 3 else None, None) for i in range(n)]
+        found = exact_medians(spark.createDataFrame(rows, "a int, b double, c int, d int"), ["a", "b", "c", "d"]).first()
+        for i, name in enumerate("abcd"):
+            values = [r[i] for r in rows if r[i] is not None]
+            assert found[name] == (statistics.median(values) if values else None)
+    assert exact_medians(spark.createDataFrame([], "a int"), ["a"]).first().a is None
