@@ -312,7 +312,10 @@ def mixed_shards(docs: DataFrame, **settings) -> DataFrame:
             ]
             owner, row, block, inside, texts = (list(c) for c in zip(*found)) if found else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("source").take(pa.array(owner, pa.int64())), pa.array(row, pa.int32()), pa.array(block, pa.int64()), pa.array(inside, pa.int64()), pa.array(texts, pa.string())],
+                [
+                    batch.column("source").take(pa.array(owner, pa.int64())), pa.array(row, pa.int32()),
+                    pa.array(block, pa.int64()), pa.array(inside, pa.int64()), pa.array(texts, pa.string()),
+                ],
                 ["source", "row", "block", "inner", "text"],
             )
 

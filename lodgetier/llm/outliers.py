@@ -164,7 +164,8 @@ def _with_estimates(blocks: DataFrame, table: DataFrame) -> DataFrame:
 def vector_blocks(stats: DataFrame, least_rows: int = LEAST_ROWS, block: int = BLOCK) -> DataFrame:
     """(grp, salt, x): vectors of rows that pass the base rules, packed by group; groups of fewer rows are left out."""
     vectors = stats.where("not base_failed").select(
-        F.explode(F.array(*_groups())).alias("grp"), F.array(*(F.expr(e).cast("double") for e, _ in VECTOR)).alias("x"), F.xxhash64(*stats.columns, F.monotonically_increasing_id()).alias("mark")
+        F.explode(F.array(*_groups())).alias("grp"), F.array(*(F.expr(e).cast("double") for e, _ in VECTOR)).alias("x"),
+        F.xxhash64(*stats.columns, F.monotonically_increasing_id()).alias("mark"),
     )
     sizes = vectors.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
     sizes = materialise(sizes.select("grp", F.ceil(F.col("n") / block).alias("blocks")), "group-sizes")
@@ -248,7 +249,8 @@ def _starts(blocks: DataFrame) -> DataFrame:
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for grp, data, centre, sd in zip(batch.column("grp").to_pylist(), batch.column("x"), batch.column("centre").to_pylist(), batch.column("sd").to_pylist()):
+            columns = (batch.column(c).to_pylist() for c in ("grp", "centre", "sd"))
+            for grp, centre, sd, data in zip(*columns, batch.column("x")):
                 z = (_matrix(data) - centre) / sd
                 way = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
                 for start, v in enumerate((z, np.tanh(z), way)):
