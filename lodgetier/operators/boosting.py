@@ -115,7 +115,9 @@ def binned(rows: DataFrame, cuts: list[np.ndarray], weights: Sequence[str]) -> D
             packed = pa.array([row.tobytes() for row in codes], pa.binary())
             yield pa.RecordBatch.from_arrays([*kept, packed, pa.array([b""] * len(x), pa.binary())], ["label", *weights, "mark", "bins", "scores"])
 
-    narrow = rows.select("label", *weights, F.xxhash64("features", "label", F.monotonically_increasing_id()).alias("mark"), vector_to_array("features").alias("x"))
+    x = vector_to_array("features")
+    mark = F.xxhash64(x, "label", F.monotonically_increasing_id())
+    narrow = rows.select("label", *weights, mark.alias("mark"), x.alias("x"))
     return narrow.mapInArrow(run, _schema(weights))
 
 

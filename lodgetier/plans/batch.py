@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -22,6 +22,7 @@ from lodgetier.constants import (
     VOTE_WEIGHT,
 )
 from lodgetier.functions.answers import non_english
+from lodgetier.functions.scalars import identifier
 from lodgetier.functions.vote import argmax
 from lodgetier.operators.ensemble import join_scores, vote_or_first
 from lodgetier.operators.evaluate import evaluate_tables, no_id_record, tier_distribution
@@ -48,8 +49,9 @@ def score_batch(
     external: DataFrame | None = None,
     weight: float = VOTE_WEIGHT,
     dialect: str = "serving",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, price_tier) by soft vote of the tabular model and a text scorer.
+    """(id, price_tier) and columns `keep` by soft vote of the tabular model and a text scorer.
 
     The text scorer is a model on row_text, which scores the same rows in place without a join,
     or a table (id, second) of outside scores. Rows without a second score use the first alone.
@@ -60,9 +62,18 @@ def score_batch(
     elif external is not None:
         scored = join_scores(scored, external)
     else:
-        return scored.select(ID, argmax(F.col("first")).alias(TARGET))
+        return scored.select(ID, argmax(F.col("first")).alias(TARGET), *keep)
     vote = vote_or_first(F.col("first"), F.col("second"), weight)
-    return scored.select(ID, argmax(vote).alias(TARGET))
+    return scored.select(ID, argmax(vote).alias(TARGET), *keep)
+
+
+# What the report counts, as columns of a cleaned table.
+FACTS = ("_non_english", *(f"_gap_{c}" for c in INFERABLE))
+
+
+def with_facts(cleaned: DataFrame) -> DataFrame:
+    """Add what the report counts, before gaps are filled."""
+    return cleaned.withColumns(dict(zip(FACTS, (non_english(F.col(TEXT)), *(is_missing(c) for c in INFERABLE)))))
 
 
 def prepare(
@@ -71,8 +82,9 @@ def prepare(
     translations: DataFrame | None = None,
     inferences: DataFrame | None = None,
     infer_before_fill: bool = False,
+    facts: bool = False,
 ) -> DataFrame:
-    """Clean a raw table and fill gaps.
+    """Clean a raw table and fill gaps; with `facts`, columns tell what the cleaned table lacked.
 
     Missing values are inferred from descriptions and an optional inferences table. By default
     that happens after defaults were filled in, so only unknown neighbourhoods are still missing;
@@ -87,7 +99,8 @@ def prepare(
         return apply_translations(df, translations) if translations is not None else df
 
     if not infer_before_fill:
-        return clean_listings(raw, mapping).transform(translate).transform(infer)
+        cleaned = clean_listings(raw, mapping)
+        return (with_facts(cleaned) if facts else cleaned).transform(translate).transform(infer)
     named = require_id(repair_names(raw, mapping))
     if TEXT in named.columns:
         named = named.transform(translate).transform(infer)
@@ -97,7 +110,8 @@ def prepare(
 def run_report(raw: DataFrame, cleaned: DataFrame, mapping: Mapping[str, str | None] | None = None) -> DataFrame:
     """(step, metric, value): what the input held and what was done to it.
 
-    Facts about names come from the schema; all counts come from one aggregation.
+    Facts about names come from the schema; all counts come from one aggregation. `cleaned` may be a table that
+    holds the columns of `with_facts` already.
     """
     spark = raw.sparkSession
     names = [plain_name(c) for c in raw.columns]
@@ -113,11 +127,13 @@ def run_report(raw: DataFrame, cleaned: DataFrame, mapping: Mapping[str, str | N
         ("schema", "unknown_kept", ", ".join(c for c in unknown if c not in mapped)),
         ("schema", "defaults_applied", ", ".join(defaulted)),
     ]
-    gaps = {c: F.count_if(is_missing(c)) for c in INFERABLE}
-    any_gap = reduce(or_, (is_missing(c) for c in INFERABLE))
+    if not set(FACTS) <= set(cleaned.columns):
+        cleaned = with_facts(cleaned)
+    gaps = {c: F.count_if(f"_gap_{c}") for c in INFERABLE}
+    any_gap = reduce(or_, (F.col(f"_gap_{c}") for c in INFERABLE))
     counts = cleaned.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(non_english(F.col(TEXT))).alias("non_english"),
+        F.count_if("_non_english").alias("non_english"),
         F.count_if(any_gap).alias("gap_rows"),
         *[n.alias(f"gap_{c}") for c, n in gaps.items()],
     )
@@ -156,15 +172,20 @@ def run_batch(
 ) -> BatchResult:
     """Score one raw table, and evaluate it when labels are given.
 
-    The predictions are written once; evaluation and report read them back.
+    The raw table is read once: predictions are written with the facts that the report counts, and evaluation and
+    report read them back. Where gaps are looked for before defaults are filled in, the report reads it again.
     """
     mapping = preparation.get("mapping")
-    ready = prepare(raw, **preparation)
-    predictions = materialise(predictions_table(score_batch(ready, tabular, text, external)), "predictions")
+    facts = () if preparation.get("infer_before_fill") else FACTS
+    ready = prepare(raw, **preparation, facts=bool(facts))
+    scored = score_batch(ready, tabular, text, external, keep=facts)
+    written = materialise(scored.select(identifier(F.col(ID)).alias(ID), F.col(TARGET).cast("int").alias(TARGET), *facts), "predictions")
+    predictions = written.select(ID, TARGET)
     evaluation = None
     if labels is not None:
         evaluation = (
             evaluate_tables(predictions, predictions_table(labels)) if ID in labels.columns else no_id_record(labels)
         )
-    report = run_report(raw, clean_listings(raw, mapping), mapping).union(prediction_report(predictions))
+    cleaned = written if facts else clean_listings(raw, mapping)
+    report = run_report(raw, cleaned, mapping).union(prediction_report(predictions))
     return BatchResult(predictions, evaluation, report)

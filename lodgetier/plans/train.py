@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgetier.constants import (
@@ -27,7 +27,7 @@ from lodgetier.constants import (
 )
 from lodgetier.functions.answers import text_flags
 from lodgetier.functions.phrases import location_prefix, row_text
-from lodgetier.functions.vote import argmax, softmax
+from lodgetier.functions.vote import argmax
 from lodgetier.operators.boosting import ROUNDS, fit_softmax
 from lodgetier.operators.dense import fit_dense_text
 from lodgetier.operators.features import fit_tabular, fit_text, sample_weight
@@ -126,8 +126,8 @@ def fit_classifier(
     if kind == "boosted":
         classes = rows.agg(F.max(TARGET)).first()[0]
         ready = rows.select(F.col(features).alias("features"), F.col(TARGET).cast("int").alias("label"), F.col("_weight").alias("weight"))
-        found = fit_softmax(ready, classes=max(len(TIERS), int(classes or 0) + 1), rounds=trees, bins=bins)[0]
-        model = found.copy().set(found.featuresCol, features)
+        model = fit_softmax(ready, classes=max(len(TIERS), int(classes or 0) + 1), rounds=trees, bins=bins)[0]
+        model.set(model.featuresCol, features)
     else:
         model = classifier(kind, balanced, features, trees, bins).fit(rows)
     return PipelineModel([*(encoders.stages if encoders else []), model])

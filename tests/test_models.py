@@ -40,6 +40,24 @@ def test_better_than_the_largest_class(listings, kind, trees, floor):
     assert compare.model_f1(fitted, validation) > floor
 
 
+def test_a_batch_reads_the_raw_table_once(spark, listings, model):
+    """Rows are counted where they are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    raw, labels = files.split_inputs([table(spark, "/root/testdata/sf0.001", "listings")])
+    rows = raw.count()
+    result = batch.run_batch(raw.mapInArrow(count, raw.schema), model, labels=labels)
+    report = {(r.step, r.metric): r.value for r in result.report.collect()}
+    assert result.evaluation.first().n_evaluated == rows == int(report["schema", "rows"]) and seen.value == rows
+    plain = {(r.step, r.metric): r.value for r in batch.run_report(raw, batch.clean_listings(raw)).collect()}
+    assert plain.items() <= report.items()
+
+
 def test_areas_come_from_training_rows_only(listings):
     fit, validation = train.split_frames(listings)
     assert fit.count() + validation.count() == listings.count()
