@@ -97,3 +97,15 @@ def test_rows_of_one_class_and_flat_features(spark):
     assert p[0] == max(p) and sum(p) == pytest.approx(1)
     with pytest.raises(ValueError, match="no rows"):
         boosting.fit_softmax(rows.where(F.lit(False)))
+
+
+def test_tasks_of_a_pass_do_not_grow_with_the_rows(spark, monkeypatch):
+    """Every task sends sums of all nodes, so what is shuffled must not grow with the rows."""
+    monkeypatch.setattr(boosting, "TASK_ROWS", 10)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 2))
+    parts = []
+    once = boosting.Boosting.fit
+    monkeypatch.setattr(boosting.Boosting, "fit", lambda self: parts.append(len(self.table.inputFiles())) or once(self))
+    boosting.fit_softmax(table(spark, x, (x[:, 0] > 0).astype(int)), rounds=1, depth=1)
+    assert parts[0] <= spark.sparkContext.defaultParallelism
