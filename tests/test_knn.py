@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lodgetier.operators import knn
@@ -51,6 +52,35 @@ def test_out_of_fold(spark, monkeypatch, cell_points):
     assert found(knn.knn_tier_out_of_fold(spark.createDataFrame(rows))) == brute(rows, rows, 15, True)
 
 
+@pytest.mark.parametrize("tile, searches, pairs", [(0, 5, 1), (2, 40, 1000)])
+def test_small_tiles_and_parts(spark, monkeypatch, tile, searches, pairs):
+    """Tiles share the points on their edges, and parts of a tile its points; results don't depend on either."""
+    for name, value in (("TILE", tile), ("TILE_SEARCHES", searches), ("CELL_POINTS", 30)):
+        monkeypatch.setattr(knn, name, value)
+    rows = places(5, 900).sort_values("property_id")
+    assert found(knn.knn_tier_out_of_fold(spark.createDataFrame(rows))) == brute(rows, rows, 15, True)
+
+
+def test_blocks_of_a_tile_against_all_its_points(monkeypatch):
+    """Searches are settled by the cells around them; equals at the last place go by their order of arrival."""
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 64, (2, 500)) / 8
+    f, tier = rng.integers(0, 3, 500), rng.integers(0, 4, 500)
+    cells = [np.floor(v).astype(np.int64) for v in (x, y)]
+    rows = pa.RecordBatch.from_pydict(dict(zip(("x", "y", "f", "tier", "cx", "cy"), (x, y, f, tier, *cells))))
+    monkeypatch.setattr(knn, "HELD_PAIRS", 700)
+    tile = knn._Tile([(knn._POINT, rows)], 0, 0, 3)
+    inside = np.minimum.reduce([x - cells[0], cells[0] + 1 - x, y - cells[1], cells[1] + 1 - y])
+    got = tile.tiers(x, y, f, *cells, 1 + inside, 5)
+    assert (got >= 0).mean() > 0.8
+    for i in np.flatnonzero(got >= 0):
+        d = np.where(f == f[i], np.inf, np.sqrt((x - x[i]) ** 2 + (y - y[i]) ** 2))
+        near = np.lexsort((np.arange(500), d))[:5]
+        weight = d[near] == 0 if d[near[0]] == 0 else 1 / d[near]
+        votes = np.bincount(tier[near], weight, minlength=4)
+        assert votes[got[i]] > votes.max() - 1e-9
+
+
 def test_descent_alone(spark, monkeypatch):
     grid = knn._survey
     monkeypatch.setattr(knn, "_survey", lambda *a: (grid(*a)[0], []))
