@@ -164,3 +164,17 @@ def test_listings_without_coordinates_are_in_the_city_centre(spark, model):
     centre = spark.createDataFrame([(1, 40.7128, -74.006), (2, None, None)], "id int, latitude double, longitude double")
     labels = {r.geo_label for r in model.areas.transform(centre).collect()}
     assert labels == {model.areas.transform(centre.select("id")).first().geo_label}
+
+
+def test_a_text_model_makes_its_texts_once(spark, listings):
+    """Rows are counted where they are read; weights and classifier read the counts of words."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    fitted = train.fit_text_model(listings.mapInArrow(count, listings.schema), "description")
+    assert seen.value == listings.count()
+    assert {len(r.scores) for r in fitted.probabilities(listings).select("scores").collect()} == {4}
