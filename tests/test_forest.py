@@ -109,3 +109,37 @@ def test_one_class_flat_features_and_saving(spark, tmp_path):
     assert loaded.transform(rows).select(vector_to_array("probability").alias("p")).first().p == [0, 0, 1, 0]
     with pytest.raises(ValueError, match="no rows"):
         forest.fit_forest(rows.where(F.lit(False)), 4, 3, 4, 16)
+
+
+def test_values_of_a_category_are_counted_together(spark):
+    """Exclusive columns share their counts; the forest is the one that counts every column by itself."""
+    rng = np.random.default_rng(8)
+    kind, flag = rng.integers(0, 5, 600), rng.integers(0, 2, 600)
+    x = np.column_stack([rng.normal(size=600).round(2), *(kind == k for k in range(4)), flag]).astype(float)
+    label = (x[:, 0] > 0).astype(int) + (kind == 2) + 2 * ((kind == 3) & (flag == 1))
+    rows = table(spark, x, np.minimum(label, 3))
+    cuts = cut_points(rows, 6, 12)
+    packed = forest.materialise(binned(rows, cuts, ["weight"]), "binned")
+    widths = [len(c) + 1 for c in cuts]
+    assert forest._bundles(packed, widths) == [[1, 2, 3, 4]]
+    grown = []
+    for bundles in ([], [[1, 2, 3, 4]]):
+        grown.append(forest.Forest(packed, widths, 4, 5, 4, 0.8, 0.8, 1, bundles))
+        grown[-1].fit()
+    assert (grown[0].feature == grown[1].feature).all() and (grown[0].cut == grown[1].cut).all()
+    assert np.allclose(grown[0].value, grown[1].value)
+
+
+def test_a_forest_on_some_features_reads_no_others(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 4)).round(2)
+    rows = table(spark, x, (x[:, 1] > 0).astype(int) + (x[:, 3] + x[:, 2] > 0))
+    model = forest.bin_rows(rows, 16).grow(4, 6, 3, columns=[3, 1])
+    other = x.copy()
+    other[:, [0, 2]] = 7.0
+    scores = []
+    for values in (x, other):
+        given = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "i int, x array<double>")
+        scored = model.transform(given.select("i", array_to_vector("x").alias("features")))
+        scores.append([list(r.p) for r in scored.select("i", vector_to_array("probability").alias("p")).orderBy("i").collect()])
+    assert scores[0] == scores[1] and np.ptp(scores[0], axis=0).max() > 0.5

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodgetier.fixtures import raw_listings, table
-from lodgetier.operators import schema
+from lodgetier.operators import forest, schema
 from lodgetier.plans import batch, compare, train
 from lodgetier.sources import files
 from lodgetier.streaming import score as streaming
@@ -129,6 +129,29 @@ def test_stream_equals_batch(spark, listings, model, tmp_path):
     assert found == sorted(expected.collect()) and len(found) == listings.count()
 
 
+def test_a_sweep_bins_its_rows_once(spark, listings, monkeypatch):
+    """Every configuration grows on its own features of the same binned rows."""
+    made, grown = [], []
+
+    def binned(*a):
+        made.append(real(*a))
+        return made[-1]
+
+    def grow(self, *a, **named):
+        grown.append((tuple(named["columns"]), named["weight"]))
+        return whole(self, *a, **named)
+
+    real, whole = compare.bin_rows, forest.BinnedRows.grow
+    monkeypatch.setattr(compare, "bin_rows", binned)
+    monkeypatch.setattr(forest.BinnedRows, "grow", grow)
+    fit, validation = train.split_frames(listings)
+    swept = compare.geo_sweep(fit, validation, clusters=(5, 10), trees=10, restarts=1).collect()
+    assert len(made) == 1 and len(set(grown)) == len(swept) == 8
+    assert all(r.macro_f1 > 0.25 for r in swept)
+    width = len(made[0].cuts)
+    assert {len(c) for c, _ in grown} == {width - 1, width - 1 - len(compare.HOTSPOT_COLUMNS)}
+
+
 def test_sweep_and_top(spark, listings):
     fit, validation = train.split_frames(listings)
     swept = compare.geo_sweep(fit, validation, clusters=(5,), trees=3, restarts=1)
