@@ -143,3 +143,21 @@ def test_a_forest_on_some_features_reads_no_others(spark):
         scored = model.transform(given.select("i", array_to_vector("x").alias("features")))
         scores.append([list(r.p) for r in scored.select("i", vector_to_array("probability").alias("p")).orderBy("i").collect()])
     assert scores[0] == scores[1] and np.ptp(scores[0], axis=0).max() > 0.5
+
+
+def test_forests_grown_together_share_passes_and_counts(spark, monkeypatch):
+    """Forests on other features or class weights equal those grown alone, in the passes of one of them."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(500, 4)).round(2)
+    label = (x[:, 0] > 0).astype(int) + (x[:, 1] + x[:, 2] > 0.5)
+    rows = table(spark, x, label, np.array([1.0, 2.5, 4.0])[label]).withColumn("plain", F.lit(1.0))
+    binned_rows = forest.bin_rows(rows, 16, ("weight", "plain"))
+    given = [{"columns": c, "weight": w} for c in ([0, 1, 2], [0, 1, 2, 3]) for w in ("weight", "plain")]
+    passes = []
+    once = forest.Forest._splits
+    monkeypatch.setattr(forest.Forest, "_splits", lambda self, level, group: passes.append(len(self._wanted(group)[0])) or once(self, level, group))
+    together = binned_rows.grow_together([binned_rows.grow(3, 8, 4, later=True, **some) for some in given])
+    assert len(passes) == 4 and passes[0] == 8  # the roots of all four forests draw the same rows
+    for model, some in zip(together, given):
+        alone = binned_rows.grow(3, 8, 4, **some)
+        assert all(np.array_equal(a, b) for a, b in zip(model.fitted(), alone.fitted()))
