@@ -30,3 +30,30 @@ def test_one_place_and_fewer_places_than_centres(spark):
     assert set(geo.fit_centres(one, 2, restarts=2)) == {(40.5, -74.0)}
     two = one.union(spark.createDataFrame([(41.0, -73.0)], one.schema))
     assert {(40.5, -74.0), (41.0, -73.0)} <= set(geo.fit_centres(two, 3, restarts=3))
+
+
+def test_centres_that_go_round_in_circles_rest(monkeypatch):
+    """Sums that lead back to an earlier place end the search, long before the most steps."""
+    cells = np.array([[1.0, 0.0, 0.0], [1.0, 0.0, 1.0]])
+    steps = []
+
+    def turning(border, centres, sides):
+        steps.append(1)
+        return np.array([[1.0, 0.0, (len(steps) % 3) * 1e-3], [1.0, 0.0, 1.0]]) - geo._moments(cells[:0], np.zeros(0, dtype=int), 2)
+
+    monkeypatch.setattr(geo, "_shared", turning)
+    monkeypatch.setattr(geo, "_moments", lambda cells, which, k: np.zeros((k, 3)))
+    geo._rested(cells, np.array([[0.0, 0.0], [0.0, 1.0]]), np.array([1.0, 1.0]))
+    assert len(steps) < 10
+
+
+def test_many_centres_are_a_loop_with_the_same_result(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = [(float(y), float(x)) for y, x in rng.random((30, 2)).round(1)]
+    centres += centres[:3]  # equal ones: the first is taken
+    places = [(float(y), float(x)) for y, x in rng.random((500, 2)).round(2)] + [(None, 0.5), (0.5, None)]
+    df = spark.createDataFrame(places, "lat double, lon double").select("*", geo.nearest_centre(F.col("lat"), F.col("lon"), centres).alias("at"))
+    assert df._jdf.queryExecution().analyzed().toString().count("SQRT") <= 2
+    monkeypatch.setattr(geo, "WRITTEN_OUT", 100)
+    plain = df.select("*", geo.nearest_centre(F.col("lat"), F.col("lon"), centres).alias("plain")).collect()
+    assert all(r.at == r.plain for r in plain) and [r.at for r in plain[-2:]] == [None, None]
