@@ -109,3 +109,30 @@ def test_tasks_of_a_pass_do_not_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(boosting.Boosting, "fit", lambda self: parts.append(len(self.table.inputFiles())) or once(self))
     boosting.fit_softmax(table(spark, x, (x[:, 0] > 0).astype(int)), rounds=1, depth=1)
     assert parts[0] <= spark.sparkContext.defaultParallelism
+
+
+def test_one_child_of_two_is_counted_and_tasks_get_blocks(spark, monkeypatch):
+    """The other child is its parent's sums less the counted one; trees are those of counting both, and of plain rows."""
+    rng = np.random.default_rng(8)
+    kind = rng.integers(0, 4, 700)
+    x = np.column_stack([rng.normal(size=(700, 3)).round(2), *(kind == k for k in range(3))]).astype(float)
+    label = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(int) + (kind == 1)
+    rows = table(spark, x, label)
+    counted, found = [], []
+    once = boosting.Boosting._splits
+
+    def splits(self, turn, level, columns, nodes, *more):
+        counted.append((level, len(nodes), self.table.count()))
+        return once(self, turn, level, columns, nodes, *more)
+
+    monkeypatch.setattr(boosting.Boosting, "_splits", splits)
+    for kept in (boosting.KEPT, 0):
+        monkeypatch.setattr(boosting, "KEPT", kept)
+        found.append(boosting.fit_softmax(rows, rounds=6, depth=4, bins=32)[0].fitted())
+    half = len(counted) // 2
+    assert sum(n for _, n, _ in counted[:half]) < 0.6 * sum(n for _, n, _ in counted[half:])
+    assert all(blocks < 30 for *_, blocks in counted)
+    monkeypatch.setattr(boosting, "blocked", lambda df: df)
+    found.append(boosting.fit_softmax(rows, rounds=2, depth=4, bins=32)[0].fitted())
+    assert (found[0].feature == found[1].feature).all() and (found[0].cut == found[1].cut).all() and np.allclose(found[0].value, found[1].value)
+    assert (found[2].feature == found[0].feature[:2]).all() and np.allclose(found[2].value, found[0].value[:2])
