@@ -161,3 +161,13 @@ def test_forests_grown_together_share_passes_and_counts(spark, monkeypatch):
     for model, some in zip(together, given):
         alone = binned_rows.grow(3, 8, 4, **some)
         assert all(np.array_equal(a, b) for a, b in zip(model.fitted(), alone.fitted()))
+
+
+def test_rows_are_dealt_to_tasks_as_bins(spark, monkeypatch):
+    """Vectors of doubles are turned into bytes before they are sent, not after."""
+    plans = []
+    once = forest.blocked
+    monkeypatch.setattr(forest, "blocked", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or once(df))
+    x = np.random.default_rng(3).normal(size=(200, 3))
+    forest.bin_rows(table(spark, x, (x[:, 0] > 0).astype(int)), 16)
+    assert 0 <= plans[0].index("Repartition") < plans[0].index("MapInArrow")
